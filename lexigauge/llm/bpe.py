@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 NONE = np.int32(2**31 - 1)
 #: Widths of the matrices; a longer row runs alone (see ``_long``). Rows of a matrix; entries of a worker's caches.
-WIDTHS, ROWS, CACHE_SIZE = (4, 8, 12, 16, 24, 32, 64), 8192, 500_000
+WIDTHS, ROWS, CACHE_SIZE = (4, 8, 12, 16, 24, 32, 64), 8192, 200_000
 
 
 class Pairs:
@@ -197,7 +197,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _WORKER[path, pattern]
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``most`` bytes of a column: long texts then cost no more memory."""
     rows = max(1, int(batch.num_rows * most / max(most, batch.column(column).nbytes)))
     for i in range(0, batch.num_rows, rows):

@@ -29,6 +29,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_decode(ids, path, public_tokenizers.PATTERN, digests=True)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of every document by 3-word SimHash within 2 bits."""
+    from lexigauge.llm.simhash import simhash_components
+
+    return simhash_components(read(spark, sf_dir, "documents"), words=3, radius=2)
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards whose byte sizes are as near equal as whole groups allow."""
+    from lexigauge.llm.sharding import assign_shards
+
+    return assign_shards(read(spark, sf_dir, "documents"), shards=40, overhead=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
