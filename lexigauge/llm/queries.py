@@ -29,6 +29,18 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_decode(ids, path, public_tokenizers.PATTERN, digests=True)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back, with digests verified."""
+    from lexigauge.llm.common import scratch
+    from lexigauge.llm.warc import read_warc, write_warc
+
+    folder = scratch(spark, "warc")
+    manifest = write_warc(read(spark, sf_dir, "pages"), folder, minimum=0)
+    partitions = max(1, min(manifest.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    back = read_warc(manifest, folder, partitions)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of every document by 3-word SimHash within 2 bits."""
     from lexigauge.llm.simhash import simhash_components

@@ -26,14 +26,14 @@ class Ends:
         self.at: list[int] = [0, total]
         self.open: set[int] = {0}  # starts of gaps that may hold more ends
 
-    def put(self, ends: list[tuple[int, int]], spans: list[tuple[int, int]]) -> None:
-        """``ends``: (largest end of a stretch, ends in it) for all stretches inside ``spans``, which are now known."""
-        inside = {a for a, b in spans for a in self.at[bisect_right(self.at, a) - 1 : bisect_right(self.at, b - 1)]}
+    def put(self, ends: list[tuple[int, int, int]], spans: list[tuple[int, int]]) -> None:
+        """``ends``: (start, largest end, number of ends) of every stretch inside ``spans`` that holds an end."""
+        inside = {x for a, b in spans for x in self.at[bisect_right(self.at, a) - 1 : bisect_right(self.at, b - 1)]}
         self.open -= inside
-        self.at = sorted({*self.at, *(e for e, _ in ends)})
-        for e, n in ends:
+        self.at = sorted({*self.at, *(e for _, e, _ in ends)})
+        for start, e, n in ends:
             if n > 1:
-                self.open.add(self.at[bisect_right(self.at, e - 1) - 1])
+                self.open.update(self.at[bisect_right(self.at, start) - 1 : bisect_right(self.at, e - 1)])
 
     def cut(self, limit: int, hopeful: bool) -> int:
         """The last end that is at most ``limit``: the last one known, or if hopeful the best that could be."""
@@ -68,13 +68,14 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int, resolution: int = R
 
     ``groups``: column end, the distinct prefix sums of the group sizes.
     """
-    known, spans = Ends(total), [(0, total)]
-    while True:
-        width = max(1, sum(b - a for a, b in spans) // resolution)
+    known, spans, width = Ends(total), [(0, total)], 2 * total
+    while True:  # finer each time: the stretches where a cut can fall shrink much faster than the width
+        width = max(1, min(sum(b - a for a, b in spans) // resolution, width // 2))
         inside = " or ".join(f"(end > {a} and end <= {b})" for a, b in spans)
         span = sum(((F.col("end") > F.lit(a)).cast("int") for a, _ in spans), F.lit(0))
-        rows = groups.where(inside).groupBy(span.alias("span"), F.floor((F.col("end") - 1) / F.lit(width)).alias("k")).agg(F.max("end").alias("e"), F.count(F.lit(1)).alias("n"))
-        known.put([(r.e, r.n) for r in rows.collect()], spans)
+        stretch = F.expr(f"(end - 1) div {width}")
+        rows = groups.where(inside).groupBy(span.alias("span"), stretch.alias("k")).agg(F.max("end").alias("e"), F.count(F.lit(1)).alias("n"))
+        known.put([(max(spans[r.span - 1][0], r.k * width), r.e, r.n) for r in rows.collect()], spans)
         low, high = known.smallest(shards, True), known.smallest(shards, False)
         early, late = known.cuts(low, shards, False), known.cuts(high, shards, True)
         need = set()
