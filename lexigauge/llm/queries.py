@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from lexigauge.llm.common import read
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and divergence verdict of every document."""
+    from lexigauge.llm.quality_rules import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by the two-tier lookup."""
     import public_tokenizers
