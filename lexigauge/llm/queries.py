@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from lexigauge.llm.common import read
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by positive-unlabelled learning."""
+    from lexigauge.llm.pu_classifier import quality_scores
+
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and divergence verdict of every document."""
     from lexigauge.llm.quality_rules import quality_rules
