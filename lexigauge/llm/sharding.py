@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexigauge.llm.common import staged
 
-RESOLUTION = 20_000
+RESOLUTION, SPANS = 20_000, 64
 
 
 class Ends:
@@ -72,10 +72,8 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int, resolution: int = R
     while True:  # finer each time: the stretches where a cut can fall shrink much faster than the width
         width = max(1, min(sum(b - a for a, b in spans) // resolution, width // 2))
         inside = " or ".join(f"(end > {a} and end <= {b})" for a, b in spans)
-        span = sum(((F.col("end") > F.lit(a)).cast("int") for a, _ in spans), F.lit(0))
-        stretch = F.expr(f"(end - 1) div {width}")
-        rows = groups.where(inside).groupBy(span.alias("span"), stretch.alias("k")).agg(F.max("end").alias("e"), F.count(F.lit(1)).alias("n"))
-        known.put([(max(spans[r.span - 1][0], r.k * width), r.e, r.n) for r in rows.collect()], spans)
+        rows = groups.where(inside).groupBy(F.expr(f"(end - 1) div {width}").alias("k")).agg(F.max("end").alias("e"), F.count(F.lit(1)).alias("n"))
+        known.put([(r.k * width, r.e, r.n) for r in rows.collect()], spans)
         low, high = known.smallest(shards, True), known.smallest(shards, False)
         early, late = known.cuts(low, shards, False), known.cuts(high, shards, True)
         need = set()
@@ -86,13 +84,12 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int, resolution: int = R
                     need.add(start)
         if not need:
             return known.cuts(high, shards, False)
-        spans = []
-        for start in sorted(need):
-            end = known.at[bisect_right(known.at, start)]
-            if spans and spans[-1][1] == start:
-                spans[-1] = (spans[-1][0], end)
-            else:
-                spans.append((start, end))
+        starts = sorted(need)
+        ends = [known.at[bisect_right(known.at, x)] for x in starts]
+        # at most SPANS ranges to filter by: all but the widest distances between neighbours are covered too
+        apart = sorted(range(1, len(starts)), key=lambda i: starts[i] - ends[i - 1])[-SPANS + 1 :]
+        edges = [0, *sorted(i for i in apart if starts[i] > ends[i - 1]), len(starts)]
+        spans = [(starts[i], ends[j - 1]) for i, j in zip(edges, edges[1:], strict=False)]
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, doc_id: str = "doc_id", text: str = "text", resolution: int = RESOLUTION) -> DataFrame:
