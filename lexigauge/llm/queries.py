@@ -33,6 +33,15 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(render(fold(event_log(table.unionByName(more)))))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page: five rules, else the n-gram model trained on urls that the rules decide."""
+    from lexigauge.llm.url_filter import Rule, Training, labelled_by_rules, url_verdicts
+
+    rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+    pages = read(spark, sf_dir, "pages")
+    return url_verdicts(pages, rules, labelled_by_rules(pages, rules, Training().sample))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by the two-tier lookup."""
     import public_tokenizers
