@@ -81,6 +81,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in which a benchmark item occurs, substitutions tolerated."""
+    from lexigauge.llm.decontamination import benchmark_hits
+
+    return benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards whose byte sizes are as near equal as whole groups allow."""
     from lexigauge.llm.sharding import assign_shards
