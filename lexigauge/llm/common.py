@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,3 +39,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Ids (8 bytes each) that an anti join may broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``ids``; rows with a null key stay.
+
+    ``ids`` is written and counted: up to BROADCAST_IDS of them are broadcast, so the documents are not shuffled; more
+    are joined by shuffle.
+    """
+    gone = staged(ids.select(key).where(f"{key} is not null").distinct(), "without")
+    small = gone.count() <= BROADCAST_IDS
+    columns = docs.columns
+    return docs.join(F.broadcast(gone) if small else gone, key, "left_anti").select(*columns)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigauge.llm.common import staged
+from lexigauge.llm.common import staged, without
 
 #: Masks: 1 selects a token, 0 ignores it. Six of ten tokens each; any two differ where a substitution may fall.
 MASKS = ("1101001101", "1011010011", "1110110001")
@@ -115,5 +115,4 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, overlap: Overlap | Non
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: Overlap | None = None) -> DataFrame:
     """The rows of ``docs`` in which no item was found, with all their columns. Rows with a null doc_id are kept."""
-    found = benchmark_hits(docs, benchmark, overlap).select("doc_id").distinct()
-    return docs.join(staged(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, benchmark_hits(docs, benchmark, overlap))
