@@ -16,9 +16,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigauge.llm.common import small_batches
+
 NONE = np.int32(2**31 - 1)
 #: Widths of the matrices; a longer row runs alone (see ``_long``). Rows of a matrix; entries of a worker's caches.
-WIDTHS, ROWS, CACHE_SIZE = (4, 8, 12, 16, 24, 32, 64), 8192, 200_000
+WIDTHS, ROWS, CACHE_SIZE = (4, 8, 12, 16, 24, 32, 64), 8192, 60_000
 
 
 class Pairs:
@@ -71,11 +73,9 @@ class Encoder:
     """Encodes pre-tokens by the ranks of a vocabulary file, and whole texts by a splitting pattern."""
 
     def __init__(self, path: str, pattern: str, cache: int = CACHE_SIZE):
-        with open(path, "rb") as lines:
-            self.vocabulary = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.tokens = {b: a for a, b in self.vocabulary.items()}
-        self.bytes_ = np.array([self.vocabulary[bytes([i])] for i in range(256)], np.int32)
-        self.pairs = Pairs(self.vocabulary)
+        ranks = vocabulary(path)
+        self.bytes_ = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.pairs = Pairs(ranks)
         self.split = regex.compile(pattern)
         self.bound = cache
         self.known: dict[str, bytes] = {}
@@ -182,12 +182,15 @@ class Encoder:
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of a sequence of ids."""
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+def vocabulary(path: str) -> dict[bytes, int]:
+    """Token -> rank of a ranks file (base64 token and rank per line)."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
 _WORKER: dict[tuple, Encoder] = {}
+_TOKENS: dict[str, dict[int, bytes]] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -197,6 +200,18 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _WORKER[path, pattern]
 
 
+def tokens(path: str) -> dict[int, bytes]:
+    """Rank -> token, read once per Python worker."""
+    if path not in _TOKENS:
+        _TOKENS[path] = {b: a for a, b in vocabulary(path).items()}
+    return _TOKENS[path]
+
+
+def decode(ids: np.ndarray, known: dict[int, bytes]) -> bytes:
+    """Bytes of a sequence of ids."""
+    return b"".join(map(known.__getitem__, ids.tolist()))
+
+
 def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``most`` bytes of a column: long texts then cost no more memory."""
     rows = max(1, int(batch.num_rows * most / max(most, batch.column(column).nbytes)))
@@ -222,19 +237,20 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, f"doc_id {kind}, ids array<int>")
 
 
-def bpe_decode(encoded: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
+def bpe_decode(encoded: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """Decode the ``ids`` of ``bpe_encode``: doc_id, n_tokens long, ids_sha256 string, and decoded binary.
 
     With ``digests`` the decoded bytes are replaced by decoded_sha256, so that they need not leave the worker. A null or
     empty array decodes to no bytes.
     """
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tokens(path)
         for whole in batches:
             for batch in _slices(whole, 1):
                 column = batch.column(1)
@@ -244,7 +260,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str, digests: bool = Fals
                     ids = values[a:b]
                     n.append(b - a)
                     marks.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    text = own.decode(ids)
+                    text = decode(ids, known)
                     raw.append(hashlib.sha256(text).hexdigest() if digests else text)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.string()), pa.array(raw, pa.string() if digests else pa.binary())],
@@ -252,4 +268,4 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str, digests: bool = Fals
                 )
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, {'decoded_sha256 string' if digests else 'decoded binary'}")
+    return encoded.select("doc_id", "ids").mapInArrow(of, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, {'decoded_sha256 string' if digests else 'decoded binary'}")

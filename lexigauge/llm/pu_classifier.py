@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigauge.llm.common import small_batches
 from lexigauge.llm.textstats import CLASSES, TextStats
 
 FEATURES = (*(f"share_{c}" for c in CLASSES), "log_words", "word_length", "distinct", "repeat", "symbols", "dup_lines", "line_words", "top_word", "adjacent", "caps_words", "long_words", "no_letter", "end_mark", "odd_end", "head_other", "head_upper")
@@ -167,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, t: Training, text: str = "text") ->
 
 def scored(docs: DataFrame, labels: DataFrame, keep: Sequence[str], t: Training | None = None, text: str = "text") -> DataFrame:
     """Every row of ``docs`` as row (struct of ``keep``) and score."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, t or Training(), text))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigauge.llm.common import staged
+from lexigauge.llm.common import small_batches, staged
 from lexigauge.llm.textstats import CLASSES, TextStats, class_counts
 
 
@@ -112,6 +112,7 @@ FIELDS = (("n_words", pa.int64(), "bigint"), ("word_chars", pa.int64(), "bigint"
 
 def assessed(docs: DataFrame, keep: Sequence[str], rules: Rules, text: str = "text", lang: str = "lang") -> DataFrame:
     """Every row of ``docs`` as columns row (struct of ``keep``) and q (struct of counts and verdict)."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(references(docs, rules, text, lang))
     packed = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
 

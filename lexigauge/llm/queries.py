@@ -59,7 +59,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = bpe_encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe_decode(ids, path, public_tokenizers.PATTERN, digests=True)
+    return bpe_decode(ids, path, digests=True)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

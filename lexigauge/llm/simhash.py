@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigauge.llm.common import staged
+from lexigauge.llm.common import small_batches, staged
 from lexigauge.llm.graph import components
 
 
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text:
             marks = np.array([fingerprint(shingle_hashes(t.as_py(), words)) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "fingerprint"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, f"doc_id {kind}, fingerprint bigint")
 

@@ -14,10 +14,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigauge.llm.common import small_batches
+
 #: How sentencepiece writes a space inside a piece (fixed by the library).
 SPACE = "▁"
 #: Heavy hitters that a task reports, entries of the broadcast table, entries of a worker's cache: fixed bounds.
-TASK_TOP, TABLE_SIZE, CACHE_SIZE = 4096, 32768, 400_000
+TASK_TOP, TABLE_SIZE, CACHE_SIZE = 4096, 32768, 100_000
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -128,6 +130,7 @@ def token_counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     if frequent is None:
         frequent = frequent_lengths(docs, model, text)
     table = spark.sparkContext.broadcast(frequent)
