@@ -100,6 +100,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
+_CHAT = r"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped as (select *, length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) as n,
+  length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:')) as m from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn), '')) as loss_sha256,
+  cast(sum(n + m + 15) as bigint) as formatted_chars
+from escaped group by conv_id"""
+
+_WARC = """
+with pages_ as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+first as (select html, max(page_id) as first from pages_ group by html),
+bits as (select page_id, html, list_reduce(list_transform(range(1, 41), lambda i: case substr(h, i, 1)
+  when '0' then '0000' when '1' then '0001' when '2' then '0010' when '3' then '0011' when '4' then '0100' when '5' then '0101' when '6' then '0110' when '7' then '0111'
+  when '8' then '1000' when '9' then '1001' when 'a' then '1010' when 'b' then '1011' when 'c' then '1100' when 'd' then '1101' when 'e' then '1110' else '1111' end), lambda x, y: x || y) as b from pages_)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes,
+  list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * cast(substr(b, 5 * i + 1, 1) as integer) + 8 * cast(substr(b, 5 * i + 2, 1) as integer)
+    + 4 * cast(substr(b, 5 * i + 3, 1) as integer) + 2 * cast(substr(b, 5 * i + 4, 1) as integer) + cast(substr(b, 5 * i + 5, 1) as integer), 1)), lambda x, y: x || y) as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, true as verified
+from bits join first using (html)"""
+
+_OVERLAP = r"""
+with d as (select doc_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') as w from documents),
+b as (select item_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') as w from benchmark),
+m as (select * from (values (0, [0, 1, 3, 6, 7, 9]), (1, [0, 2, 3, 5, 8, 9]), (2, [0, 1, 2, 4, 5, 9])) v(mask, picks)),
+ds as (select doc_id, mask, i, list_reduce(list_transform(picks, lambda k: w[i + k]), lambda x, y: x || ' ' || y) as seed from (select doc_id, w, unnest(range(1, len(w) - 8)) as i from d where len(w) >= 10) cross join m),
+bs as (select item_id, mask, i, list_reduce(list_transform(picks, lambda k: w[i + k]), lambda x, y: x || ' ' || y) as seed from (select item_id, w, unnest(range(1, len(w) - 8)) as i from b where len(w) >= 10) cross join m),
+hits as (select distinct doc_id, item_id, ds.i - bs.i as shift from ds join bs using (mask, seed)),
+laid as (select doc_id, item_id, shift, len(b.w) as n, k, case when k + shift >= 1 and d.w[k + shift] = b.w[k] then 1 else 0 end as same from hits join d using (doc_id) join b using (item_id), unnest(range(1, len(b.w) + 1)) u(k)),
+runs as (select *, sum(case when same = 1 then 1 else -2 end) over (partition by doc_id, item_id, shift order by k) as s from laid),
+low as (select *, least(0, coalesce(min(s) over (partition by doc_id, item_id, shift order by k rows between unbounded preceding and 1 preceding), 0)) as least_ from runs),
+best as (select doc_id, item_id, shift, any_value(n) as n, sum(same) as matched, greatest(0, max(s - least_)) as stretch from low group by 1, 2, 3)
+select doc_id, item_id, cast(max(matched) as integer) as matched, cast(max(n) as integer) as item_tokens, cast(max(stretch) as integer) as stretch
+from best group by 1, 2 having max(matched) >= ceil(max(n) * 0.7) or max(stretch) >= 12"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL, for the queries that SQL can express."""
-    return {}
+    return {"op3_chat_format": _CHAT, "op7_warc": _WARC, "op9_decontamination": _OVERLAP}
