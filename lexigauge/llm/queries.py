@@ -138,6 +138,36 @@ select doc_id, item_id, cast(max(matched) as integer) as matched, cast(max(n) as
 from best group by 1, 2 having max(matched) >= ceil(max(n) * 0.7) or max(stretch) >= 12"""
 
 
+_RULES = r"""
+with d as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang from documents),
+w as (select doc_id, lang, unnest(words) as word, generate_subscripts(words, 1) as i from (select doc_id, lang, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as words from d)),
+lines as (select doc_id, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^ \t\n\x0B\f\r]') group by 1),
+three as (select doc_id, i, count(*) over (partition by doc_id, word, b, c) as n from (select doc_id, i, word, lead(word) over o as b, lead(word, 2) over o as c from w window o as (partition by doc_id order by i)) where c is not null),
+cover as (select doc_id, count(distinct i + k) as n_repeat_words from three cross join (select range as k from range(3)) where n > 1 group by 1),
+sizes as (select doc_id, count(*) as n_words, sum(length(word)) as word_chars from w group by 1),
+cls as (select doc_id, lang, length(text) as n, [length(regexp_replace(text, '[^\p{Ll}\p{Lt}\p{Lm}\p{Lo}]', '', 'g')), length(regexp_replace(text, '[^\p{Lu}]', '', 'g')), length(regexp_replace(text, '[^\p{N}]', '', 'g')), length(text) - length(replace(text, ' ', '')),
+  length(text) - length(replace(text, chr(10), '')), length(regexp_replace(text, '[^.,;:!?''"()\-]', '', 'g'))] as six from d),
+c7 as (select doc_id, lang, n, list_append(six, n - list_sum(six)) as c from cls),
+cn as (select lang, lower(word) as word, count(*) as n from w group by 1, 2),
+tot as (select lang, sum(n) as total from cn group by 1),
+own as (select lang, word, n / cast(total as double) as q from (select *, row_number() over (partition by lang order by n desc, word) as rn from cn) join tot using (lang) where rn <= 40 and total >= 5000),
+pooled as (select word, n / cast((select sum(total) from tot) as double) as q from (select word, n, row_number() over (order by n desc, word) as rn from (select word, sum(n) as n from cn group by 1)) where rn <= 40),
+ref as (select * from own union all select lang, word, q from tot cross join pooled where total < 5000),
+refsum as (select lang, sum(q) as q from ref group by 1),
+chars as (select lang, k, sum(c[k]) as n from c7 cross join (select range as k from range(1, 8)) group by 1, 2),
+charref as (select t.lang, k, sum(x.n) / cast(sum(sum(x.n)) over (partition by t.lang) as double) as q from tot t join chars x on t.total < 5000 or x.lang = t.lang group by 1, 2),
+cd as (select doc_id, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) as s from (select doc_id, c[k] / cast(n as double) as p, q from c7 join charref using (lang) where n >= 200) group by 1),
+wp as (select doc_id, lang, lower(word) as word, count(*) / cast(any_value(n_words) as double) as p from w join sizes using (doc_id) where n_words >= 50 group by 1, 2, 3),
+seen as (select doc_id, sum(p) as p, sum(q) as q, sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) as s from wp join ref using (lang, word) group by 1),
+wd as (select doc_id, s + (rq - q) + case when pr > 1e-12 then pr * log2(pr / ((pr + qr) / 2)) else 0 end + case when qr > 0 then qr * log2(qr / ((pr + qr) / 2)) else 0 end as s
+  from (select d.doc_id, coalesce(s.s, 0) as s, coalesce(s.q, 0) as q, r.q as rq, 1 - coalesce(s.p, 0) as pr, 1 - r.q as qr from d join sizes z on d.doc_id = z.doc_id and z.n_words >= 50 join refsum r using (lang) left join seen s on s.doc_id = d.doc_id)),
+f as (select d.doc_id, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+  case when cd.s is not null then round(sqrt(greatest(0, cd.s / 2)), 6) end as char_distance, case when wd.s is not null then round(sqrt(greatest(0, wd.s / 2)), 6) end as word_distance
+  from d left join sizes using (doc_id) left join lines using (doc_id) left join cover using (doc_id) left join cd on cd.doc_id = d.doc_id left join wd on wd.doc_id = d.doc_id)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not coalesce(char_distance > 0.30, false) and not coalesce(word_distance > 0.22 + 1.5 / sqrt(n_words), false) as kept from f"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL, for the queries that SQL can express."""
-    return {"op3_chat_format": _CHAT, "op7_warc": _WARC, "op9_decontamination": _OVERLAP}
+    return {"op2_quality_rules": _RULES, "op3_chat_format": _CHAT, "op7_warc": _WARC, "op9_decontamination": _OVERLAP}
