@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigauge.functions import audit as au
 from lexigauge.functions import text as tx
 from lexigauge.functions import urls as ur
 from lexigauge.operators import concentration as co
 from lexigauge.operators import effects as ef
 from lexigauge.operators import integrity as it
 from lexigauge.operators import metrics as me
+from lexigauge.operators import models as mo
 from lexigauge.operators import panel as pa
 from lexigauge.operators import profile as pr
 from lexigauge.operators import rates as ra
@@ -701,3 +703,15 @@ def json_flatten(s, d):
 @query("select event_type, count(*) as n, cast(epoch_us(min(ts)) as bigint) as first_us, cast(epoch_us(max(ts)) as bigint) as last_us from events group by 1")
 def export_distribution(s, d):
     return c.table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts").cast("timestamp")).alias("first_us"), F.unix_micros(F.max("ts").cast("timestamp")).alias("last_us"))
+
+
+# ---- models and rules: no SQL twin ----------------------------------------------------------------------------------
+def _design(s: SparkSession, d: str) -> DataFrame:
+    panel = pa.panel_filter(c.pairs(s, d))
+    features = pa.relative(panel, c.results(s, d).groupBy("record_id").agg(F.count(F.lit(1)).alias("n_results")))
+    return features.join(panel.select("record_id", "brand", "category", "query_id"), ["record_id", "brand"])
+
+
+@query()
+def ethics_rules(s, d):
+    return c.table(s, d, "conversations").select("conv_id", "turn", au.broken_rules(F.col("text")).alias("rules"))
