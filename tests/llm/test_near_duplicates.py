@@ -137,3 +137,15 @@ def test_sharding(spark, docs, texts, shards):
 
     assert max(size.values()) == next(c for c in range(1, sum(order) + 1) if fits(c))
     assert assign_shards(docs.where("false"), shards).count() == 0
+
+
+def test_similar_by_sets_not_repeats(spark):
+    """Copies that differ only in how often a line repeats have one shingle set."""
+    from lexigauge.llm.simhash_similar import drop_near_duplicates
+
+    rnd, words, rows = random.Random(11), [f"r{i}" for i in range(5000)], []
+    for k in range(12):
+        body, line = " ".join(rnd.choices(words, k=202)), " ".join(rnd.choices(words, k=10))
+        rows += [(2 * k, body + f" {line}" * 2), (2 * k + 1, body + f" {line}" * (6, 10, 19)[k % 3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [2 * k for k in range(12)]
