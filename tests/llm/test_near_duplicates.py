@@ -149,3 +149,22 @@ def test_similar_by_sets_not_repeats(spark):
         rows += [(2 * k, body + f" {line}" * 2), (2 * k + 1, body + f" {line}" * (6, 10, 19)[k % 3])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [2 * k for k in range(12)]
+
+
+def test_similar_in_crowded_buckets(spark):
+    """Every shingle is shared by many dissimilar texts, so a copy is hardly ever next to its original or first in a bucket."""
+    from lexigauge.llm.simhash import shingle_hashes
+    from lexigauge.llm.simhash_similar import drop_near_duplicates
+
+    rnd, words, texts = random.Random(12), [f"c{i}" for i in range(9000)], {}
+    blocks = [[" ".join(rnd.choices(words, k=20)) for _ in range(2)] for _ in range(20)]
+    for k in range(40):
+        picks = [rnd.randrange(2) for _ in blocks]
+        texts[k] = " ".join(b[x] for b, x in zip(blocks, picks, strict=True))
+        picks[k % 20] ^= 1
+        texts[100 + k] = " ".join(b[x] for b, x in zip(blocks, picks, strict=True))
+    sets = {i: set(shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    want = reach(texts, [(a, b) for a, b in itertools.combinations(texts, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sum(want[i] != i for i in texts) >= 40
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == sorted(i for i in texts if want[i] == i)
