@@ -1,8 +1,8 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
+"""Benchmark decontamination by seed hashing, in DataFrame operations only.
 
-A mask selects some tokens of a window and ignores the others, so a window still hashes alike when an ignored token was
-substituted. Benchmark and training windows that share a hash are hits; around each hit the item is laid over the
-document and matching tokens are counted, which tolerates substitutions.
+A mask selects tokens of a window. Benchmark and training windows that share a hash are hits; around each hit the item is
+laid over the document and matching tokens are counted, which tolerates substitutions. The masks are as short as the
+tolerance asks: whatever overlay is accepted has a run of matches that is as long as its item's mask, so none is missed.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lexigauge.llm.common import staged, without
 
-#: Masks: 1 selects a token, 0 ignores it. Six of ten tokens each; any two differ where a substitution may fall.
-MASKS = ("1101001101", "1011010011", "1110110001")
+#: Masks: 1 selects a token. An item is searched by the longest one that no accepted overlay of it can lack.
+MASKS = ("1", "11", "111", "11111", "11111111")
 
 
 @dataclass(frozen=True)
@@ -76,27 +76,43 @@ def overlay(doc: Column, item: Column, shift: Column, miss: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), start, step)
 
 
+def sure_run(size: Column, overlap: Overlap) -> Column:
+    """How long a run of matches is in any accepted overlay of ``size`` tokens, at least.
+
+    m matches that k mismatches divide lie in k + 1 runs, so one has m / (k + 1) or more. By ``share`` k is at most what
+    it leaves over; by ``stretch`` m is stretch + miss * k at least, and m + k tokens must fit into the item.
+    """
+    least = F.ceil(size * overlap.share)
+    by_share = F.ceil(least / (size - least + 1))
+    k = F.floor((size - overlap.stretch) / (overlap.miss + 1))
+    by_stretch = F.when(k >= 0, F.least(F.ceil((overlap.stretch + overlap.miss * k) / (k + 1)), F.lit(overlap.stretch)))
+    return F.greatest(F.least(by_share, by_stretch), F.lit(1)).cast("int")
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, overlap: Overlap | None = None) -> DataFrame:
     """Return doc_id, item_id, matched int, item_tokens int, stretch int: one row per document and item found in it.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text. matched counts the item's tokens met by its best overlay,
-    stretch is the best scoring run of one. Items shorter than the masks are searched as one contiguous window of all
-    their tokens; those of fewer than ``min_words`` tokens, and null or empty texts, are never found. Repeated items and
+    stretch is the best scoring run of one. Whatever overlay ``overlap`` accepts is found, in items of any length; those
+    of fewer than ``min_words`` tokens, and null or empty texts, are never found. Repeated items and
     documents are found once per id. Other columns are neither read nor returned.
     Without benchmark items the result is empty.
 
     The documents are scanned once; no document text is shuffled, only the hits' ids and counts are.
     """
     overlap = overlap or Overlap()
-    span = len(MASKS[0])
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") >= overlap.min_words)
-    short = [r.n for r in items.where(F.size("item") < span).select(F.size("item").alias("n")).distinct().orderBy("n").collect()]
-    masks = [*MASKS, *("1" * n for n in short)]  # at most span - 1 more
-    own = items.select("item_id", "item", F.posexplode(seeds(F.col("item"), masks)).alias("pos", "seed"))
+    sure = sure_run(F.size("item"), overlap)
+    fitting = sum(((sure >= len(m)).cast("int") for m in MASKS), F.lit(0)) - 1
+    items = items.withColumn("own", fitting)
+    used = [r.own for r in items.select("own").distinct().orderBy("own").collect()]  # at most one per mask
+    masks = [MASKS[k] for k in used] or [MASKS[0]]
+    own = items.select("item_id", "item", "own", F.posexplode(seeds(F.col("item"), masks)).alias("pos", "seed"))
     ends = [F.lit(0)]
     for m in masks:
         ends.append(ends[-1] + _windows(F.col("item"), m))
     own = own.withColumn("mask", sum(((F.col("pos") >= e).cast("int") for e in ends[1:]), F.lit(0)))
+    own = own.where(F.get(F.array(*[F.lit(k) for k in used or [0]]), F.col("mask")) == F.col("own"))
     own = staged(own.select("item_id", "item", "seed", "mask", place(F.col("item"), masks, F.col("pos"), F.col("mask")).alias("item_at")).distinct(), "seeds")
     small = own.count() <= BROADCAST_SEEDS
     rows = docs.select("doc_id", tokens(F.col("text")).alias("doc"))

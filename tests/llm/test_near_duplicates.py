@@ -168,3 +168,36 @@ def test_similar_in_crowded_buckets(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert sum(want[i] != i for i in texts) >= 40
     assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == sorted(i for i in texts if want[i] == i)
+
+
+def test_decontamination_finds_what_it_accepts(spark):
+    """Random substitutions up to the accepted share, in items of 5 to 40 tokens: all found, as by laying all shifts."""
+    from lexigauge.llm.decontamination import benchmark_hits
+
+    rnd, words = random.Random(6), [f"v{i}" for i in range(4000)]
+    items = {n: rnd.choices(words, k=n) for n in range(5, 41)}
+    docs = {}
+    for n, item in items.items():
+        for k in range(6):
+            w = list(item)
+            for i in rnd.sample(range(n), (3 * n // 10) + k // 5):
+                w[i] = "zzz"
+            docs[10 * n + k] = rnd.choices(words, k=15) + w + rnd.choices(words, k=rnd.choice([0, 9]))
+
+    def best(doc, item):
+        found = (0, 0)
+        for shift in range(1 - len(item), len(doc)):
+            same = [0 <= shift + i < len(doc) and doc[shift + i] == x for i, x in enumerate(item)]
+            now = top = 0
+            for s in same:
+                now = max(0, now + (1 if s else -2))
+                top = max(top, now)
+            found = (max(found[0], sum(same)), max(found[1], top))
+        return found
+
+    want = {(d, n): best(doc, item) for d, doc in docs.items() for n, item in items.items() if len(set(doc) & set(item)) > 2}
+    want = {(*k, m, s) for k, (m, s) in want.items() if 10 * m >= 7 * k[1] or s >= 12}
+    assert len(want) >= 5 * len(items)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.matched, r.stretch) for r in benchmark_hits(table, bench).collect()} == want
