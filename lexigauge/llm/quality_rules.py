@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence.
 
 A document's character-class histogram and its histogram over the common words of its language are compared to those of
-the language (all documents together) by Jensen-Shannon distance. Short texts are guarded: below a minimum length a
+the language (all its documents together) by Jensen-Shannon distance. Short texts are guarded: below a minimum length a
 histogram says nothing, and the bound on the word distance widens with the sampling noise of a short text.
 """
 
@@ -31,8 +31,7 @@ class Rules:
     max_char_distance: float = 0.30
     max_word_distance: float = 0.22  # plus word_noise / sqrt(words)
     word_noise: float = 1.5
-    min_reference_words: int = 5000  # languages with less text are compared to all languages together
-    max_languages: int = 1000  # the most frequent languages have a reference of their own
+    min_reference_words: int = 5000  # guard: languages with less text have no reference, their distances are not judged
 
 
 @dataclass
@@ -44,10 +43,11 @@ class Reference:
     words: np.ndarray = field(default_factory=lambda: np.ones(1))
 
 
-def references(docs: DataFrame, rules: Rules, text: str = "text", lang: str = "lang") -> dict[str | None, Reference]:
-    """Histograms of every language (null: unnamed) and, under "*", of all languages together, over all documents.
+def references(docs: DataFrame, rules: Rules, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Histograms of every language of ``min_reference_words`` or more words, over all its documents (null: unnamed):
+    lang, classes array<long>, common array<struct<rank, word, share>>.
 
-    Two partial aggregations; what reaches the driver is bounded by max_languages * (common_words + classes).
+    Two partial aggregations; nothing is collected, so any number of languages has a reference.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), body.alias("text"))
@@ -61,28 +61,20 @@ def references(docs: DataFrame, rules: Rules, text: str = "text", lang: str = "l
                 sums[name] = sums.get(name, 0) + class_counts(body.as_py())
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), **{n: pa.array([int(v[i]) for v in sums.values()], pa.int64()) for i, n in enumerate(names)}})
 
-    chars = rows.mapInArrow(classes, f"lang string, {', '.join(f'{n} long' for n in names)}").groupBy("lang").agg(*[F.sum(n).alias(n) for n in names])
+    chars = rows.mapInArrow(classes, f"lang string, {', '.join(f'{n} long' for n in names)}").groupBy("lang").agg(F.array(*[F.sum(n) for n in names]).alias("classes"))
     words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     by_size = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     words = staged(words, "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    biggest = totals.orderBy(F.desc("total"), "lang").limit(rules.max_languages)
-    top = words.join(F.broadcast(biggest), "lang").withColumn("rank", F.row_number().over(by_size)).where(F.col("rank") <= rules.common_words)
-    overall = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(rules.common_words)
-    total = words.agg(F.sum("n")).first()[0] or 0
-    out: dict[str | None, Reference] = {}
-    found: dict[str, list] = {"*": [(r.word, r.n / total) for r in overall.collect()]}
-    for r in top.orderBy("lang", "rank").collect():
-        if r.total >= rules.min_reference_words:
-            found.setdefault(r.lang, []).append((r.word, r.n / r.total))
-    histograms = {r.lang: np.array([r[n] for n in names], float) for r in chars.join(F.broadcast(biggest.select("lang")), "lang", "left_semi").collect()}
-    pooled = chars.agg(*[F.sum(n).alias(n) for n in names]).first()
-    histograms["*"] = np.array([x or 0 for x in pooled], float)
-    for name, pairs in found.items():
-        p = np.array([x for _, x in pairs])
-        h = histograms[name]
-        out[name] = Reference(h / max(h.sum(), 1), {w: i for i, (w, _) in enumerate(pairs)}, np.append(p, max(0.0, 1 - p.sum())))
-    return out
+    totals = words.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= rules.min_reference_words)
+    top = words.withColumn("rank", F.row_number().over(by_size)).where(F.col("rank") <= rules.common_words).join(totals, "lang")
+    common = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", (F.col("n") / F.col("total")).alias("share")))).alias("common"))
+    return common.join(chars, "lang").select("lang", "classes", "common")
+
+
+def reference(classes: list[int], common: list[dict]) -> Reference:
+    """A row of ``references`` as histograms."""
+    h, p = np.array(classes, float), np.array([x["share"] for x in common])
+    return Reference(h / max(h.sum(), 1), {x["word"]: i for i, x in enumerate(common)}, np.append(p, max(0.0, 1 - p.sum())))
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -93,12 +85,12 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, terms / 2)))
 
 
-def judge(s: TextStats, ref: Reference, rules: Rules) -> dict:
-    """The counts and the verdict of one text."""
+def judge(s: TextStats, ref: Reference | None, rules: Rules) -> dict:
+    """The counts and the verdict of one text. Without a reference of its language only the base rule is judged."""
     char = word = None
-    if s.n_chars >= rules.min_chars:
+    if ref and s.n_chars >= rules.min_chars:
         char = round(distance(s.classes / s.n_chars, ref.chars), 6)
-    if s.n_words >= rules.min_histogram_words:
+    if ref and s.n_words >= rules.min_histogram_words:
         rest = len(ref.bins)
         bins = np.array([ref.bins.get(w.decode().lower(), rest) for w in s.distinct])
         word = round(distance(np.bincount(bins[s.ids], minlength=rest + 1) / s.n_words, ref.words), 6)
@@ -110,16 +102,26 @@ def judge(s: TextStats, ref: Reference, rules: Rules) -> dict:
 FIELDS = (("n_words", pa.int64(), "bigint"), ("word_chars", pa.int64(), "bigint"), ("n_symbols", pa.int64(), "bigint"), ("n_dup_lines", pa.int64(), "bigint"), ("n_repeat_words", pa.int64(), "bigint"), ("base_failed", pa.bool_(), "boolean"), ("char_distance", pa.float64(), "double"), ("word_distance", pa.float64(), "double"), ("kept", pa.bool_(), "boolean"))
 
 
+#: References (about 2 KB each) that may be broadcast; more are joined by shuffle.
+BROADCAST_LANGUAGES = 5000
+
+
 def assessed(docs: DataFrame, keep: Sequence[str], rules: Rules, text: str = "text", lang: str = "lang") -> DataFrame:
     """Every row of ``docs`` as columns row (struct of ``keep``) and q (struct of counts and verdict)."""
     small_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(references(docs, rules, text, lang))
+    known = staged(references(docs, rules, text, lang), "references")
+    small = known.count() <= BROADCAST_LANGUAGES
     packed = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
+    packed = packed.join(F.broadcast(known) if small else known, "lang", "left").select("row", "text", "lang", "classes", "common")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = known.value
         for batch in batches:
-            found = [judge(TextStats(t.as_py()), refs.get(name, refs["*"]), rules) for t, name in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            refs: dict[str, Reference | None] = {}  # of this batch: a language's rows carry the same reference
+            found = []
+            for k, (t, name) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
+                if name not in refs:
+                    refs[name] = reference(batch.column(3)[k].as_py(), batch.column(4)[k].as_py()) if batch.column(4)[k].is_valid else None
+                found.append(judge(TextStats(t.as_py()), refs[name], rules))
             q = pa.StructArray.from_arrays([pa.array([x[n] for x in found], t) for n, t, _ in FIELDS], names=[n for n, _, _ in FIELDS])
             yield pa.RecordBatch.from_arrays([batch.column(0), q], names=["row", "q"])
 
@@ -130,8 +132,8 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Return doc_id, the counts, base_failed, char_distance, word_distance and kept: one row per input row.
 
     Reads doc_id, text and lang. Null and empty texts have no words, fail the base rule and have null distances; a null
-    language is a language of its own; languages with little text are compared to all languages together. Repeated rows
-    are judged alike. Null ids pass through. Other columns are neither read nor returned. An empty table gives an empty
+    language is a language of its own; texts of languages with too little text for a reference have null distances and are
+    judged by the base rule only. Repeated rows are judged alike. Null ids pass through. Other columns are neither read nor returned. An empty table gives an empty
     result.
     """
     return assessed(docs, ["doc_id"], rules or Rules()).select("row.doc_id", "q.*")

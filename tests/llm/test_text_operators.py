@@ -110,3 +110,20 @@ def test_classifier_held_out(spark, docs, empty):
     few = quality_scores(docs, labels.where("false")).collect()
     assert {r.score for r in few} == {0.5} and len(few) == len(ROWS)
     assert quality_scores(empty, labels).count() == 0
+
+
+def test_rare_languages_are_not_judged_by_others(spark):
+    """Clean texts of a language without enough words for a reference stay."""
+    from lexigauge.llm.quality_rules import quality_rules
+
+    rnd = np.random.default_rng(3)
+
+    def text(lang, n=120):
+        common = [f"{lang}{i}" for i in range(30)]
+        return " ".join(rnd.choice(common) if rnd.random() < 0.7 else f"{lang}x{rnd.integers(10**6)}" for _ in range(n))
+
+    rows = [(i, text("big"), "big") for i in range(100)] + [(1000 + i, text("rare"), "rare") for i in range(10)]
+    rows += [(2000 + i, text("rare"), "big") for i in range(3)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[1000 + i].kept and got[1000 + i].word_distance is None for i in range(10))
+    assert all(got[i].kept and got[i].word_distance is not None for i in range(100)) and not any(got[2000 + i].kept for i in range(3))
