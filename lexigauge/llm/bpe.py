@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigauge.llm.common import small_batches
+from lexigauge.llm.common import slices, small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Widths of the matrices; a longer row runs alone (see ``_long``). Rows of a matrix; entries of a worker's caches.
@@ -212,13 +212,6 @@ def decode(ids: np.ndarray, known: dict[int, bytes]) -> bytes:
     return b"".join(map(known.__getitem__, ids.tolist()))
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that a slice holds about ``most`` bytes of a column: long texts then cost no more memory."""
-    rows = max(1, int(batch.num_rows * most / max(most, batch.column(column).nbytes)))
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 def bpe_encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Return doc_id and ids array<int>: one row per input row, repeated rows included.
 
@@ -230,7 +223,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for whole in batches:
-            for batch in _slices(whole, 1):
+            for batch in slices(whole, 1):
                 ids = own.encode_batch([t or "" for t in batch.column(1).to_pylist()])
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
@@ -252,7 +245,7 @@ def bpe_decode(encoded: DataFrame, path: str, digests: bool = False) -> DataFram
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokens(path)
         for whole in batches:
-            for batch in _slices(whole, 1):
+            for batch in slices(whole, 1):
                 column = batch.column(1)
                 offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
                 n, marks, raw = [], [], []

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +19,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (plain local sessions) a temporary folder of this machine is taken and set
-    as the session's checkpoint folder.
+    Only where that setting is absent and the master is local a temporary folder of this machine is taken and set as
+    the session's checkpoint folder; on a cluster its absence is an error, as executors share no other folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="lexigauge-")
@@ -52,17 +57,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ids (8 bytes each) that an anti join may broadcast.
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that a slice holds about ``most`` bytes of a column: long texts then cost no more memory."""
+    rows = max(1, int(batch.num_rows * most / max(most, batch.column(column).nbytes)))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
+#: Ids (8 bytes each) that a join may broadcast.
 BROADCAST_IDS = 1_000_000
 
 
+def sized(table: DataFrame, most: int, name: str) -> DataFrame:
+    """``table`` written and counted, for a join: marked for broadcast up to ``most`` rows, joined by shuffle beyond."""
+    table = staged(table, name)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose key is not in ``ids``; rows with a null key stay.
 
-    ``ids`` is written and counted: up to BROADCAST_IDS of them are broadcast, so the documents are not shuffled; more
-    are joined by shuffle.
+    Up to BROADCAST_IDS ids are broadcast, so the documents are not shuffled; more are joined by shuffle.
     """
-    gone = staged(ids.select(key).where(f"{key} is not null").distinct(), "without")
-    small = gone.count() <= BROADCAST_IDS
+    gone = ids.select(key).where(f"{key} is not null").distinct()
+    columns = docs.columns
+    return docs.join(sized(gone, BROADCAST_IDS, "without"), key, "left_anti").select(*columns)
+
+
+def within(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose key is in ``ids``, joined like ``without``."""
     columns = docs.columns
-    return docs.join(F.broadcast(gone) if small else gone, key, "left_anti").select(*columns)
+    return docs.join(sized(ids.select(key).distinct(), BROADCAST_IDS, "within"), key, "left_semi").select(*columns)
