@@ -170,34 +170,56 @@ def test_similar_in_crowded_buckets(spark):
     assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == sorted(i for i in texts if want[i] == i)
 
 
-def test_decontamination_finds_what_it_accepts(spark):
-    """Random substitutions up to the accepted share, in items of 5 to 40 tokens: all found, as by laying all shifts."""
-    from lexigauge.llm.decontamination import benchmark_hits
+def _overlays(doc, item):
+    """Largest number of matches and best stretch among the accepted overlays; None without one."""
+    found = []
+    for shift in range(1 - len(item), len(doc)):
+        same = [0 <= shift + i < len(doc) and doc[shift + i] == x for i, x in enumerate(item)]
+        now = top = 0
+        for s in same:
+            now = max(0, now + (1 if s else -2))
+            top = max(top, now)
+        if 10 * sum(same) >= 7 * len(item) or top >= 12:
+            found.append((sum(same), top))
+    return found and (max(m for m, _ in found), max(t for _, t in found))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_finds_what_it_accepts(spark, broadcast, monkeypatch):
+    """Random substitutions up to the accepted share and beyond, in items of 1 to 40 tokens: as by laying all shifts."""
+    from lexigauge.llm import decontamination
 
     rnd, words = random.Random(6), [f"v{i}" for i in range(4000)]
-    items = {n: rnd.choices(words, k=n) for n in range(5, 41)}
+    items = {n: rnd.choices(words, k=n) for n in range(1, 41)}
     docs = {}
     for n, item in items.items():
         for k in range(6):
             w = list(item)
-            for i in rnd.sample(range(n), (3 * n // 10) + k // 5):
+            for i in rnd.sample(range(n), min(n, (3 * n // 10) + k // 5)):
                 w[i] = "zzz"
             docs[10 * n + k] = rnd.choices(words, k=15) + w + rnd.choices(words, k=rnd.choice([0, 9]))
-
-    def best(doc, item):
-        found = (0, 0)
-        for shift in range(1 - len(item), len(doc)):
-            same = [0 <= shift + i < len(doc) and doc[shift + i] == x for i, x in enumerate(item)]
-            now = top = 0
-            for s in same:
-                now = max(0, now + (1 if s else -2))
-                top = max(top, now)
-            found = (max(found[0], sum(same)), max(found[1], top))
-        return found
-
-    want = {(d, n): best(doc, item) for d, doc in docs.items() for n, item in items.items() if len(set(doc) & set(item)) > 2}
-    want = {(*k, m, s) for k, (m, s) in want.items() if 10 * m >= 7 * k[1] or s >= 12}
+    docs[1000], docs[None] = rnd.choices(words, k=300) + items[30] * 3, items[12] + items[25]
+    docs[1001] = []
+    want = {(d, n, *best) for d, doc in docs.items() for n, item in items.items() if set(doc) & set(item) and (best := _overlays(doc, item))}
     assert len(want) >= 5 * len(items)
-    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
-    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
-    assert {(r.doc_id, r.item_id, r.matched, r.stretch) for r in benchmark_hits(table, bench).collect()} == want
+    table = spark.createDataFrame([(i, " ".join(w), 7) for i, w in docs.items()], "doc_id long, text string, number int")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] * 2, "item_id long, text string")
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 0)
+    got = decontamination.benchmark_hits(table.unionByName(table.where("doc_id < 60")), bench).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.item_id, r.matched, r.stretch) for r in got} == want
+
+
+def test_masks_miss_nothing():
+    """The families chosen for lengths of up to 15: every pattern of as many mismatches as the rule accepts meets a mask."""
+    from lexigauge.llm.decontamination import FAMILIES, Overlap, avoidance, unmissable
+
+    chosen = unmissable(Overlap())
+    assert chosen[15:] == [0] * len(chosen[15:])
+    for n in range(1, 16):
+        masks = [m for m in FAMILIES[chosen[n]] if len(m) <= n]
+        wrong = n - -(-7 * n // 10)
+        for off in itertools.combinations(range(n), wrong):
+            hit = any(all(m[j] == "0" or s + j not in off for j in range(len(m))) for m in masks for s in range(n - len(m) + 1))
+            assert hit, (n, off)
+    assert avoidance(("11",), 4) == [0, 0, 1, 1, 2]
