@@ -1,7 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
 A compact table of frequent pre-token lengths is broadcast; what it lacks is encoded once per Python worker and kept in
-that worker's bounded cache. Pre-tokens never cross the network: only each task's bounded heavy-hitter summary does.
+that worker's bounded cache. No pre-token is shuffled: the table is made on the driver from a bounded sample of texts, and
+decides only how often the library is asked, never a result.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from lexigauge.llm.common import small_batches
 
 #: How sentencepiece writes a space inside a piece (fixed by the library).
 SPACE = "▁"
-#: Heavy hitters that a task reports, entries of the broadcast table, entries of a worker's cache: fixed bounds.
-TASK_TOP, TABLE_SIZE, CACHE_SIZE = 4096, 32768, 100_000
+#: Texts of the sample, pre-tokens that each of them reports, entries of the broadcast table and of a worker's cache.
+SAMPLE_TEXTS, TEXT_TOP, TABLE_SIZE, CACHE_SIZE = 4000, 512, 32768, 100_000
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -39,6 +40,10 @@ class Lengths:
 
     def __init__(self, model: str, frequent: dict[str, int], bound: int = CACHE_SIZE):
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
+        for i in range(self.model.vocab_size()):
+            piece = self.model.id_to_piece(i)
+            if SPACE in piece.lstrip(SPACE) or "\n" in piece:
+                raise ValueError(f"piece {piece!r} crosses a border of pre-tokens; this model cannot be counted by pre-tokens")
         self.frequent, self.bound = frequent, bound
         self.known: dict[str, int] = dict(frequent)
         self.older: dict[str, int] = {}
@@ -98,24 +103,23 @@ def _lengths(model: str, frequent: dict[str, int], key: str) -> Lengths:
     return _WORKER[key]
 
 
-def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most ``TASK_TOP`` (pre-token, n) rows per task; the counter is pruned whenever it outgrows its bound."""
-    seen: Counter[str] = Counter()
+def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``TEXT_TOP`` most frequent pre-tokens of each text, with their counts."""
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text:
-                seen.update(pre_tokens(text))
-        if len(seen) > 50 * TASK_TOP:
-            seen = Counter(dict(seen.most_common(10 * TASK_TOP)))
-    seen.pop("", None)
-    top = [(k, n) for k, n in seen.most_common(TASK_TOP) if len(k) <= 64]
-    yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+        top = [[(k, n) for k, n in Counter(pre_tokens(t or "")).most_common(TEXT_TOP) if 0 < len(k) <= 64] for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in x] for x in top], pa.list_(pa.string())), pa.array([[n for _, n in x] for x in top], pa.list_(pa.int64()))], names=["keys", "counts"])
 
 
 def frequent_lengths(docs: DataFrame, model: str, text: str = "text", size: int = TABLE_SIZE) -> dict[str, int]:
-    """Lengths of the ``size`` most frequent pre-tokens over all of ``docs``; bounded by ``size`` whatever the input."""
-    top = docs.select(F.col(text).alias("text")).mapInArrow(_heavy, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(size)
-    keys = [r.key for r in top.select("key").collect()]
+    """Lengths of the ``size`` most frequent pre-tokens in the first ``SAMPLE_TEXTS`` texts that Spark reads.
+
+    Reads no further than it must (``take``), whatever the size of ``docs``. Which texts these are plays no part in the
+    counts, as any other pre-token is encoded where it occurs.
+    """
+    seen: Counter[str] = Counter()
+    for row in docs.select(F.col(text).alias("text")).mapInArrow(_top, "keys array<string>, counts array<bigint>").take(SAMPLE_TEXTS):
+        seen.update(dict(zip(row["keys"], row["counts"], strict=True)))
+    keys = [k for k, _ in seen.most_common(size)]
     lengths = Lengths(model, {})
     lengths.learn(set(keys))
     return {k: lengths.known[k] for k in keys}
@@ -125,7 +129,7 @@ def token_counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     """Return doc_id, n_bytes long, n_tokens long, over_limit boolean: one row per input row, repeated rows included.
 
     ``model``: file of a sentencepiece BPE model, readable on every executor. ``frequent``: the first tier; taken from
-    ``docs`` if None. A null text counts as empty (0 bytes, 0 tokens). Null ids pass through. Texts of any length are
+    ``docs`` if None. A model with pieces that cross borders of pre-tokens is refused. A null text counts as empty (0 bytes, 0 tokens). Null ids pass through. Texts of any length are
     counted whole. Other columns of ``docs``, whatever their names, are neither read nor returned. An empty table gives
     an empty result.
     """
