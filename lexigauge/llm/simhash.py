@@ -69,14 +69,14 @@ def ball(radius: int) -> list[int]:
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Verified links a > b between distinct fingerprints (column fingerprint), enough of them to connect whatever links.
 
-    All fingerprints on one variant lie within half the radius of it (65 at most for radius 2), hence within the radius
-    of each other; each is linked to the smallest of them, not to all others.
+    Two fingerprints within an even radius meet on a variant that lies within half the radius of both; within an odd one
+    the variant lies within the smaller half of one of them. So each fingerprint on a variant is linked to the smallest of
+    those within the smaller half, which is within the radius of all the others.
     """
-    half = (radius + 1) // 2
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(half)])
-    met = distinct.select("fingerprint", F.explode(masks).alias("m")).select("fingerprint", F.col("fingerprint").bitwiseXOR(F.col("m")).alias("variant"))
-    least = F.min("fingerprint").over(Window.partitionBy("variant"))
-    pairs = met.select("fingerprint", least.alias("b")).where("fingerprint <> b").select(F.col("fingerprint").alias("a"), "b").distinct()
+    masks = F.array(*[F.lit(m).cast("long") for m in ball((radius + 1) // 2)])
+    met = distinct.select("fingerprint", F.explode(masks).alias("m")).select("fingerprint", (F.bit_count("m") <= radius // 2).alias("core"), F.col("fingerprint").bitwiseXOR(F.col("m")).alias("variant"))
+    least = F.min(F.when(F.col("core"), F.col("fingerprint"))).over(Window.partitionBy("variant"))
+    pairs = met.select("fingerprint", least.alias("b")).where("fingerprint <> b").select(F.greatest("fingerprint", "b").alias("a"), F.least("fingerprint", "b").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
