@@ -92,12 +92,36 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int, resolution: int = R
         spans = [(starts[i], ends[j - 1]) for i, j in zip(edges, edges[1:], strict=False)]
 
 
+def even_cuts(groups: DataFrame, total: int, shards: int, resolution: int = RESOLUTION) -> list[int]:
+    """Cuts of the smallest feasible capacity that lie as near as they can to equal shares of ``total``.
+
+    Greedy cuts from the left are the latest that the capacity allows, those from the right the earliest. Each cut is
+    the candidate nearest to its equal share among these two and the group ends next to the share, as long as the shard
+    fits and the rest can still be cut.
+    """
+    late = minimax_cuts(groups, total, shards, resolution)
+    if len(late) == 1:
+        return late
+    capacity = max(b - a for a, b in zip([0, *late], late, strict=False))
+    mirrored = groups.where(f"end < {total}").select((F.lit(total) - F.col("end")).alias("end")).unionByName(groups.limit(1).select(F.lit(total).cast("long").alias("end")))
+    back = minimax_cuts(mirrored, total, shards, resolution)
+    early = [*([0] * (shards - len(back))), *(total - c for c in reversed(back[:-1]))]
+    shares = [total * i // shards for i in range(1, shards)]
+    near = groups.agg(*[f(F.when(F.expr(f"end {op} {s}"), F.col("end"))) for s in shares for f, op in ((F.max, "<="), (F.min, ">="))]).first()
+    out = [0]
+    for i, share in enumerate(shares):
+        room = [c for c in (near[2 * i], near[2 * i + 1], early[i], late[min(i, len(late) - 1)]) if c is not None and max(early[i], out[-1]) <= c <= out[-1] + capacity]
+        out.append(min(room or [out[-1]], key=lambda c: abs(c - share)))
+    return [c for i, c in enumerate(out) if c > (out[i - 1] if i else 0) and c < total] + [total]
+
+
 def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, doc_id: str = "doc_id", text: str = "text", resolution: int = RESOLUTION) -> DataFrame:
     """Return doc_id, size long, text_crc32 long, law string, shard int, slot long, grown_shard int (null).
 
     Size: UTF-8 bytes of the text (null: none) plus ``overhead``. Rows with equal texts form a group, which stays whole;
     groups are ordered by the SHA-256 of their text, rows of a group by doc_id. Shards 0 to ``shards`` - 1 are
-    contiguous runs of groups; the largest is as small as any contiguous cut of this order allows (law ``bytes``). Slots
+    contiguous runs of groups; the largest is as small as any contiguous cut of this order allows, and among such cuts they
+    are near equal shares (law ``bytes``). Slots
     count the rows of a shard from 0 without gaps. With few or very large groups the last shards may be empty. Null and
     empty texts are equal. Repeated rows each get a slot. Null ids come first in their group. Other columns are neither
     read nor returned. An empty table gives an empty result.
@@ -118,7 +142,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, doc_id:
     placed = staged(placed.select("doc_id", "size", "text_crc32", "h", (F.col("upto") + F.col("bytes_before")).alias("upto"), (F.col("n") + F.col("rows_before") - 1).alias("row")), "placed")
     groups = staged(placed.groupBy("h").agg(F.max("upto").alias("end"), F.max("row").alias("last")), "groups")
     top = groups.agg(F.max("end")).first()[0]
-    cuts = minimax_cuts(groups.select("end"), top, shards, resolution) if top is not None else []
+    cuts = even_cuts(groups.select("end"), top, shards, resolution) if top is not None else []
     firsts = {r.end: r["last"] + 1 for r in groups.where(F.col("end").isin(cuts)).select("end", "last").collect()} if cuts else {}
     # a row lies in the shard of its group: the number of cuts before the start of its place in the order
     shard = sum(((F.col("upto") > F.lit(c)).cast("int") for c in cuts[:-1]), F.lit(0))
