@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from lexigauge.llm.common import slices, small_batches
 
 NONE = np.int32(2**31 - 1)
-#: Widths of the matrices; a longer row runs alone (see ``_long``). Rows of a matrix; entries of a worker's caches.
-WIDTHS, ROWS, CACHE_SIZE = (4, 8, 12, 16, 24, 32, 64), 8192, 60_000
+#: Widths of the matrices; a longer row, whose rounds would cost its square, runs alone (see ``_long``). Cells of a matrix;
+#: entries of a worker's caches.
+WIDTHS, CELLS, CACHE_SIZE = (4, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024, 2048, 4096), 1 << 18, 60_000
 
 
 class Pairs:
@@ -151,7 +152,7 @@ class Encoder:
         low = 0
         for width in WIDTHS:
             bucket = np.flatnonzero((sizes > low) & (sizes <= width))
-            for part in (bucket[i : i + ROWS] for i in range(0, len(bucket), ROWS)):
+            for part in (bucket[i : i + CELLS // width] for i in range(0, len(bucket), CELLS // width)):
                 raw = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in part]), np.uint8).reshape(-1, width)
                 ids, lengths = self._matrix(self.bytes_[raw], sizes[part])
                 flat = ids[np.arange(width) < lengths[:, None]].astype("<u4").tobytes()
