@@ -44,7 +44,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     lines = [
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <{ID_PREFIX}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{ID_PREFIX}{page_id if page_id is not None else f'none:{uuid.uuid4()}'}>",
         f"WARC-Date: {NO_DATE}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{_digest(hashlib.sha1(payload))}",
@@ -97,7 +97,7 @@ class Record:
         revisit = f.get("warc-type") == "revisit"
         whole = not self.left and self.tail == b"\r\n\r\n" and f.get("warc-block-digest") == "sha1:" + _digest(self.block)
         held = self.payload_bytes == 0 if revisit else (self.payload_bytes == full and stated == _digest(self.payload))
-        number = lambda key: int(x) if (x := f.get(key, "").removeprefix(f"<{ID_PREFIX}").removesuffix(">")) else None
+        number = lambda key: int(x[1]) if (x := re.fullmatch(f"<{ID_PREFIX}(-?[0-9]+)>", f.get(key, ""))) else None
         return {"page_id": number("warc-record-id"), "url": f.get("warc-target-uri"), "payload_bytes": full, "payload_digest": stated, "record_type": f.get("warc-type"), "refers_to": number("warc-refers-to"), "verified": bool(whole and held)}
 
 
@@ -169,7 +169,10 @@ def read_warc(manifest: DataFrame, folder: str, partitions: int) -> DataFrame:
     """Read the archives that the manifest names, one task per ``partitions`` of them, each file as a stream.
 
     Return page_id, url, payload_bytes, payload_digest (bare base32 SHA-1, both of the full payload), record_type,
-    refers_to, verified (framing, block digest and payload digest hold).
+    refers_to, verified (framing, block digest and payload digest hold). A row per record: pages without an id or url come
+    back with a null id and an empty url, rows that repeat each come back, payloads of any length stream through. An empty
+    manifest gives an empty result. Records of pages without an id have random ids of their own; pages that repeat an id
+    share one, since nothing tells them apart.
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
