@@ -16,7 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,33 +37,43 @@ def unescape(text: str) -> str:
 
 
 def event_log(conversations: DataFrame) -> DataFrame:
-    """Rows of (conv_id, turn, role, text) as a log: each text is streamed in two halves after a draft that is edited away.
+    """Rows of (conv_id, turn, role, text) as a log: conv_id, message_id, seq, role, kind, text.
 
-    seq follows turn, then role and text, so that repeated rows and ties of turn keep a defined order. It gives logs to
-    tables that hold finished turns only.
+    It gives logs to tables that hold finished turns only. By the CRC of its text a message is streamed in two halves,
+    or drafted, regenerated and streamed, or drafted and edited. A message ends only after the next turn has begun, so
+    the messages of a conversation interleave. seq follows turn, then role and text, so that repeated rows and ties of
+    turn keep a defined order; null texts count as empty, and an empty table gives an empty log.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     half = (F.length(body) / 2).cast("int")
-    kinds = F.array(
-        F.struct(F.lit(0).alias("step"), F.lit("message").alias("kind"), F.lit("draft").alias("piece")),
-        F.struct(F.lit(1).alias("step"), F.lit("regenerate").alias("kind"), F.lit("").alias("piece")),
-        F.struct(F.lit(2).alias("step"), F.lit("delta").alias("kind"), F.substring(body, F.lit(1), half).alias("piece")),
-        F.struct(F.lit(3).alias("step"), F.lit("delta").alias("kind"), F.substring(body, half + 1, F.length(body)).alias("piece")),
-    )
+    first, second = F.substring(body, F.lit(1), half), F.substring(body, half + 1, F.length(body))
+    ways = [
+        [("message", first), ("delta", second)],
+        [("message", F.lit("draft")), ("regenerate", F.lit("")), ("delta", first), ("delta", second)],
+        [("message", F.lit("draft")), ("delta", F.lit(" of it")), ("edit", body)],
+    ]
+    logs = [F.array(*[F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), piece.alias("piece")) for step, (kind, piece) in enumerate(way)]) for way in ways]
     # a row's message id must tell repeated rows apart: they are counted first, then numbered
     rows = conversations.select("conv_id", "turn", "role", body.alias("text")).groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
     message = F.struct("turn", "role", F.sha2(F.col("text"), 256).alias("mark"), "copy")
-    return rows.withColumn("e", F.explode(kinds)).select("conv_id", message.alias("message_id"), F.struct(message.alias("m"), F.col("e.step").alias("step")).alias("seq"), "role", F.col("e.kind").alias("kind"), F.col("e.piece").alias("text"))
+    way = F.crc32(F.col("text").cast("binary")) % len(ways)
+    events = rows.withColumn("e", F.explode(F.when(way == 0, logs[0]).when(way == 1, logs[1]).otherwise(logs[2])))
+    place = F.col("turn") * 2 + F.when(F.col("e.step") > 0, 3).otherwise(0)
+    seq = F.struct(place.alias("place"), message.alias("m"), F.col("e.step").alias("step"))
+    return events.select("conv_id", message.alias("message_id"), seq.alias("seq"), "role", F.col("e.kind").alias("kind"), F.col("e.piece").alias("text"))
 
 
 def fold(events: DataFrame) -> DataFrame:
     """Final messages of a log: conv_id, message_id, seq (of its first event), role, text.
 
-    Events of a message are gathered by (conv_id, message_id), so a conversation of any length is spread over tasks; a
-    message is bounded by its own text. What precedes the last message, edit or regenerate event of a message is dropped,
+    Folding a conversation's log in order of seq touches one message an event, and no event of another message changes
+    it. So the log is partitioned by conversation and message, each part is sorted by seq and folded, and the messages
+    are ordered by their first events: the same result as one walk over the whole log, while a conversation of any length
+    is spread over tasks and a message is bounded by its own text. What precedes the last message, edit or regenerate event of a message is dropped,
     the rest is concatenated in order of seq. Repeated events (same seq, kind and text) count once. The role is that of
-    the first event. Null texts count as empty; messages whose last such event is ``delete`` disappear.
+    the first event. Null texts count as empty; messages whose last such event is ``delete`` disappear. Other columns
+    are neither read nor returned. An empty log gives an empty result.
     """
     pieces = F.array_sort(F.collect_set(F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))))
     grouped = events.groupBy("conv_id", "message_id").agg(F.min("seq").alias("seq"), F.min_by("role", "seq").alias("role"), pieces.alias("events"))
@@ -85,7 +95,8 @@ def render(messages: DataFrame) -> DataFrame:
 
     The concatenation of formatted in order of seq is the conversation; it is kept by turn, since one conversation may be
     larger than a task. Only texts of the role assistant are trained on: they carry the mask, as written, escapes
-    included; other turns have a null mask. Null roles are rendered as empty.
+    included; other turns have a null mask. Null roles and texts are rendered as empty, texts of any length whole; null
+    ids pass through. Other columns are neither read nor returned. An empty table gives an empty result.
     """
     role = F.regexp_replace(escaped(F.coalesce("role", F.lit(""))), ":", r"\\:")
     body = escaped(F.coalesce("text", F.lit("")))
@@ -111,16 +122,17 @@ def digests(rendered: DataFrame) -> DataFrame:
     """Read conversations back from their rendered turns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     The turns of a conversation stream in order through one task, with constant memory: a digest over a whole
-    conversation has to see it in order.
+    conversation has to see it in order. Ids may be of any type; rows with a null id are one conversation. An empty table
+    gives an empty result.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kind = rendered.schema["conv_id"].dataType.simpleString()
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, turns, loss, n, chars, total, started = None, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, False
-        for frame in frames:
+        for batch in batches:
             out = []
-            for conv, formatted, start, length in zip(frame["conv_id"].array, frame["formatted"], frame["start"].array, frame["length"].array, strict=True):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, formatted, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if started and conv != now:
                     out.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), total))
                 if not started or conv != now:
@@ -128,15 +140,19 @@ def digests(rendered: DataFrame) -> DataFrame:
                 for role, text in parse(formatted):
                     turns.update(f"{role}\n{text}\n".encode())
                     n += 1
-                if not pd.isna(start):
-                    own = unescape(formatted[int(start) : int(start) + int(length)])
+                if start is not None:
+                    own = unescape(formatted[start : start + length])
                     loss.update(own.encode())
                     chars += len(own)
                 total += len(formatted)
-            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+            yield table(out, batch.schema.field(0).type)
         if started:
-            yield pd.DataFrame([(now, n, turns.hexdigest(), chars, loss.hexdigest(), total)], columns=names).astype({"conv_id": "Int64"})
+            yield table([(now, n, turns.hexdigest(), chars, loss.hexdigest(), total)], batch.schema.field(0).type)
+
+    def table(rows: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+        kinds = (of, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     rows = rendered.select("conv_id", "seq", "formatted", F.col("loss.start").alias("start"), F.col("loss.length").alias("length"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq").select("conv_id", "formatted", "start", "length")
-    return rows.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

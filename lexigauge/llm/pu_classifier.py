@@ -193,5 +193,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, t: Training | None = None
 
 
 def keep_predicted(docs: DataFrame, labels: DataFrame, t: Training | None = None) -> DataFrame:
-    """The rows of ``docs`` that the classifier takes for good ones, with all their columns."""
+    """The rows of ``docs`` that the classifier takes for good ones, with all their columns, null ids and repeats included."""
     return scored(docs, labels, docs.columns, t).where("score >= 0.5").select("row.*")

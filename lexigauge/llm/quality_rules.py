@@ -44,7 +44,7 @@ class Reference:
 
 
 def references(docs: DataFrame, rules: Rules, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Histograms of every language of ``min_reference_words`` or more words, over all its documents (null: unnamed):
+    """Histograms of every language of ``min_reference_words`` or more words, over all its documents (null: the language ""):
     lang, classes array<long>, common array<struct<rank, word, share>>.
 
     Two partial aggregations; nothing is collected, so any number of languages has a reference.
@@ -132,13 +132,13 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Return doc_id, the counts, base_failed, char_distance, word_distance and kept: one row per input row.
 
     Reads doc_id, text and lang. Null and empty texts have no words, fail the base rule and have null distances; a null
-    language is a language of its own; texts of languages with too little text for a reference have null distances and are
-    judged by the base rule only. Repeated rows are judged alike. Null ids pass through. Other columns are neither read nor returned. An empty table gives an empty
-    result.
+    language counts as the language ""; texts of languages with too little text for a reference have null distances and are
+    judged by the base rule only. Repeated rows are judged alike. Null ids pass through. Other columns are neither read
+    nor returned. An empty table gives an empty result.
     """
     return assessed(docs, ["doc_id"], rules or Rules()).select("row.doc_id", "q.*")
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns, null ids and repeats included."""
     return assessed(docs, docs.columns, rules or Rules()).where("q.kept").select("row.*")

@@ -34,12 +34,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on the url of every page: five rules, else the n-gram model trained on urls that the rules decide."""
-    from lexigauge.llm.url_filter import Rule, Training, labelled_by_rules, url_verdicts
+    """Verdict on the url of every page: five rules, else the n-gram model trained on the small labelled table."""
+    from lexigauge.llm.url_filter import Rule, labelled_urls, url_verdicts
 
     rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
-    pages = read(spark, sf_dir, "pages")
-    return url_verdicts(pages, rules, labelled_by_rules(pages, rules, Training().sample))
+    return url_verdicts(read(spark, sf_dir, "pages"), rules, labelled_urls(spark))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +68,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = scratch(spark, "warc")
     manifest = write_warc(read(spark, sf_dir, "pages"), folder, minimum=0)
-    partitions = max(1, min(manifest.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    back = read_warc(manifest, folder, partitions)
+    back = read_warc(manifest, folder, max(1, manifest.count()))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
@@ -150,14 +148,12 @@ c7 as (select doc_id, lang, n, list_append(six, n - list_sum(six)) as c from cls
 cn as (select lang, lower(word) as word, count(*) as n from w group by 1, 2),
 tot as (select lang, sum(n) as total from cn group by 1),
 own as (select lang, word, n / cast(total as double) as q from (select *, row_number() over (partition by lang order by n desc, word) as rn from cn) join tot using (lang) where rn <= 40 and total >= 5000),
-pooled as (select word, n / cast((select sum(total) from tot) as double) as q from (select word, n, row_number() over (order by n desc, word) as rn from (select word, sum(n) as n from cn group by 1)) where rn <= 40),
-ref as (select * from own union all select lang, word, q from tot cross join pooled where total < 5000),
-refsum as (select lang, sum(q) as q from ref group by 1),
+refsum as (select lang, sum(q) as q from own group by 1),
 chars as (select lang, k, sum(c[k]) as n from c7 cross join (select range as k from range(1, 8)) group by 1, 2),
-charref as (select t.lang, k, sum(x.n) / cast(sum(sum(x.n)) over (partition by t.lang) as double) as q from tot t join chars x on t.total < 5000 or x.lang = t.lang group by 1, 2),
+charref as (select t.lang, k, sum(x.n) / cast(sum(sum(x.n)) over (partition by t.lang) as double) as q from tot t join chars x on t.total >= 5000 and x.lang = t.lang group by 1, 2),
 cd as (select doc_id, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) as s from (select doc_id, c[k] / cast(n as double) as p, q from c7 join charref using (lang) where n >= 200) group by 1),
 wp as (select doc_id, lang, lower(word) as word, count(*) / cast(any_value(n_words) as double) as p from w join sizes using (doc_id) where n_words >= 50 group by 1, 2, 3),
-seen as (select doc_id, sum(p) as p, sum(q) as q, sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) as s from wp join ref using (lang, word) group by 1),
+seen as (select doc_id, sum(p) as p, sum(q) as q, sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) as s from wp join own using (lang, word) group by 1),
 wd as (select doc_id, s + (rq - q) + case when pr > 1e-12 then pr * log2(pr / ((pr + qr) / 2)) else 0 end + case when qr > 0 then qr * log2(qr / ((pr + qr) / 2)) else 0 end as s
   from (select d.doc_id, coalesce(s.s, 0) as s, coalesce(s.q, 0) as q, r.q as rq, 1 - coalesce(s.p, 0) as pr, 1 - r.q as qr from d join sizes z on d.doc_id = z.doc_id and z.n_words >= 50 join refsum r using (lang) left join seen s on s.doc_id = d.doc_id)),
 f as (select d.doc_id, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,

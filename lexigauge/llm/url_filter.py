@@ -8,11 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigauge.llm.labelled_urls import ALLOWED, BLOCKED
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules are literals of the plan, so their number is bounded.
+#: So many rules are literals of the plan; more are a table that is joined by host.
 MOST_RULES = 500
 
 
@@ -53,8 +55,6 @@ def path(url: Column) -> Column:
 
 def rule_of(rules: Sequence[Rule]) -> Column:
     """The longest rule that fits columns host and path: struct of name and verdict, or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     out = F.lit(None).cast("struct<name:string,verdict:string>")
     for r in sorted(rules, key=lambda r: (len(r.name), r.name)):  # the longest is asked first
         fits = ((F.col("host") == r.host) | F.endswith("host", F.lit(f".{r.host}"))) & F.startswith("path", F.lit(r.path))
@@ -62,6 +62,21 @@ def rule_of(rules: Sequence[Rule]) -> Column:
     return out
 
 
+def with_rule(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``rows`` (with host and path) and found: the longest rule that fits, as ``rule_of`` gives it.
+
+    Beyond MOST_RULES rules each distinct (host, path) meets the rules of its host and of its parent domains.
+    """
+    if len(rules) <= MOST_RULES:
+        return rows.withColumn("found", rule_of(rules))
+    table = rows.sparkSession.createDataFrame([(r.host, r.path, r.name, r.verdict) for r in rules], "domain string, start string, name string, verdict string")
+    parts = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    fits = rows.select("host", "path").distinct().select("host", "path", F.explode(domains).alias("domain")).join(table, "domain").where(F.startswith("path", "start"))
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("name", "verdict"), F.struct(F.length("name").alias("n"), "name")).alias("found"))
+    return rows.join(best, ["host", "path"], "left")
+
+
 def grams(host: str, path: str, t: Training) -> np.ndarray:
     """Distinct hashed character n-grams of host and of path; the two have separate hashes."""
     found = set()
@@ -99,13 +114,9 @@ def train(pairs: list[tuple[str, str]], allowed: np.ndarray, t: Training) -> np.
     return w
 
 
-def labelled_by_rules(pages: DataFrame, rules: Sequence[Rule], size: int) -> DataFrame:
-    """A small labelled table (url, allowed) for lack of a hand-made one: urls that the rules decide, ``size`` at most.
-
-    Distinct urls of smallest hash, so the table does not depend on partitions; bounded by ``size``.
-    """
-    known = pages.select("url").where("url is not null").select("url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("rule", rule_of(rules)).where("rule is not null")
-    return known.select("url", (F.col("rule.verdict") == "allow").alias("allowed")).distinct().orderBy(F.xxhash64("url"), "url").limit(size)
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The small labelled table (url, allowed) that comes with this package."""
+    return spark.createDataFrame([*((u, True) for u in ALLOWED.split()), *((u, False) for u in BLOCKED.split())], "url string, allowed boolean")
 
 
 def url_verdicts(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame, t: Training | None = None) -> DataFrame:
@@ -133,7 +144,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame, t
             out[open_] = 1 / (1 + np.exp(-np.clip(_logit(w, index, of, len(open_)), -30, 30)))
             yield pa.RecordBatch.from_arrays([row, pa.array(out, from_pandas=True)], names=["row", "score"])
 
-    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("found", rule_of(rules))
+    rows = with_rule(pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), rules)
     packed = rows.select(F.struct("page_id", "host", "path", F.col("found.name").alias("rule"), F.col("found.verdict").alias("verdict")).alias("row"))
     found = packed.mapInArrow(score, f"row {packed.schema['row'].dataType.simpleString()}, score double")
     verdict = F.coalesce("row.verdict", F.when(F.col("score") >= 0.5, "allow").otherwise("block"))

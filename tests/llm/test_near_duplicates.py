@@ -223,3 +223,39 @@ def test_masks_miss_nothing():
             hit = any(all(m[j] == "0" or s + j not in off for j in range(len(m))) for m in masks for s in range(n - len(m) + 1))
             assert hit, (n, off)
     assert avoidance(("11",), 4) == [0, 0, 1, 1, 2]
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_links_of_any_radius(spark, radius):
+    """Fingerprints crowded around few centres: the links connect what all pairs within the radius connect."""
+    from lexigauge.llm.graph import components
+    from lexigauge.llm.simhash import links
+
+    rnd = random.Random(radius)
+    marks = set()
+    for _ in range(4):
+        centre = rnd.getrandbits(64)
+        for _ in range(40):
+            mark = centre
+            for bit in rnd.sample(range(64 if radius == 1 else 20), rnd.randrange(4)):
+                mark ^= 1 << bit
+            marks.add(mark - (1 << 64) if mark >> 63 else mark)
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= radius
+    want = reach(marks, [(a, b) for a, b in itertools.combinations(marks, 2) if near(a, b)])
+    pairs = links(spark.createDataFrame([(m,) for m in marks], "fingerprint long"), radius)
+    assert all(near(r.a, r.b) for r in pairs.collect())
+    got = {r.node: r.root for r in components(pairs).collect()}
+    assert {m: got.get(m, m) for m in marks} == want
+
+
+def test_shards_are_even(spark):
+    """Groups of like size: no shard is far from its equal share, the last ones included."""
+    from lexigauge.llm.sharding import assign_shards
+
+    rnd = random.Random(8)
+    docs = spark.createDataFrame([(i, "x" * rnd.randrange(80, 120) + str(i)) for i in range(4000)], "doc_id long, text string")
+    size = {}
+    for r in assign_shards(docs, 40, resolution=50).collect():
+        size[r.shard] = size.get(r.shard, 0) + r.size
+    mean = sum(size.values()) / 40
+    assert len(size) == 40 and all(abs(n - mean) <= 150 for n in size.values())

@@ -43,12 +43,12 @@ def test_chat_events(spark):
 
 
 def test_urls(spark):
-    from lexigauge.llm.url_filter import Rule, labelled_by_rules, url_verdicts
+    from lexigauge.llm.url_filter import Rule, labelled_urls, url_verdicts
 
     urls = [None, "", "nope", "HTTP://WWW.Example.ORG", "http://a.example.org/es/x?y#z", "x://b://c/d", "https://example.org?x/es/", "https://notexample.org/es/", "http://shop.com/de/1", "http://shop.com/de/1"]
     frame = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "com", "/de/")]
-    got = {r.page_id: (r.host, r.path, r.rule) for r in url_verdicts(frame, rules, labelled_by_rules(frame, rules, 100)).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule) for r in url_verdicts(frame, rules, labelled_urls(spark)).collect()}
     assert got == {0: ("", "", None), 1: ("", "", None), 2: ("", "", None), 3: ("www.example.org", "", None), 4: ("a.example.org", "/es/x", "example.org/es/"), 5: ("b:", "//c/d", None), 6: ("example.org", "", None), 7: ("notexample.org", "/es/", "org/"), 8: ("shop.com", "/de/1", "com/de/"), 9: ("shop.com", "/de/1", "com/de/")}
     assert url_verdicts(frame.where("false"), rules, frame.where("false").selectExpr("url", "true as allowed")).count() == 0
 
@@ -96,3 +96,75 @@ def test_oracles(spark, name):
     clean = lambda v: round(v, 5) if isinstance(v, float) and not math.isnan(v) else v
     want = sorted((tuple(clean(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)
     assert sorted((tuple(clean(r[c]) for c in columns) for r in frame.collect()), key=repr) == want
+
+
+def test_labelled_urls_held_out(spark):
+    """Five folds of the small labelled table: the model tells the kinds of held-out urls apart."""
+    from lexigauge.llm.url_filter import labelled_urls, url_verdicts
+
+    rows = [(k, r.url, r.allowed) for k, r in enumerate(sorted(labelled_urls(spark).collect()))]
+    table = spark.createDataFrame(rows, "page_id long, url string, allowed boolean").cache()
+    right = 0
+    for fold in range(5):
+        got = url_verdicts(table.where(f"page_id % 5 = {fold}"), [], table.where(f"page_id % 5 <> {fold}")).collect()
+        right += sum((r.verdict == "allow") == rows[r.page_id][2] for r in got)
+    assert right >= 0.9 * len(rows)
+
+
+@pytest.mark.parametrize("most", [500, 0])
+def test_host_path_rule_as_sql(spark, most, monkeypatch):
+    """Host, path and rule of every page, as literals of the plan and as a joined table, against DuckDB."""
+    from lexigauge.llm import url_filter as u
+
+    monkeypatch.setattr(u, "MOST_RULES", most)
+    folder = "/root/testdata/sf0.01"
+    rules = [u.Rule("allow", "org", "/"), u.Rule("block", "example.org", "/es/"), u.Rule("block", "example.org", "/en/1"), u.Rule("allow", "com", "/fr/"), u.Rule("block", "com", "/de/")]
+    odd = [(-1, None), (-2, "no scheme"), (-3, "http://EXAMPLE.org"), (-4, "x://org?://a/b"), (-5, "http://notexample.org/es/1"), (-6, "http://a.com/fr/?#/de/"), (-6, "http://a.com/fr/?#/de/")]
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame(odd, "page_id long, url string"))
+    got = u.url_verdicts(pages, rules, u.labelled_urls(spark)).collect()
+    con = duckdb.connect(config={"threads": 2})
+    con.execute("create table odd (page_id bigint, url varchar)")
+    con.executemany("insert into odd values (?, ?)", odd)
+    con.execute("create table rules (verdict varchar, host varchar, path varchar)")
+    con.executemany("insert into rules values (?, ?, ?)", [(r.verdict, r.host, r.path) for r in rules])
+    want = con.execute(f"""with p as (select page_id, url, row_number() over () as k from (select page_id, url from '{folder}/pages.parquet' union all select * from odd)),
+      t as (select k, page_id, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end as rest from p),
+      h as (select k, page_id, lower(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) as host, regexp_extract(regexp_replace(coalesce(rest, ''), '^[^/?#]*', ''), '^[^?#]*') as path from t)
+      select any_value(page_id), any_value(h.host), any_value(h.path), arg_max(r.host || r.path, length(r.host || r.path)), arg_max(r.verdict, length(r.host || r.path))
+      from h left join rules r on (h.host = r.host or ends_with(h.host, '.' || r.host)) and starts_with(h.path, r.path) group by k""").fetchall()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in got), key=key) == sorted(want, key=key)
+    assert all((r.score is None) == (r.rule is not None) and r.verdict in ("allow", "block") for r in got)
+
+
+def test_interleaved_log_is_one_walk(spark):
+    """A log whose messages interleave, with edits, regenerations, repeats and a deletion, against one walk in order of seq."""
+    from lexigauge.llm.chat import digests, fold, render
+
+    rnd, rows = random.Random(3), []
+    for conv in ("a", "b", "ü"):
+        for seq in range(120):
+            kind = rnd.choice(["message", "delta", "delta", "delta", "edit", "regenerate", *(["delete"] if seq > 100 else [])])
+            rows.append((conv, rnd.randrange(8), seq, rnd.choice(["user", "assistant", None]), kind, rnd.choice([None, "", "x", "### ", "</turn>", "\\", "é\n"])))
+    rows += rows[::7]
+    want = {}
+    for conv, message, seq, role, kind, text in sorted(set(rows), key=lambda r: (r[0], r[2])):
+        now = want.setdefault((conv, message), [seq, role, ""])
+        if kind == "delete":
+            now[2] = None
+        elif kind == "delta":
+            now[2] = now[2] if now[2] is None else now[2] + (text or "")
+        else:
+            now[2] = text or ""
+    want = {k: v for k, v in want.items() if v[2] is not None}
+    log = spark.createDataFrame(rows, "conv_id string, message_id int, seq int, role string, kind string, text string").repartition(5)
+    messages = fold(log)
+    assert {(r.conv_id, r.message_id): [r.seq, r.role, r.text] for r in messages.collect()} == want
+    got = {r.conv_id: r for r in digests(render(messages)).collect()}
+    for conv in got:
+        turns = [v for k, v in sorted(want.items(), key=lambda x: x[1][0]) if k[0] == conv]
+        said = "".join(t for _, r, t in turns if r == "assistant")
+        assert got[conv].n_turns == len(turns) and got[conv].loss_chars == len(said)
+        assert got[conv].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
+    assert digests(render(fold(log.where("false")))).count() == 0
