@@ -16,12 +16,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigauge.llm.common import slices, small_batches
+from lexigauge.llm.common import light, slices, small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Widths of the matrices; a longer row, whose rounds would cost its square, runs alone (see ``_long``). Cells of a matrix;
-#: entries of a worker's caches.
-WIDTHS, CELLS, CACHE_SIZE = (4, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024, 2048, 4096), 1 << 18, 60_000
+#: entries of a worker's caches. Bytes of text encoded at once.
+WIDTHS, CELLS, CACHE_SIZE = (4, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024, 2048, 4096), 1 << 18, 40_000
+SLICE = 1 << 20
 
 
 class Pairs:
@@ -201,6 +202,12 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _WORKER[path, pattern]
 
 
+def forget() -> None:
+    """Empty the caches of this worker's encoders; their tables stay."""
+    for own in _WORKER.values():
+        own.known, own.older = {}, {}
+
+
 def tokens(path: str) -> dict[int, bytes]:
     """Rank -> token, read once per Python worker."""
     if path not in _TOKENS:
@@ -224,7 +231,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, SLICE):
                 ids = own.encode_batch([t or "" for t in batch.column(1).to_pylist()])
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
@@ -233,14 +240,35 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
 
     small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(light(encode, forget), f"doc_id {kind}, ids array<int>")
+
+
+def bpe_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encode texts and decode the ids again in one pass: doc_id, n_tokens long, ids_sha256, decoded_sha256 string.
+
+    One row per input row; the same as ``bpe_decode(bpe_encode(...), digests=True)``, but ids and bytes stay in the worker.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = encoder(path, pattern), tokens(path)
+        for whole in batches:
+            for batch in slices(whole, 1, SLICE):
+                ids = own.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+                marks = [hashlib.sha256(x).hexdigest() for x in ids]
+                raw = [hashlib.sha256(decode(np.frombuffer(x, "<u4"), known)).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(marks, pa.string()), pa.array(raw, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    small_batches(docs.sparkSession)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(light(of, forget), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_decode(encoded: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """Decode the ``ids`` of ``bpe_encode``: doc_id, n_tokens long, ids_sha256 string, and decoded binary.
 
     With ``digests`` the decoded bytes are replaced by decoded_sha256, so that they need not leave the worker. A null or
-    empty array decodes to no bytes.
+    empty array decodes to no bytes. One row per input row, repeats and null ids included; an empty table gives an empty
+    result.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,4 +290,4 @@ def bpe_decode(encoded: DataFrame, path: str, digests: bool = False) -> DataFram
                 )
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(of, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, {'decoded_sha256 string' if digests else 'decoded binary'}")
+    return encoded.select("doc_id", "ids").mapInArrow(light(of), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, {'decoded_sha256 string' if digests else 'decoded binary'}")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigauge.llm.common import light
+
 #: Marks of the template: before the role, between role and text, after the text.
 OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
 _SPECIAL, _ESCAPED = re.compile(r"\\|###|</turn>"), re.compile(r"\\(.)", re.S)
@@ -155,4 +157,4 @@ def digests(rendered: DataFrame) -> DataFrame:
 
     rows = rendered.select("conv_id", "seq", "formatted", F.col("loss.start").alias("start"), F.col("loss.length").alias("length"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq").select("conv_id", "formatted", "start", "length")
-    return rows.mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(light(read), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

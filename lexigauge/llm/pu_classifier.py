@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigauge.llm.common import small_batches
+from lexigauge.llm.common import light, small_batches
 from lexigauge.llm.textstats import CLASSES, TextStats
 
 FEATURES = (*(f"share_{c}" for c in CLASSES), "log_words", "word_length", "distinct", "repeat", "symbols", "dup_lines", "line_words", "top_word", "adjacent", "caps_words", "long_words", "no_letter", "end_mark", "odd_end", "head_other", "head_upper")
@@ -140,7 +140,7 @@ def _featured(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py()).tolist() for t in batch.column(1)], pa.list_(pa.float64()))], names=["row", "x"])
 
-    return rows.mapInArrow(of, f"row {rows.schema['row'].dataType.simpleString()}, x array<double>")
+    return rows.mapInArrow(light(of), f"row {rows.schema['row'].dataType.simpleString()}, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, t: Training, text: str = "text") -> Model | None:
@@ -178,7 +178,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: Sequence[str], t: Training
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["row", "score"])
 
     packed = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(text).alias("text"))
-    return packed.mapInArrow(of, f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    return packed.mapInArrow(light(of), f"row {packed.schema['row'].dataType.simpleString()}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, t: Training | None = None) -> DataFrame:

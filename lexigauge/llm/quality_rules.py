@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigauge.llm.common import small_batches, staged
+from lexigauge.llm.common import light, small_batches, staged
 from lexigauge.llm.textstats import CLASSES, TextStats, class_counts
 
 
@@ -61,7 +61,7 @@ def references(docs: DataFrame, rules: Rules, text: str = "text", lang: str = "l
                 sums[name] = sums.get(name, 0) + class_counts(body.as_py())
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), **{n: pa.array([int(v[i]) for v in sums.values()], pa.int64()) for i, n in enumerate(names)}})
 
-    chars = rows.mapInArrow(classes, f"lang string, {', '.join(f'{n} long' for n in names)}").groupBy("lang").agg(F.array(*[F.sum(n) for n in names]).alias("classes"))
+    chars = rows.mapInArrow(light(classes), f"lang string, {', '.join(f'{n} long' for n in names)}").groupBy("lang").agg(F.array(*[F.sum(n) for n in names]).alias("classes"))
     words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     by_size = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     words = staged(words, "words")
@@ -125,7 +125,7 @@ def assessed(docs: DataFrame, keep: Sequence[str], rules: Rules, text: str = "te
             q = pa.StructArray.from_arrays([pa.array([x[n] for x in found], t) for n, t, _ in FIELDS], names=[n for n, _, _ in FIELDS])
             yield pa.RecordBatch.from_arrays([batch.column(0), q], names=["row", "q"])
 
-    return packed.mapInArrow(of, f"row {packed.schema['row'].dataType.simpleString()}, q struct<{','.join(f'{n}:{k}' for n, _, k in FIELDS)}>")
+    return packed.mapInArrow(light(of), f"row {packed.schema['row'].dataType.simpleString()}, q struct<{','.join(f'{n}:{k}' for n, _, k in FIELDS)}>")
 
 
 def quality_rules(docs: DataFrame, rules: Rules | None = None) -> DataFrame:

@@ -54,11 +54,9 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte-level BPE, decoded again; digests of both."""
     import public_tokenizers
 
-    from lexigauge.llm.bpe import bpe_decode, bpe_encode
+    from lexigauge.llm.bpe import bpe_digests
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe_encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe_decode(ids, path, digests=True)
+    return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

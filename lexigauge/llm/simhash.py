@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigauge.llm.common import small_batches, staged
+from lexigauge.llm.common import light, small_batches, staged
 from lexigauge.llm.graph import components
 
 
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text:
 
     small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, f"doc_id {kind}, fingerprint bigint")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(light(of), f"doc_id {kind}, fingerprint bigint")
 
 
 def ball(radius: int) -> list[int]:

@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigauge.llm.common import small_batches
+from lexigauge.llm.common import light, small_batches
 
 #: How sentencepiece writes a space inside a piece (fixed by the library).
 SPACE = "▁"
@@ -117,7 +117,7 @@ def frequent_lengths(docs: DataFrame, model: str, text: str = "text", size: int
     counts, as any other pre-token is encoded where it occurs.
     """
     seen: Counter[str] = Counter()
-    for row in docs.select(F.col(text).alias("text")).mapInArrow(_top, "keys array<string>, counts array<bigint>").take(SAMPLE_TEXTS):
+    for row in docs.select(F.col(text).alias("text")).mapInArrow(light(_top), "keys array<string>, counts array<bigint>").take(SAMPLE_TEXTS):
         seen.update(dict(zip(row["keys"], row["counts"], strict=True)))
     keys = [k for k, _ in seen.most_common(size)]
     lengths = Lengths(model, {})
@@ -150,5 +150,5 @@ def token_counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     whole = rows.select(F.struct("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).alias("row"), "text")
-    counted = whole.mapInArrow(count, f"doc_id struct<doc_id:{kind},n_bytes:bigint>, n_tokens bigint")
+    counted = whole.mapInArrow(light(count), f"doc_id struct<doc_id:{kind},n_bytes:bigint>, n_tokens bigint")
     return counted.select("doc_id.doc_id", "doc_id.n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

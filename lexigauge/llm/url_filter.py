@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigauge.llm.common import light
+
 from lexigauge.llm.labelled_urls import ALLOWED, BLOCKED
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -146,6 +148,6 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame, t
 
     rows = with_rule(pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), rules)
     packed = rows.select(F.struct("page_id", "host", "path", F.col("found.name").alias("rule"), F.col("found.verdict").alias("verdict")).alias("row"))
-    found = packed.mapInArrow(score, f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    found = packed.mapInArrow(light(score), f"row {packed.schema['row'].dataType.simpleString()}, score double")
     verdict = F.coalesce("row.verdict", F.when(F.col("score") >= 0.5, "allow").otherwise("block"))
     return found.select("row.page_id", "row.host", "row.path", "row.rule", verdict.alias("verdict"), "score")

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigauge.llm.common import staged
+from lexigauge.llm.common import light, staged
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
@@ -162,7 +162,7 @@ def write_warc(pages: DataFrame, folder: str, minimum: int = 0, level: int = 3)
             done.append((path, n, size))
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
-    return staged(rows.mapInArrow(write, "path string, records long, bytes long"), "manifest")
+    return staged(rows.mapInArrow(light(write), "path string, records long, bytes long"), "manifest")
 
 
 def read_warc(manifest: DataFrame, folder: str, partitions: int) -> DataFrame:
