@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: English lexicon, version 1 (fixed values).
 LEXICON = {
@@ -76,56 +75,6 @@ def verdicts(spark: SparkSession) -> DataFrame:
     return rows.select("type", x.alias("first_share"), y.alias("second_share"), F.when((x >= 0.3) & (y >= 0.3), "strong").when((x >= 0.3) | (y >= 0.3), "mixed").otherwise("weak").alias("verdict"))
 
 
-def spans(text: str | None, forms: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
-    """Word-bounded, non-overlapping occurrences of (form, name), leftmost and longest first; case counts under 4 letters."""
-    import re
-
-    found = []
-    for form, name in forms:
-        tokens = re.findall(r"\w+", form)
-        if tokens:
-            pattern = r"(?<!\w)" + r"[\W_]*".join(map(re.escape, tokens)) + r"(?!\w)"
-            found += [(m.start(), m.end(), name) for m in re.finditer(pattern, text or "", 0 if len(form) < 4 else re.IGNORECASE)]
-    out: list[tuple[int, int, str]] = []
-    for a, b, name in sorted(found, key=lambda s: (s[0], -s[1], s[2])):
-        if not out or a >= out[-1][1]:
-            out.append((a, b, name))
-    return out
-
-
-SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("name", T.StringType())]))
-
-
-def find_spans(texts: DataFrame, key: str, text: str, forms: list[tuple[str, str]]) -> DataFrame:
-    """key, spans: where registered names stand in each text (a bounded registry travels with the function)."""
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "spans": [[{"start": a, "end": b, "name": n} for a, b, n in spans(t, forms)] for t in f[text]]})
-
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInPandas(of, f"{key} {kind}, spans array<struct<start:int,end:int,name:string>>")
-
-
-def mask(texts: DataFrame, key: str, text: str, forms: list[tuple[str, str]], target: str) -> DataFrame:
-    """key, masked: the target's name as [TARGET_BRAND], others as [OTHER_BRAND_n] by first appearance."""
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for t in f[text]:
-                body, seen, at = [], {}, 0
-                for a, b, name in spans(t, forms):
-                    mark = "[TARGET_BRAND]" if name == target else f"[OTHER_BRAND_{seen.setdefault(name, len(seen) + 1)}]"
-                    body += [t[at:a], mark]
-                    at = b
-                out.append("".join(body) + (t or "")[at:])
-            yield pd.DataFrame({key: f[key], "masked": out})
-
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInPandas(of, f"{key} {kind}, masked string")
-
-
 def page_text(pages: DataFrame) -> DataFrame:
     """page_id, title, headings, n_links, words: an HTML page read without its scripts and styles."""
     from html.parser import HTMLParser

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,33 @@ def host_label(url: Column) -> Column:
     return F.when(n >= 2, F.when(three, F.get(parts, n - 3)).otherwise(second)).otherwise(F.get(parts, F.lit(0)))
 
 
+def domain(url: Column) -> Column:
+    """What stands before the first slash of a link without its scheme, lower-cased."""
+    return F.lower(F.substring_index(F.regexp_replace(F.coalesce(url, F.lit("")), r"^https?://", ""), "/", 1))
+
+
+def safe(url: Column) -> Column:
+    """Whether a link is http(s) with a host and without a user part."""
+    return F.coalesce(url, F.lit("")).rlike(r"^https?://[^/?#@\s]+([/?#]|$)")
+
+
+def on_platform(name: Column, platforms: Sequence[str]) -> Column:
+    """Whether a host is one of the platforms or lies below one."""
+    return F.arrays_overlap(suffixes(name), F.array(*[F.lit(p) for p in platforms]))
+
+
+def kind_by_parts(name: Column, own: Sequence[str], rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """official if the letters of a domain have one of the brand's keys inside, else the first rule with a part of it, else other."""
+    from lexigauge.functions.text import comparison_key
+
+    key = comparison_key(name)
+    has = lambda text, parts: F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(text, p))
+    out = F.lit("other")
+    for kind, parts in reversed(rules):
+        out = F.when(has(name, parts), F.lit(kind)).otherwise(out)
+    return F.when(has(key, own), F.lit("official")).otherwise(out)
+
+
 def suffixes(name: Column) -> Column:
     """The host and all its parent domains, longest first."""
     parts = F.split(name, r"\.")

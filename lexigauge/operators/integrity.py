@@ -65,3 +65,15 @@ def json_fields(rows: DataFrame, column: str, fields: list[str]) -> DataFrame:
     """JSON text flattened to one column per field, named column__field; text that was encoded twice is decoded twice."""
     plain = F.when(F.substring(column, 1, 1) == '"', F.get_json_object(F.concat(F.lit('{"x":'), column, F.lit("}")), "$.x")).otherwise(F.col(column))
     return rows.select("*", *[F.get_json_object(plain, f"$.{f}").alias(f"{column}__{f}") for f in fields])
+
+
+def plan_status(answers: DataFrame, planned: DataFrame, by: str, complete: Column) -> DataFrame:
+    """Per group: answers, complete ones, planned ones that remain, and answers that no plan asked for."""
+    rows = answers.withColumn("_c", complete).join(planned.select("record_id").distinct().withColumn("_p", F.lit(True)), "record_id", "left")
+    there = F.col("_p").isNotNull()
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("answers"), F.count_if("_c").alias("complete"), F.count_if(~F.col("_c") & there).alias("remaining"), F.count_if(~there).alias("unplanned"))
+
+
+def cache_key(query: Column, *parameters: Column) -> Column:
+    """24 hex digits of the SHA-256 of a normalised query and its parameters."""
+    return F.substring(F.sha2(F.concat_ws("|", F.lower(F.trim(query)), *parameters), 256), 1, 24)

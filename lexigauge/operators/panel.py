@@ -102,3 +102,23 @@ def negatives(panel: DataFrame, most: int = 7) -> DataFrame:
     key = F.md5(F.concat_ws("|", F.col("record_id").cast("string"), "brand"))
     order = Window.partitionBy("record_id", "y_top").orderBy(key, "brand")
     return panel.withColumn("rn", F.row_number().over(order)).where((F.col("y_top") == 1) | (F.col("rn") <= most)).select("record_id", "brand", "y_top")
+
+
+def comparable(panel: DataFrame) -> DataFrame:
+    """Rows with feature_kind: every row for features of presence, retrieved candidates only for those of content."""
+    return panel.withColumn("feature_kind", F.lit("presence")).unionByName(panel.where("in_search_results = 1").withColumn("feature_kind", F.lit("content")))
+
+
+def coverage(panel: DataFrame) -> DataFrame:
+    """Per category: answers, those of enough confidence, of these the decided ones, of these those with the winner retrieved."""
+    sure = F.col("confidence") != "low"
+    decided = sure & (F.col("response_decided") == 1)
+    found = decided & (F.col("y_top") == 1) & (F.col("in_search_results") == 1)
+    count = lambda ok: F.countDistinct(F.when(ok, F.col("record_id")))
+    return panel.groupBy("category").agg(F.countDistinct("record_id").alias("answers"), count(sure).alias("confident"), count(decided).alias("decided"), count(found).alias("winner_retrieved"))
+
+
+def effective_folds(responses: DataFrame, wanted: int) -> DataFrame:
+    """Per category: the folds that its queries can fill, ``wanted`` at most and two at least."""
+    n = responses.groupBy("category").agg(F.countDistinct("query_id").alias("n"))
+    return n.select("category", F.least(F.lit(wanted), "n").cast("long").alias("smallest"), F.greatest(F.lit(2), F.least(F.lit(wanted), "n")).cast("long").alias("folds"))

@@ -125,3 +125,27 @@ def diagnose(rates: DataFrame) -> DataFrame:
         .otherwise("low_rank")
     )
     return rates.select("category", "brand", "presence", "median_position", "mention_on", "first_on", kind.alias("diagnosis"))
+
+
+def against_rivals(scored: DataFrame) -> DataFrame:
+    """brand, score (mean), rank (ties share the best place), rivals (mean of the other brands' scores).
+
+    One row per brand of the registry meets the windows.
+    """
+    means = scored.groupBy("brand").agg(F.round(F.avg("score"), 6).alias("score"))
+    every = Window.partitionBy()
+    others = (F.sum("score").over(every) - F.col("score")) / (F.count(F.lit(1)).over(every) - 1)
+    return means.select("brand", "score", F.rank().over(Window.orderBy(F.desc("score"))).alias("rank"), F.round(others, 6).alias("rivals"))
+
+
+def comparison_set(named: DataFrame, scores: DataFrame, target: str, k: int = 5) -> DataFrame:
+    """The brands to compare a target with: its ``k`` most named rivals, or without any the ``k`` best scored ones."""
+    best = lambda rows, by: rows.where(F.col("brand") != target).orderBy(F.desc(by), "brand").limit(k).select("brand")
+    rivals = best(named, "mentions")
+    return best(scores, "score") if rivals.isEmpty() else rivals
+
+
+def final_ranking(scored: DataFrame) -> DataFrame:
+    """record_id, brand, score, rank: candidates of an answer by score, then by name."""
+    order = Window.partitionBy("record_id").orderBy(F.desc("score"), "brand")
+    return scored.select("record_id", "brand", F.round("score", 6).alias("score"), F.row_number().over(order).alias("rank"))

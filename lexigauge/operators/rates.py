@@ -102,3 +102,11 @@ def plan_summary(answers: DataFrame) -> DataFrame:
 def findings(rates: DataFrame, specs: DataFrame) -> DataFrame:
     """The rates of given (category, condition, brand) findings, in percent."""
     return rates.join(F.broadcast(specs), ["category", "condition", "brand"]).select("category", "condition", "brand", F.col("wins").alias("count"), "denominator", F.round(F.col("rate") * 100, 4).alias("rate_percent"))
+
+
+def matched_intents(answers: DataFrame, queries: list[str]) -> DataFrame:
+    """Per query that both conditions ask: answers of each, and the difference of their shares with a winner in points."""
+    on = F.col("condition") == "search_on"
+    won = F.col("top").isNotNull().cast("int")
+    rows = answers.where(F.col("query_id").isin(queries)).groupBy("query_id").agg(F.count_if(on).alias("en"), F.count_if(~on).alias("tr"), F.avg(F.when(on, won)).alias("a"), F.avg(F.when(~on, won)).alias("b"))
+    return rows.where("en > 0 and tr > 0").select("query_id", "en", "tr", F.round(100 * (F.col("a") - F.col("b")), 4).alias("points"))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigauge.functions import audit as au
 from lexigauge.functions import text as tx
 from lexigauge.functions import urls as ur
 from lexigauge.operators import concentration as co
@@ -19,26 +16,10 @@ from lexigauge.operators import panel as pa
 from lexigauge.operators import profile as pr
 from lexigauge.operators import rates as ra
 from lexigauge.plans import design as de
+from lexigauge.plans.registry import ORACLES, QUERIES, query
 from lexigauge.sources import corpus as c
 from lexigauge.sources.corpus import oracle
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its oracle."""
-
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 # ---- rates ----------------------------------------------------------------------------------------------------------
 RATES = """rates as (
   select category, condition, brand, cast(coalesce(n, 0) as bigint) as wins, denominator, round(cast(coalesce(n, 0) as double) / denominator, 6) as rate
@@ -621,19 +602,6 @@ def taxonomy_shift(s, d):
     return wide.crossJoin(F.broadcast(total)).select("kind", ra.ratio(F.col("v1"), F.col("t1")).alias("v1"), ra.ratio(F.col("v2"), F.col("t2")).alias("v2"))
 
 
-FORMS = [("the", "The"), ("of the", "OfThe"), ("la", "La"), ("der", "Der"), ("que", "Que"), ("with", "With")]
-
-
-@query()
-def brand_spans(s, d):
-    return tx.find_spans(c.table(s, d, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn")), "key", "text", FORMS).select("key", F.size("spans").alias("n"), F.get("spans", F.lit(0)).getField("name").alias("first"), F.transform("spans", lambda x: x["name"]).alias("names"))
-
-
-@query()
-def mask_text(s, d):
-    return tx.mask(c.table(s, d, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn")), "key", "text", FORMS, "The")
-
-
 @query()
 def html_page_text(s, d):
     return tx.page_text(c.table(s, d, "pages"))
@@ -712,6 +680,4 @@ def _design(s: SparkSession, d: str) -> DataFrame:
     return features.join(panel.select("record_id", "brand", "category", "query_id"), ["record_id", "brand"])
 
 
-@query()
-def ethics_rules(s, d):
-    return c.table(s, d, "conversations").select("conv_id", "turn", au.broken_rules(F.col("text")).alias("rules"))
+from lexigauge.plans import answers_catalogue, checks_catalogue, lab_catalogue  # noqa: E402, F401  they register their queries

@@ -33,3 +33,40 @@ def card_position(calls: DataFrame, brands: int = 5) -> DataFrame:
     """Balanced position of a card: (repetition + hash of the cell) mod brands + 1."""
     offset = F.conv(F.substring(F.sha2("cell_id", 256), 1, 8), 16, 10).cast("long") % brands
     return calls.select("cell_id", "run", ((F.col("run") + offset) % brands + 1).alias("position"))
+
+
+def pilot(responses: DataFrame) -> DataFrame:
+    """category, query_id, model_id, condition, cell_id: the first query of each category in every cell, run once."""
+    first = responses.groupBy("category").agg(F.min("query_id").alias("query_id"))
+    models, conditions = responses.select("model_id").distinct(), responses.select("condition").distinct()
+    rows = first.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(conditions))  # a handful of models and conditions
+    return rows.select("category", "query_id", "model_id", "condition", F.concat_ws("_", "model_id", "condition", "query_id", F.lit("001")).alias("cell_id"))
+
+
+def jobs(queries: DataFrame, targets: list[str], arms: list[str], repetitions: int) -> DataFrame:
+    """query_id, arm, target, rep, job_id; the control's job id leaves the target out, so that its answer is made once."""
+    each = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    rows = queries.select("query_id", each(targets).alias("target")).select("*", each(arms).alias("arm")).select("*", each(list(range(1, repetitions + 1))).alias("rep"))
+    rep = F.col("rep").cast("string")
+    own = F.when(F.col("arm") == "control", F.concat_ws("|", "query_id", "arm", rep)).otherwise(F.concat_ws("|", "query_id", "target", "arm", rep))
+    return rows.select("query_id", "arm", "target", "rep", own.alias("job_id"))
+
+
+def second_round(groups: DataFrame, sentences: int, crossed: int) -> DataFrame:
+    """category, wave, kind, sentence, other, place: each sentence against a distant filler, then the best ones crossed."""
+    from pyspark.sql import Window
+
+    number = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
+    filler = groups.select("category", number(sentences, "sentence")).select("category", F.lit(1).alias("wave"), F.lit("filler").alias("kind"), "sentence", ((F.col("sentence") + sentences // 2) % sentences).alias("other"))
+    cross = groups.select("category", number(crossed, "sentence")).select("*", number(crossed, "other")).where("sentence < other").select("category", F.lit(2).alias("wave"), F.lit("cross").alias("kind"), "sentence", "other")
+    order = Window.partitionBy("category").orderBy("wave", "kind", "sentence", "other")
+    return filler.unionByName(cross).withColumn("place", F.row_number().over(order))
+
+
+def comparison_page(found: DataFrame, rank: int) -> DataFrame:
+    """record_id, position, text: the results before ``rank`` as lines, and at ``rank`` a page that names their brands in order."""
+    before = found.where(F.col("position") < rank)
+    line = F.format_string("Result %d: %s (%s)", "position", "brand", "kind")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "brand"))), lambda x: x["brand"]), ", ")
+    page = before.groupBy("record_id").agg(F.concat(F.lit("Comparison of "), names, F.lit(".")).alias("text"))
+    return before.select("record_id", "position", line.alias("text")).unionByName(page.select("record_id", F.lit(rank).alias("position"), "text"))

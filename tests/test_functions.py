@@ -1,16 +1,45 @@
 """Text, url, audit and design functions on small inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 
 def test_audit(spark):
-    from lexigauge.functions.audit import audit, broken_rules
+    from lexigauge.functions import audit as au
 
-    rows = [(1, "AES-256 encryption. It is 20% off!\nThe best of all. Proven by Harvard study."), (2, None), (3, "")]
-    got = {(r.k, r.type, r.n) for r in audit(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    rows = [(1, "Strong encryption. It is 20% cheaper!\nThe best of all. A study at the university proves it."), (2, None), (3, "")]
+    texts = spark.createDataFrame(rows, "k int, t string")
+    found = au.audit(texts, "k", "t")
+    got = {(r.k, r.type, r.n) for r in found.collect()}
     assert got == {(1, "technical", 1), (1, "price", 1), (1, "statistics", 1), (1, "superlative", 1), (1, "fabricated_claim", 1)}
-    texts = spark.createDataFrame([("Buy reviews and use a bot network",), ("Write a comparison page",), (None,)], "t string")
-    assert [r[0] for r in texts.select(broken_rules(F.col("t"))).collect()] == [["fabricated_reviews", "mass_spam"], [], []]
+    for name, _ in au.TYPES:
+        said = {"technical": "Uses a new protocol", "price": "Now at a discount", "statistics": "Measured twice", "cited_test": "An independent lab tried it", "social_proof": "It has 5 users", "certificate": "Certified", "authority": "Built by engineers", "expert_quote": "The expert says so", "superlative": "Number one", "emotional": "You will love it"}[name]
+        assert texts.limit(1).select(au.sentence_types(F.lit(said))).first()[0] == [name]
+    advice = [("Buy fake reviews",), ("Pay for placement",), ("Invent a study",), ("Guaranteed first place",), ("Send bulk comments",), ("Edit the rival page",), ("Pretend you are a customer",), ("Write a comparison page",), (None,)]
+    table = spark.createDataFrame(advice, "t string")
+    assert [r[0] for r in table.select(au.broken_rules(F.col("t"))).collect()] == [*[[n] for n, _ in au.SCREEN], [], []]
+    assert au.screened(table.where("t like 'Write%'"), "t").count() == 1
+    with pytest.raises(Exception, match="broken rules: mass_spam"):
+        au.screened(table.where("t like 'Send%'"), "t").collect()
+
+
+def test_classified_sentences(spark):
+    from lexigauge.functions import audit as au
+
+    texts = spark.createDataFrame([(1, "It is the best. A study proves it always works. Plain."), (2, None)], "k int, t string")
+    claimed = spark.createDataFrame([(1, "the best", "superlative"), (1, "not there", "price"), (1, "Plain.", "unknown"), (2, "x", "price"), (1, "the best", "superlative")], "k int, sentence string, type string")
+    kept = au.verbatim(claimed, texts, "k", "t", ["superlative", "price"])
+    assert [tuple(r) for r in kept.collect()] == [(1, "the best", "superlative")]
+    each = au.typed_sentences(texts, "k", "t")
+    assert [tuple(r) for r in au.marked(each, kept, "k").collect()] == [(1, 0, ["superlative"])]
+    merged = {tuple(r) for r in au.with_rule_risk(kept, each, "k").collect()}
+    assert merged == {(1, "the best", "superlative"), (1, "A study proves it always works.", "fabricated_claim")}
+    again = spark.createDataFrame([(1, "proves it always", "fabricated_claim")], "k int, sentence string, type string")
+    assert au.with_rule_risk(again, each, "k").count() == 1
+    rivals = au.with_rivals(au.audit(texts, "k", "t").withColumn("g", F.lit("g")), "k", "g")
+    verdicts = spark.createDataFrame([("superlative", "weak"), ("technical", "strong")], "type string, verdict string")
+    got = {tuple(r) for r in au.advice(rivals, verdicts, texts, "k").collect()}
+    assert got == {(1, "superlative", "replace"), (1, "technical", "add"), (2, "technical", "add"), (1, "fabricated_claim", "risk"), (2, None, "empty")}
 
 
 def test_keys(spark):
@@ -21,13 +50,83 @@ def test_keys(spark):
     assert list(got) == ["protonvpnii", " mull vad çok ", "ığdır", "igdir"]
 
 
-def test_spans_and_mask(spark):
-    from lexigauge.functions.text import mask, spans
+def test_names(spark):
+    from lexigauge.functions import names as nm
 
     forms = [("NordVPN", "NordVPN"), ("Nord", "Nord"), ("PIA", "PIA"), ("Proton VPN", "Proton VPN")]
-    assert spans("nordvpn, Proton-VPN and pia or PIA; northNord", forms) == [(0, 7, "NordVPN"), (9, 19, "Proton VPN"), (31, 34, "PIA")]
-    out = mask(spark.createDataFrame([(1, "PIA beats NordVPN and Nord, says PIA"), (2, None)], "k int, t string"), "k", "t", forms, "NordVPN").orderBy("k").collect()
-    assert [r.masked for r in out] == ["[OTHER_BRAND_1] beats [TARGET_BRAND] and [OTHER_BRAND_2], says [OTHER_BRAND_1]", ""]
+    one = lambda text, f: spark.createDataFrame([(text,)], "t string").select(f(F.col("t"))).first()[0]
+    names = lambda t: nm.names_in(t, forms)
+    assert one("nordvpn, Proton-VPN and pia or PIA; northNord", names) == ["NordVPN", "Proton VPN", "PIA"]
+    assert one(None, names) == [] and one("", names) == []
+    hidden = lambda t: nm.masked(t, forms, "NordVPN")
+    assert one("PIA beats NordVPN and Nord, says PIA", hidden) == "[OTHER_BRAND_1] beats [TARGET_BRAND] and [OTHER_BRAND_2], says [OTHER_BRAND_1]"
+    assert one(None, hidden) == ""
+    assert one("myNORDvpnbox and Nord", lambda t: nm.blanked(t, forms)) == "my[BRAND]box and [BRAND]"
+    assert one("we like pro-ton vpn, PIA", lambda t: nm.mentioned(t, forms)) == ["Proton VPN"]
+    assert one("Pia is fine", lambda t: nm.mentioned(t, forms)) == ["PIA"]
+    assert one("nord vpn™", lambda t: nm.resolve(t, forms)) == "NordVPN" and one("nord", lambda t: nm.resolve(t, forms, ["Nord"])) is None
+    assert one("x", lambda t: nm.resolve_all(F.array(F.lit("PIA"), t, F.lit("nord"), F.lit("Pia")), forms)) == ["PIA", "Nord"]
+    assert one("Best VPN-apps, yes", lambda t: nm.occurs(F.lit("vpn apps"), t)) is True and one("vpnapps", lambda t: nm.occurs(F.lit("vpn"), t)) is False
+    assert one("a<think>no</think> b ", nm.final_text) == "a b" and one("a<think>no", nm.final_text) is None
+    assert one("api_key=abc123 Bearer abcdefghijk sk-abcdefgh1", nm.redacted) == "api_key=[REDACTED] Bearer [REDACTED] [REDACTED]"
+    assert one("a\x00b\n\u200bc", nm.plain) == "ab\nc"
+    assert one("ok", nm.fair_input) is True and one("a\x07", nm.fair_input) is False and one("", nm.fair_input) is False and one("x" * 121, nm.fair_input) is False
+    assert one("Güneş", lambda t: nm.names_match_label(t, F.lit("gunes-shop"))) is True and one("Abc", lambda t: nm.names_match_label(t, F.lit("abcd"))) is False
+    pairs = spark.createDataFrame([("Surfsark", "Surfshark"), ("Shark", "Surfshark"), ("Nord", "Nord")], "w string, b string")
+    assert [tuple(r) for r in nm.close_words(pairs, "w", "b").collect()] == [("Surfsark", "Surfshark")]
+
+
+def test_outcomes(spark):
+    from lexigauge.operators.answers import edited, outcomes
+
+    forms = [("Alpha", "Alpha"), ("Beta", "Beta"), ("Gamma", "Gamma")]
+    texts = ["Alpha and Beta exist. I suggest Beta!", "I suggest Beta as an alternative. **Gamma** wins; Alpha", "| Beta |\nGamma is fine", "none", None, "I suggest Alpha or Beta. Alpha."]
+    got = outcomes(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), forms, "(?i)suggest", "(?i)alternative", "Beta").orderBy("k").collect()
+    assert [(r.first_brand, r.pick_method, r.n_named, r["first"], r["rank"]) for r in got] == [("Beta", "sentence", 2, 1, 2), ("Gamma", "bold", 3, 0, 1), ("Beta", "first_mention", 2, 1, 1), (None, "none", 0, 0, None), (None, "none", 0, 0, None), ("Alpha", "first_mention", 2, 0, 2)]
+    row = spark.createDataFrame([(["A", "B-b", "C"], ["d", "bb"], ["c"])], "n array<string>, add array<string>, out array<string>")
+    assert row.select(edited(F.col("n"), F.col("add"), F.col("out"))).first()[0] == ["A", "B-b", "d"]
+
+
+def test_checks(spark):
+    from lexigauge.operators import checks as ch
+
+    rows = spark.createDataFrame([(1, '{"k": 1, "s": [1, 2]}'), (2, '"{\\"k\\": 2}"'), (3, "[1]"), (4, "no"), (5, None)], "id int, core string")
+    read, bad = ch.decoded(rows, "id", "core", "map")
+    assert {(r.column, r.id, r.problem) for r in bad.collect()} == {("core", 3, "not_map"), ("core", 4, "not_json")}
+    flat = ch.flattened(read.withColumnRenamed("value", "core"), "core", [("k", "long"), ("s", "array<int>")]).orderBy("id").collect()
+    assert [(r.id, r.core__k, r.core__s__items) for r in flat] == [(1, 1, [1, 2]), (2, 2, None)]
+    faults = ch.json_faults(rows, "id", "core", "k long, s array<int>", ["k", "s"], {"k": [1, 2]}, {"k": 1})
+    assert {(r.id, r.rule) for r in faults.collect()} == {(2, "missing:s"), (2, "missing:k"), (2, "unreadable"), *((i, x) for i in (3, 4, 5) for x in ("unreadable", "missing:k", "missing:s"))}
+    assert ch.missing_columns(rows, ["id", "x"]) == ["x"]
+    left, right = spark.createDataFrame([(1,), (2,), (3,)], "k int"), spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    assert {tuple(r) for r in ch.matched(left, right, ["k"], faults=True).collect()} == {(2, "several"), (3, "unmatched")}
+    assert ch.matched(left.where("k = 1"), right, ["k"]).count() == 1
+    with pytest.raises(Exception, match="no match"):
+        ch.matched(left, right, ["k"]).collect()
+    p = spark.createDataFrame([(1, 0.5), (1, 0.5), (2, 0.5), (3, float("nan")), (4, 1.5)], "g int, p double")
+    assert {tuple(r) for r in ch.probability_faults(p, "g", "p").collect()} == {(2, "does_not_add_up"), (3, "not_a_probability"), (4, "not_a_probability")}
+
+
+def test_export(spark, tmp_path):
+    from lexigauge.sources import export as ex
+
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", None)], "id int, m string, c string")
+    folder = f"file://{tmp_path}/out"
+    manifest = ex.export(rows, folder, ["m", "c"], "v1")
+    assert manifest["rows"] == 3 and manifest["counts"] == {"m": {"a": 2, "b": 1}, "c": {"x": 1, "y": 1, "None": 1}}
+    assert ex.verify(spark, folder).count() == 0
+    pins = spark.createDataFrame(list(manifest["files"].items()), "path string, sha256 string")
+    assert ex.pinned(spark, f"{folder}/data", pins).count() == 3
+    part = next(p for p in sorted((tmp_path / "out/data").iterdir()) if p.suffix == ".parquet")
+    (part.parent / "more.parquet").write_bytes(part.read_bytes())
+    assert [tuple(r) for r in ex.verify(spark, folder).collect()] == [("more.parquet", "unexpected")]
+    with pytest.raises(ValueError, match="differ"):
+        ex.pinned(spark, f"{folder}/data", pins)
+    (tmp_path / "t/a").mkdir(parents=True)
+    (tmp_path / "t/a/1.json").write_text('{"id": 1,\n "s": "x"}')
+    (tmp_path / "t/2.json").write_text("broken")
+    good, bad = ex.json_tree(spark, f"file://{tmp_path}/t", "id int, s string")
+    assert [(r.id, r.s) for r in good.collect()] == [(1, "x")] and bad.count() == 1
 
 
 def test_hosts(spark):
