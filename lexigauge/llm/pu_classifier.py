@@ -2,7 +2,8 @@
 
 Trusted positives and unlabelled text train a linear model over binned text features by minimising the non-negative
 unbiased risk: pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)). The class prior pi is estimated from how
-an odd-sample model ranks the other half of both samples: the best ratio of unlabelled to positive mass above a score.
+a model of one half ranks the other half of both samples: the best ratio of unlabelled to positive mass above a score.
+The other half also sets where texts begin to be good, by the same risk with the zero-one loss.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ class Training:
     steps: int = 300
     rate: float = 0.05
     decay: float = 1e-3
+    cost: float = 3.0  # what losing a trusted positive weighs against keeping a text that is none
     least: int = 20  # with fewer positives or unlabelled texts there is no model: every text scores 0.5
 
 
@@ -99,21 +101,39 @@ def _fit(p: np.ndarray, u: np.ndarray, size: int, prior: float, t: Training) ->
     return w, float(bias)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
-    """Share of positives among the unlabelled, from scores: the smallest upper bound of u(c) / p(c) over all cuts c.
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, z: float = 1.0) -> float:
+    """Share of positives among the unlabelled, from scores: u(c) / p(c) at the cut c of the smallest upper bound.
 
-    u(c) and p(c) are the shares of unlabelled and positive scores of at least c; the bound adds both deviations.
+    u(c) and p(c) are the shares of unlabelled and positive scores of at least c. The bound adds ``z`` standard errors of
+    the one and takes them off the other.
     """
     p, u = np.sort(positive), np.sort(unlabelled)
     cuts = np.unique(p)
     qp, qu = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
-    slack = np.sqrt(np.log(4 / delta) / (2 * len(u))) + np.sqrt(np.log(4 / delta) / (2 * len(p)))
-    best = np.argmin((qu + slack) / qp)
+    high = (qu + z * np.sqrt(qu * (1 - qu) / len(u)) + z / len(u)) / np.maximum(qp - z * np.sqrt(qp * (1 - qp) / len(p)) - z / len(p), 1e-9)
+    best = np.argmin(high)
     return float(np.clip(qu[best] / qp[best], 0.05, 0.99))
 
 
+def cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float, cost: float) -> float:
+    """The score from which texts are good: it minimises the unbiased zero-one risk, a lost positive weighing ``cost``.
+
+    Of cuts that lose no further positive the highest is taken. Both samples must be ones that the scores were not fitted to.
+    """
+    p, u = np.sort(positive), np.sort(unlabelled)
+    cuts = np.unique(p)
+    risk = cost * prior * np.searchsorted(p, cuts) / len(p) - np.searchsorted(u, cuts) / len(u)
+    best = np.argmin(risk)
+    below = u[u < cuts[best]]
+    return float((cuts[best] + below[-1]) / 2) if len(below) else float(cuts[best]) - 1.0
+
+
 def train(p: np.ndarray, u: np.ndarray, t: Training) -> Model | None:
-    """Model of features of positives ``p`` and unlabelled texts ``u``; None if there are too few."""
+    """Model of features of positives ``p`` and unlabelled texts ``u``; None if there are too few.
+
+    Each half of both samples is fitted, and the other half gives the prior, the refit its risk needs, and the cut; the
+    model is the mean of both, in units of their spread, so that it is zero where texts begin to be good.
+    """
     if len(p) < t.least or len(u) < t.least:
         return None
     both = np.concatenate([p, u])
@@ -122,10 +142,15 @@ def train(p: np.ndarray, u: np.ndarray, t: Training) -> Model | None:
     tails = np.quantile(both, [0.002, 0.005, 0.01, 0.02, 0.98, 0.99, 0.995, 0.998], axis=0).T
     edges = np.sort(np.concatenate([edges, tails, both.min(0)[:, None] + 1e-9], 1), 1)
     bp, bu, size = binned(p, edges), binned(u, edges), len(FEATURES) * (edges.shape[1] + 1)
-    w, bias = _fit(bp[::2], bu[::2], size, 0.5, t)
-    prior = estimate_prior(w[bp[1::2]].sum(1) + bias, w[bu[1::2]].sum(1) + bias)
-    w, bias = _fit(bp, bu, size, prior, t)
-    return Model(edges, w, bias, prior)
+    first = [_fit(bp[k::2], bu[k::2], size, 0.5, t) for k in (0, 1)]
+    prior = float(np.mean([estimate_prior(w[bp[1 - k :: 2]].sum(1) + c, w[bu[1 - k :: 2]].sum(1) + c) for k, (w, c) in enumerate(first)]))
+    weights, bias = np.zeros(size), 0.0
+    for k in (0, 1):
+        w, c = _fit(bp[k::2], bu[k::2], size, prior, t)
+        zp, zu = w[bp[1 - k :: 2]].sum(1) + c, w[bu[1 - k :: 2]].sum(1) + c
+        spread = max(float(zu.std()), 1e-6) / 4
+        weights, bias = weights + w / spread / 2, bias + (c - cut(zp, zu, prior, t.cost)) / spread / 2
+    return Model(edges, weights, bias, prior)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -151,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, t: Training, text: str = "text") ->
     """
     order = F.xxhash64(F.lit("fit"), "doc_id")
     free = docs.where(~held_out()).select("doc_id")
-    good = labels.where(~held_out()).where("quality = 1").select("doc_id").distinct()
+    # labels may cover other documents than these: only positives that are there count
+    good = labels.where(~held_out()).where("quality = 1").select("doc_id").distinct().join(free.distinct(), "doc_id", "left_semi")
     pick = lambda rows: [r.doc_id for r in rows.orderBy(order, "doc_id").limit(t.sample).collect()]
     positive, unlabelled = set(pick(good)), set(pick(free.distinct()))
     if not positive or not unlabelled:

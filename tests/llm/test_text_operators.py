@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -127,3 +128,47 @@ def test_rare_languages_are_not_judged_by_others(spark):
     got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[1000 + i].kept and got[1000 + i].word_distance is None for i in range(10))
     assert all(got[i].kept and got[i].word_distance is not None for i in range(100)) and not any(got[2000 + i].kept for i in range(3))
+
+
+def test_classifier_parts_against_plain_loops():
+    """Risk gradient, prior and cut of the classifier against their definitions, term by term."""
+    from lexigauge.llm import pu_classifier as pu
+
+    rng = np.random.default_rng(4)
+    p, u, prior = rng.integers(0, 6, (40, 2)) + [0, 6], rng.integers(0, 6, (70, 2)) + [0, 6], 0.6
+
+    def risk(w):
+        soft = lambda z: math.log1p(math.exp(-abs(z))) + max(z, 0)
+        z = lambda row: sum(w[j] for j in row) + w[-1]
+        negative = sum(soft(z(r)) for r in u) / len(u) - prior * sum(soft(z(r)) for r in p) / len(p)
+        return prior * sum(soft(-z(r)) for r in p) / len(p) + max(0.0, negative) + 0.5 * pu.Training().decay * sum(x * x for x in w[:-1]) / (len(w) - 1)
+
+    w, bias = pu._fit(p, u, 12, prior, pu.Training())
+    assert risk([*w, bias]) < risk([0.0] * 13)
+    # a first short step goes against the gradient of that risk, weight by weight
+    small, at = pu.Training(steps=1, rate=1e-3), [0.0] * 13
+    first = [*(x := pu._fit(p, u, 12, prior, small))[0], x[1]]
+    for j in range(13):
+        up, down = list(at), list(at)
+        up[j], down[j] = 1e-5, -1e-5
+        slope = (risk(up) - risk(down)) / 2e-5
+        assert abs(slope) < 1e-7 or (first[j] < 0) == (slope > 0)
+    good, bad = rng.normal(2, 1, 300), rng.normal(-4, 1, 300)
+    mix = np.concatenate([rng.normal(2, 1, 700), bad])
+    assert abs(pu.estimate_prior(good, mix) - 0.7) < 0.05
+    at = pu.cut(good, mix, 0.7, 3.0)
+    cost = lambda c: 3.0 * 0.7 * sum(x < c for x in good) / len(good) - sum(x < c for x in mix) / len(mix)
+    assert cost(at) <= min(cost(c) for c in good) + 1e-12 and 0.95 < np.mean(bad < at) and np.mean(good >= at) > 0.97
+
+
+def test_classifier_rejects_bad_texts(spark):
+    """Held-out labelled documents: most bad texts go, hardly a good one; labels of other documents change nothing."""
+    from lexigauge.llm.pu_classifier import quality_scores
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    other = spark.range(10**6, 10**6 + 30_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    rows = quality_scores(docs, labels.select("doc_id", "quality", "toxic").unionByName(other)).where("held_out").join(labels, "doc_id").collect()
+    bad, good = [r for r in rows if r.quality == 0], [r for r in rows if r.quality == 1]
+    assert sum(r.predicted == 0 for r in bad) >= 0.85 * len(bad)
+    assert sum(r.predicted == 1 for r in good) >= 0.97 * len(good)
