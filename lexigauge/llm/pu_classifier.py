@@ -101,7 +101,7 @@ def _fit(p: np.ndarray, u: np.ndarray, size: int, prior: float, t: Training) ->
     return w, float(bias)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, z: float = 1.0) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, z: float = 3.0) -> float:
     """Share of positives among the unlabelled, from scores: u(c) / p(c) at the cut c of the smallest upper bound.
 
     u(c) and p(c) are the shares of unlabelled and positive scores of at least c. The bound adds ``z`` standard errors of
