@@ -42,9 +42,9 @@ def ascii_key(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(F.translate(text, "Iİ", "ii")), "çğıöşüâîûàáäãåéèêëíìïóòôõúùñß", "cgiosuaiuaaaaaeeeeiiioooouuns"), "[^a-z0-9]", "")
 
 
-def lexicon_counts(key: Column) -> list[Column]:
+def lexicon_counts(key: Column, lexicon: dict[str, list[str]] = LEXICON) -> list[Column]:
     """Non-overlapping occurrences of each group's terms in a ``text_key``."""
-    return [sum((((F.length(key) - F.length(F.replace(key, F.lit(f" {t} "), F.lit("")))) / F.lit(len(t) + 2)).cast("long") for t in terms), F.lit(0).cast("long")).alias(f"lex_{group}") for group, terms in LEXICON.items()]
+    return [sum((((F.length(key) - F.length(F.replace(key, F.lit(f" {t} "), F.lit("")))) / F.lit(len(t) + 2)).cast("long") for t in terms), F.lit(0).cast("long")).alias(f"lex_{group}") for group, terms in lexicon.items()]
 
 
 def structure(text: Column) -> list[Column]:
@@ -130,6 +130,44 @@ def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("ratio", ratio(a, b))
 
 
+def snippet_features(text: Column, snippets: Column, lexicon: dict[str, list[str]] = LEXICON) -> list[Column]:
+    """Of the joined snippets of a candidate: occurrences of each group per snippet, words per snippet, share of digits,
+    whether a year is named; all zero without a snippet."""
+    n = F.greatest(snippets, F.lit(1)).cast("double")
+    key, body = text_key(text), F.coalesce(text, F.lit(""))
+    words = F.size(F.filter(F.split(F.trim(key), " "), lambda w: w != ""))
+    digits = F.try_divide(F.length(F.regexp_replace(body, "[^0-9]", "")).cast("double"), F.length(body).cast("double"))
+    rates = [F.round(x / n, 6).alias(f"{group}_rate") for group, x in zip(lexicon, lexicon_counts(key, lexicon), strict=True)]
+    return [*rates, F.round(words / n, 6).alias("words_per_snippet"), F.round(F.coalesce(digits, F.lit(0.0)), 6).alias("digit_share"), body.rlike(r"(?-U)(^|[^0-9A-Za-z_])(19|20)[0-9]{2}([^0-9A-Za-z_]|$)").cast("long").alias("has_year")]
+
+
+def alias_pairs(names: DataFrame, least: float) -> DataFrame:
+    """a, b, ratio: pairs of distinct names (column name, a < b) whose similarity is ``least`` or more, under 1.
+
+    No pair is missed: the ratio is at most twice the letters in common over all letters. So lengths lie within a band, and
+    of the letters of a, rarest first and repeats numbered, one of the first n - ceil(c) + 1 is among those of b, where c
+    is what a must share with the shortest name of its band. Only pairs that meet on such a letter and pass the bound on
+    their common letters are compared.
+    """
+    share = least / 2
+    each = names.select("name", F.length("name").alias("n"), F.posexplode(F.filter(F.split("name", ""), lambda ch: ch != "")).alias("i", "ch"))
+    from pyspark.sql import Window
+
+    copy = F.row_number().over(Window.partitionBy("name", "ch").orderBy("i"))
+    each = each.select("name", "n", F.concat("ch", copy.cast("string")).alias("letter"))
+    often = each.groupBy("letter").agg(F.count(F.lit(1)).alias("often"))
+    sets = each.join(often, "letter").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("often", "letter"))).alias("s")).select("name", "n", F.transform("s", lambda x: x["letter"]).alias("letters"))
+    # a shares c of its n letters at least with a name of any length in its band: the shortest has n * share / (1 - share)
+    c = F.ceil(F.lit(share) * (F.col("n") + F.col("n") * share / (1 - share)) - 1e-9)
+    short = sets.select("name", "n", "letters", F.explode(F.slice("letters", 1, (F.col("n") - c + 1).cast("int"))).alias("letter"))
+    x, y = short.alias("x"), short.alias("y")
+    band = (F.col("x.n") * share <= F.col("y.n") * (1 - share) + 1e-9) & (F.col("y.n") * share <= F.col("x.n") * (1 - share) + 1e-9)
+    both = x.join(y, (F.col("x.letter") == F.col("y.letter")) & (F.col("x.name") < F.col("y.name")) & band)
+    common = F.size(F.array_intersect("x.letters", "y.letters"))
+    near = both.where(common >= F.lit(share) * (F.col("x.n") + F.col("y.n")) - 1e-9).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
+    return similarity(near, "a", "b").where((F.col("ratio") >= least) & (F.col("ratio") < 1))
+
+
 def register(spark: SparkSession) -> None:
     """Make the string functions callable from SQL as temporary SQL functions of the session."""
     spark.sql("create or replace temporary function turkish_casefold(t string) returns string return lower(translate(t, 'Iİ', 'ıi'))")

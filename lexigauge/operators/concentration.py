@@ -56,9 +56,9 @@ def terciles(table: DataFrame) -> DataFrame:
 
 def origins(registry: DataFrame, origin: DataFrame) -> DataFrame:
     """Brands with a clear origin: brand, group."""
-    return registry.join(F.broadcast(origin), "brand").where("origin <> 'unclear'").select("brand", F.col("origin").alias("group"))
+    return registry.join(origin, "brand").where("origin <> 'unclear'").select("brand", F.col("origin").alias("group"))
 
 
 def group_gains(gains: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     """Per category, query and group: the mean gain of its brands."""
-    return gains.join(F.broadcast(groups), on).groupBy("category", "query_id", "group").agg(F.avg("gain").alias("gain"))
+    return gains.join(groups, on).groupBy("category", "query_id", "group").agg(F.avg("gain").alias("gain"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigauge.operators.rates import small
+
 SMOOTHING = 10
 
 
@@ -30,7 +32,7 @@ def priors(panel: DataFrame, by: list[str], label: str, only: str = "true") -> D
     rows = panel.where(only)
     base = rows.groupBy(*by).agg(F.avg(F.col(label).cast("double")).alias("base"))
     own = rows.groupBy(*by, "brand").agg(F.sum(label).alias("hits"), F.count(F.lit(1)).alias("n"))
-    return own.join(F.broadcast(base), by).select(*by, "brand", F.round(smoothed(F.col("hits"), F.col("n"), F.col("base")), 6).alias("prior"))
+    return own.join(base, by).select(*by, "brand", F.round(smoothed(F.col("hits"), F.col("n"), F.col("base")), 6).alias("prior"))
 
 
 def folds(panel: DataFrame, n: int = 5) -> DataFrame:
@@ -50,11 +52,11 @@ def cross_fitted(panel: DataFrame, assigned: DataFrame, label: str = "y_top") ->
     inner = outer: the prior of held-out rows, from all other folds. Sums per fold are taken once; every combination is a
     difference of such sums, so the panel is aggregated a single time.
     """
-    rows = panel.where("response_decided = 1").join(F.broadcast(assigned.select("query_id", "fold")), "query_id")
+    rows = panel.where("response_decided = 1").join(assigned.select("query_id", "fold"), "query_id")
     per = rows.groupBy("fold", "category", "brand").agg(F.sum(label).alias("h"), F.count(F.lit(1)).alias("n"))
     ids = assigned.select("fold").distinct()
-    outer = ids.select(F.col("fold").alias("outer_fold")).crossJoin(F.broadcast(ids.select(F.col("fold").alias("inner_fold"))))
-    used = per.crossJoin(F.broadcast(outer)).where("fold <> outer_fold and fold <> inner_fold")
+    outer = ids.select(F.col("fold").alias("outer_fold")).crossJoin(small(ids.select(F.col("fold").alias("inner_fold"))))
+    used = per.crossJoin(small(outer)).where("fold <> outer_fold and fold <> inner_fold")
     own = used.groupBy("outer_fold", "inner_fold", "category", "brand").agg(F.sum("h").alias("hits"), F.sum("n").alias("n"))
     base = used.groupBy("outer_fold", "inner_fold", "category").agg((F.sum("h").cast("double") / F.sum("n")).alias("base"))
     return own.join(base, ["outer_fold", "inner_fold", "category"]).select("outer_fold", "inner_fold", "category", "brand", F.round(smoothed(F.col("hits"), F.col("n"), F.col("base")), 6).alias("prior"))

@@ -40,8 +40,8 @@ def gaps(profile: DataFrame, board: DataFrame, first: DataFrame) -> DataFrame:
     metrics = ["presence", "results_per_answer", "rank1_share", "mention_on", "top_on"]
     rows = profile.join(board.select("category", "brand", "mention_on", "top_on"), ["category", "brand"])
     long = rows.unpivot(["category", "brand"], metrics, "metric", "value")
-    lead = long.join(F.broadcast(first.select("category", F.col("brand"))), ["category", "brand"]).select("category", F.col("brand").alias("leader"), "metric", F.col("value").alias("theirs"))
-    both = long.join(F.broadcast(lead), ["category", "metric"]).where("brand <> leader")
+    lead = long.join(first.select("category", F.col("brand")), ["category", "brand"]).select("category", F.col("brand").alias("leader"), "metric", F.col("value").alias("theirs"))
+    both = long.join(lead, ["category", "metric"]).where("brand <> leader")
     return both.groupBy("category", "brand", "metric").agg(F.first("value").alias("mine"), F.round(F.avg("theirs"), 6).alias("winners")).withColumn("gap", F.round(F.col("mine") - F.col("winners"), 6))
 
 
@@ -57,7 +57,7 @@ def outreach(evidence: DataFrame, rivals: int = 2) -> DataFrame:
     open_ = evidence.where("kind in ('editorial', 'forum', 'affiliate')").select("category", "host", "brand").distinct()
     named = open_.groupBy("category", "host").agg(F.count(F.lit(1)).alias("named"))
     brands = evidence.select("category", "brand").distinct()
-    every = named.where(F.col("named") >= rivals).join(F.broadcast(brands), "category")
+    every = named.where(F.col("named") >= rivals).join(brands, "category")
     known = evidence.select("category", "host", "brand").distinct()
     return every.join(known, ["category", "host", "brand"], "left_anti").select("category", "brand", "host", "named")
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 ON, OFF = "search_on", "search_off"
 
 
+def small(dimension: DataFrame, most: int = 100_000) -> DataFrame:
+    """A dimension marked for broadcast if it has at most ``most`` rows, which is counted first; else as it is."""
+    return F.broadcast(dimension) if dimension.limit(most + 1).count() <= most else dimension
+
+
 def ratio(a: Column, b: Column, digits: int = 6) -> Column:
     """Rounded quotient of doubles; null where the divisor is 0."""
     return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
@@ -20,7 +25,7 @@ def recommendation_rates(answers: DataFrame, brands: DataFrame) -> DataFrame:
     """
     size = answers.groupBy("category", "condition").agg(F.count(F.lit(1)).alias("denominator"))
     wins = answers.where("top is not null").groupBy("category", "condition", F.col("top").alias("brand")).agg(F.count(F.lit(1)).alias("n"))
-    rows = size.crossJoin(F.broadcast(brands)).join(wins, ["category", "condition", "brand"], "left")
+    rows = size.crossJoin(small(brands)).join(wins, ["category", "condition", "brand"], "left")
     n = F.coalesce("n", F.lit(0)).cast("long")
     return rows.select("category", "condition", "brand", n.alias("wins"), "denominator", ratio(n, F.col("denominator")).alias("rate"))
 
@@ -35,7 +40,7 @@ def share_of_voice(answers: DataFrame, mentions: DataFrame) -> DataFrame:
     """Per category, condition and named brand: its share of answers that name it and of answers that it wins."""
     size = answers.groupBy("category", "condition").agg(F.count(F.lit(1)).alias("total"))
     named = answers.join(mentions, "record_id").groupBy("category", "condition", "brand").agg(F.count(F.lit(1)).alias("mentions"), F.sum((F.coalesce(F.col("top"), F.lit("")) == F.col("brand")).cast("int")).alias("wins"))
-    return named.join(F.broadcast(size), ["category", "condition"]).select("category", "condition", "brand", "mentions", "wins", "total", ratio(F.col("mentions"), F.col("total")).alias("mention_share"), ratio(F.col("wins"), F.col("total")).alias("win_share"))
+    return named.join(size, ["category", "condition"]).select("category", "condition", "brand", "mentions", "wins", "total", ratio(F.col("mentions"), F.col("total")).alias("mention_share"), ratio(F.col("wins"), F.col("total")).alias("win_share"))
 
 
 def share_change(voice: DataFrame) -> DataFrame:
@@ -80,7 +85,7 @@ def incomplete_cells(answers: DataFrame, least: int) -> DataFrame:
 def expected_cells(answers: DataFrame) -> DataFrame:
     """The full factorial of the queries, models and conditions that occur."""
     each = [answers.select(c).distinct() for c in ("query_id", "model_id", "condition")]
-    return each[0].crossJoin(F.broadcast(each[1])).crossJoin(F.broadcast(each[2]))
+    return each[0].crossJoin(small(each[1])).crossJoin(small(each[2]))
 
 
 def contract(answers: DataFrame, expected: DataFrame) -> DataFrame:
@@ -101,7 +106,7 @@ def plan_summary(answers: DataFrame) -> DataFrame:
 
 def findings(rates: DataFrame, specs: DataFrame) -> DataFrame:
     """The rates of given (category, condition, brand) findings, in percent."""
-    return rates.join(F.broadcast(specs), ["category", "condition", "brand"]).select("category", "condition", "brand", F.col("wins").alias("count"), "denominator", F.round(F.col("rate") * 100, 4).alias("rate_percent"))
+    return rates.join(specs, ["category", "condition", "brand"]).select("category", "condition", "brand", F.col("wins").alias("count"), "denominator", F.round(F.col("rate") * 100, 4).alias("rate_percent"))
 
 
 def matched_intents(answers: DataFrame, queries: list[str]) -> DataFrame:

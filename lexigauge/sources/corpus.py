@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigauge.operators.rates import small
+
 #: Source kinds of a result, in order of their number.
 KINDS = ("official", "editorial", "affiliate", "forum", "retailer", "unknown")
 
@@ -74,7 +76,7 @@ def registry(spark: SparkSession, folder: str) -> DataFrame:
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """The candidate panel: every answer crossed with every registered brand, with evidence and labels.
 
-    The registry is a dimension of a few dozen rows, so the cross join multiplies answers by a constant; evidence comes
+    The registry is a dimension of a few dozen rows (counted before it is broadcast), so the cross join multiplies answers by a constant; evidence comes
     from one aggregation by (record_id, brand) over the results.
     """
     found = results(spark, folder)
@@ -84,7 +86,7 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
         F.max((F.col("flag") != "R").cast("int")).alias("named"),
         *[F.sum((F.col("kind") == k).cast("int")).alias(f"k_{k}") for k in KINDS],
     )
-    panel = answers(spark, folder).crossJoin(F.broadcast(registry(spark, folder))).join(hits, ["record_id", "brand"], "left")
+    panel = answers(spark, folder).crossJoin(small(registry(spark, folder))).join(hits, ["record_id", "brand"], "left")
     on = F.col("condition") == "search_on"
     shown = lambda c: F.when(on, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long")
     return panel.select(

@@ -33,13 +33,23 @@ def status_counts(records: DataFrame, width: str = "1 hour", delay: str = "1 hou
 
 
 def breakers(records: DataFrame, run: int = 5) -> DataFrame:
-    """A row per model and batch: its current run of consecutive failures and whether its breaker is open."""
+    """A row per model and batch: its current run of consecutive failures and whether its breaker is open.
+
+    A batch counts as one set of records in order of (at, key), however it is cut into frames: the run is what failed
+    after the last record that did not, or goes on where all have failed.
+    """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (now,) = state.get if state.exists else (0,)
+        last, failed = None, []
         for frame in frames:
-            for status in frame.sort_values(["at", "key"])["status"]:
-                now = now + 1 if status == "error" else 0
+            error = frame["status"] == "error"
+            fine = frame.loc[~error, ["at", "key"]]
+            if len(fine):
+                top = max(fine.itertuples(index=False, name=None))
+                last = top if last is None else max(last, top)
+            failed = [x for x in (*failed, *frame.loc[error, ["at", "key"]].itertuples(index=False, name=None)) if last is None or x > last]
+        now = len(failed) + (now if last is None else 0)
         state.update((now,))
         yield pd.DataFrame({"model": [key[0]], "failures": [now], "open": [now >= run]})
 

@@ -146,3 +146,38 @@ def test_json_twice(spark):
 
     rows = spark.createDataFrame([('{"k": 1}',), ('"{\\"k\\": 2}"',), ("broken",), (None,)], "p string")
     assert [r.p__k for r in json_fields(rows, "p", ["k"]).collect()] == ["1", "2", None, None]
+
+
+def test_alias_pairs(spark):
+    """Every pair of names that is similar enough, as by comparing all pairs."""
+    import difflib
+    import itertools
+    import random
+
+    from lexigauge.functions.text import alias_pairs
+
+    rnd = random.Random(2)
+    names = {"abcde", "abde", "abcd", "abxcd", "abcdef", "abxcdyef", "a", "aa", "aab"} | {"".join(rnd.choice("abcde ") for _ in range(rnd.randint(3, 9))) for _ in range(120)}
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = {(a, b) for a, b in itertools.combinations(sorted(names), 2) if 0.82 <= ratio(a, b) < 1}
+    got = {(r.a, r.b) for r in alias_pairs(spark.createDataFrame([(n,) for n in names], "name string"), 0.82).collect()}
+    assert len(want) > 15 and got == want
+
+
+def test_models(spark):
+    """Folds never train on themselves, and a model of real features ranks better than chance."""
+    from lexigauge.operators import metrics as me
+    from lexigauge.operators import models as mo
+
+    rows = [(10 * q + r, f"B{b}", ["x", "y", "z"][q % 3], f"q{q}", int(b == (q + r) % 4), 1.0 if b == (q + r) % 4 else 0.2 * b) for q in range(12) for r in range(6) for b in range(4)]
+    frame = spark.createDataFrame(rows, "record_id long, brand string, category string, query_id string, y_top long, volume_share double")
+    for f in mo.FEATURES:
+        if f not in frame.columns:
+            frame = frame.withColumn(f, F.lit(0.0) + F.rand(3))
+    folds = spark.createDataFrame([(f"q{q}", q % 2) for q in range(12)], "query_id string, fold int")
+    scored = mo.out_of_fold(frame, folds, 2)
+    assert scored.count() == frame.count() and all(r.roc_auc > 0.9 for r in me.roc_auc(scored).collect())
+    left = mo.leave_one_out(frame)
+    assert left.count() == frame.count() and all(r.roc_auc > 0.9 for r in me.roc_auc(left).collect())
+    drops = {(r.category, r.feature): r["drop"] for r in mo.permutation_drop(frame, ["volume_share", "share_forum"]).collect()}
+    assert all(drops[k, "volume_share"] > drops[k, "share_forum"] - 0.01 for k in "xyz")

@@ -28,3 +28,23 @@ def test_once_and_breaker(spark, tmp_path):
     q.stop()
     last = {r.model: (r.failures, r.open) for r in spark.table("breakers").collect()}
     assert last == {"a": (3, True), "b": (1, False)}
+
+
+def test_breaker_does_not_depend_on_frames(spark, tmp_path):
+    """One batch in frames of two rows: the run follows the records' order, not the order of the frames."""
+    from lexigauge.streaming.records import breakers, record_stream
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    times = [9, 3, 7, 1, 8, 2, 6, 5, 4]
+    _write(folder, "a.json", [_rec(f"a{m}", "ok" if m == 4 else "error", m) for m in times])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        q = breakers(record_stream(spark, str(folder)), run=5).writeStream.format("memory").outputMode("update").queryName("frames").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set(key, before)
+    assert [(r.failures, r.open) for r in spark.table("frames").collect()] == [(5, True)]
