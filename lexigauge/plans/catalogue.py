@@ -11,7 +11,6 @@ from lexigauge.operators import concentration as co
 from lexigauge.operators import effects as ef
 from lexigauge.operators import integrity as it
 from lexigauge.operators import metrics as me
-from lexigauge.operators import models as mo
 from lexigauge.operators import panel as pa
 from lexigauge.operators import profile as pr
 from lexigauge.operators import rates as ra
@@ -681,11 +680,4 @@ def export_distribution(s, d):
     return c.table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts").cast("timestamp")).alias("first_us"), F.unix_micros(F.max("ts").cast("timestamp")).alias("last_us"))
 
 
-# ---- models and rules: no SQL twin ----------------------------------------------------------------------------------
-def _design(s: SparkSession, d: str) -> DataFrame:
-    panel = pa.panel_filter(c.pairs(s, d))
-    features = pa.relative(panel, c.results(s, d).groupBy("record_id").agg(F.count(F.lit(1)).alias("n_results")))
-    return features.join(panel.select("record_id", "brand", "category", "query_id"), ["record_id", "brand"])
-
-
-from lexigauge.plans import answers_catalogue, checks_catalogue, lab_catalogue  # noqa: E402, F401  they register their queries
+from lexigauge.plans import answers_catalogue, checks_catalogue, lab_catalogue, live_catalogue  # noqa: E402, F401  they register their queries
