@@ -165,7 +165,7 @@ def quote_windows(s, d):
     return rows.select("record_id", "spot", nm.quote_window(F.lit(None), F.col("words"), F.col("spot")).alias("quote"))
 
 
-THEMES = (("tests", r"(?i)tion .*tion "), ("prices", r"[0-9]"), ("users", r"(?i)keit"), ("makers", r"(?i)ment"), ("care", r"(?i)ñ"), ("lists", r"\n"))
+THEMES = (("tests", r"(?i)tion .*tion "), ("prices", r"[0-9]"), ("users", r"(?i)keit"), ("makers", r"(?i)ment"), ("care", r"[ñÑ]"), ("lists", r"\n"))
 
 
 @query("select doc_id, case " + " ".join(f"when regexp_matches(coalesce(text, ''), '{p}') then '{k}'" for k, p in THEMES) + " else 'other' end as theme from documents")
