@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigauge.operators.rates import small
+
 
 def cells(queries: DataFrame, models: DataFrame, conditions: DataFrame, runs: int) -> DataFrame:
     """The full factorial with a cell id model_condition_query_run."""
     spark = queries.sparkSession
     reps = spark.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))
-    rows = queries.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(conditions)).crossJoin(F.broadcast(reps))
+    rows = queries.crossJoin(small(models)).crossJoin(small(conditions)).crossJoin(F.broadcast(reps))
     return rows.select("query_id", "model_id", "condition", "run", F.concat_ws("_", "model_id", "condition", "query_id", F.lpad(F.col("run").cast("string"), 3, "0")).alias("cell_id"))
 
 
@@ -39,7 +41,7 @@ def pilot(responses: DataFrame) -> DataFrame:
     """category, query_id, model_id, condition, cell_id: the first query of each category in every cell, run once."""
     first = responses.groupBy("category").agg(F.min("query_id").alias("query_id"))
     models, conditions = responses.select("model_id").distinct(), responses.select("condition").distinct()
-    rows = first.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(conditions))  # a handful of models and conditions
+    rows = first.crossJoin(small(models)).crossJoin(small(conditions))  # a handful of models and conditions
     return rows.select("category", "query_id", "model_id", "condition", F.concat_ws("_", "model_id", "condition", "query_id", F.lit("001")).alias("cell_id"))
 
 
