@@ -15,10 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigauge.llm.common import light, small_batches, staged
+from lexigauge.llm.common import light, sized, small_batches, staged
 from lexigauge.llm.graph import components
 
 
+#: Rows from which a fingerprint is one of mass copies, and how many of these may be broadcast.
+HOT, BROADCAST_HOT = 1000, 500_000
+
+
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """XXH64 (seed 42) of each run of ``words`` words, repeats included; a shorter text is one shingle, none without words.
 
@@ -90,9 +94,14 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, doc_id:
     empty table gives an empty result.
     """
     marks = staged(fingerprints(docs, words, doc_id, text), "fingerprints")
-    nodes = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    nodes = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     found = components(links(nodes.select("fingerprint"), radius))
-    of = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    of = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "least", "n", F.coalesce("root", "fingerprint").alias("root"))
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = staged(of.join(named, "root").select("fingerprint", "component_id"), "components")
-    return marks.join(table, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    table = staged(of.join(named, "root").select("fingerprint", "component_id", "n"), "components")
+    # the few fingerprints of mass copies go to the rows, so that no task gets all rows of one; the others meet by shuffle
+    hot = sized(table.where(F.col("n") >= HOT).select("fingerprint", F.struct("component_id").alias("hot")), BROADCAST_HOT, "hot")
+    rows = marks.join(hot, "fingerprint", "left")
+    cold = rows.where("hot is null").drop("hot").join(table.where(F.col("n") < HOT), "fingerprint")
+    placed = rows.where("hot is not null").select("doc_id", "fingerprint", "hot.component_id").unionByName(cold.select("doc_id", "fingerprint", "component_id"))
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

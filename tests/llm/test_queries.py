@@ -55,7 +55,11 @@ def test_op6_one_pass_as_two(spark):
     assert bpe_digests(docs.where("false"), path, tokenizers.PATTERN).count() == 0
 
 
-def test_op8_by_all_pairs(spark, documents):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_op8_by_all_pairs(spark, documents, hot, monkeypatch):
+    from lexigauge.llm import simhash
+
+    monkeypatch.setattr(simhash, "HOT", hot)
     xxhash = pytest.importorskip("xxhash")
     marks = {}
     for i, t in documents.items():
