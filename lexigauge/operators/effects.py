@@ -14,7 +14,7 @@ def draw(seed: int, n: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % n
 
 
-def bootstrap_ratio(blocks: DataFrame, by: list[str], draws: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_ratio(blocks: DataFrame, by: list[str], draws: int = 400, seed: int = 42) -> DataFrame:
     """Percentile interval of sum(a) / sum(b) when whole blocks are drawn with replacement.
 
     blocks: ``by``, an id column ``query_id``, sums a and b per block. The corpus is aggregated to blocks first; draws

@@ -403,7 +403,7 @@ def origin_groups(s, d):
 
 
 # ---- intervals and effects ------------------------------------------------------------------------------------------
-def bootstrap_sql(blocks: str, by: str, draws: int = 200, seed: int = 42) -> list[str]:
+def bootstrap_sql(blocks: str, by: str, draws: int = 400, seed: int = 42) -> list[str]:
     """The interval of sum(a) / sum(b) over blocks, with the same MD5 draws."""
     keys = [x.strip() for x in by.split(",")]
     return [
@@ -414,22 +414,22 @@ def bootstrap_sql(blocks: str, by: str, draws: int = 200, seed: int = 42) -> lis
     ]
 
 
-@query(oracle("select * from boot", FILTERED, RANKED, "blocks as (select category, query_id, count(*) filter (where y_top = 1) as a, count(*) as b from ranked where place = 1 and positives = 1 group by 1, 2)", *bootstrap_sql("blocks", "category")))
+@query(oracle("select * from boot", FILTERED, RANKED, "blocks as (select category, query_id, count(*) filter (where y_top = 1) as a, count(*) as b from ranked where place = 1 and positives = 1 group by 1, 2)", *bootstrap_sql("blocks", "category", 400)))
 def top1_ci(s, d):
-    return ef.bootstrap_ratio(me.top1_blocks(_kept(s, d)), ["category"])
+    return ef.bootstrap_ratio(me.top1_blocks(_kept(s, d)), ["category"], draws=400)
 
 
-@query(oracle("select * from boot", FILTERED, RANKED, GAIN, "blocks as (select category, query_id, round(sum(ndcg), 9) as a, count(*) as b from gain group by 1, 2)", *bootstrap_sql("blocks", "category")))
+@query(oracle("select * from boot", FILTERED, RANKED, GAIN, "blocks as (select category, query_id, round(sum(ndcg), 9) as a, count(*) as b from gain group by 1, 2)", *bootstrap_sql("blocks", "category", 400)))
 def ndcg_ci(s, d):
     blocks = me.gain(_kept(s, d)).groupBy("category", "query_id").agg(F.round(F.sum("ndcg"), 9).alias("a"), F.count(F.lit(1)).cast("double").alias("b"))
-    return ef.bootstrap_ratio(blocks, ["category"])
+    return ef.bootstrap_ratio(blocks, ["category"], draws=400)
 
 
-@query(oracle('select * from boot', GAINS, BGAINS, TERC, 'blocks as (select "group", query_id, round(avg(on_ - off_), 9) as a, 1.0 as b from gains join terc using (category, brand) group by 1, 2)', *bootstrap_sql("blocks", '"group"')))
+@query(oracle('select * from boot', GAINS, BGAINS, TERC, 'blocks as (select "group", query_id, round(avg(on_ - off_), 9) as a, 1.0 as b from gains join terc using (category, brand) group by 1, 2)', *bootstrap_sql("blocks", '"group"', 2000)))
 def group_gain_ci(s, d):
     gains = co.query_gains(c.pairs(s, d))
     blocks = gains.join(co.terciles(co.brand_gains(gains)), ["category", "brand"]).groupBy("group", "query_id").agg(F.round(F.avg("gain"), 9).alias("a"), F.lit(1.0).alias("b"))
-    return ef.bootstrap_ratio(blocks, ["group"])
+    return ef.bootstrap_ratio(blocks, ["group"], draws=2000)
 
 
 CONCORD = """concord as (select category, query_id, cast(sum(upto - eq) as bigint) as concordant, cast(sum(tot - upto) as bigint) as discordant, cast(sum(tot) as bigint) as compared from (
@@ -451,7 +451,7 @@ def matched_effect(s, d):
 
 
 @query(oracle("select category, estimate, low, high, queries, case when queries < 5 then 'n/a' when low > 0 then 'up' when high < 0 then 'down' else 'flat' end as direction from boot join (select category, count(*) as queries from blocks group by 1) using (category)", FILTERED, CONCORD.format(f="n_results_mentioning"),
-    "blocks as (select category, query_id, concordant - discordant as a, compared as b from concord where compared > 0)", *bootstrap_sql("blocks", "category")))
+    "blocks as (select category, query_id, concordant - discordant as a, compared as b from concord where compared > 0)", *bootstrap_sql("blocks", "category", 1000)))
 def signal_direction(s, d):
     return _direction(s, d, "n_results_mentioning")
 
@@ -459,14 +459,14 @@ def signal_direction(s, d):
 def _direction(s: SparkSession, d: str, feature: str) -> DataFrame:
     rows = ef.concordance(_kept(s, d), feature).where("compared > 0")
     blocks = rows.select("category", "query_id", (F.col("concordant") - F.col("discordant")).cast("double").alias("a"), F.col("compared").cast("double").alias("b"))
-    return ef.direction(ef.bootstrap_ratio(blocks, ["category"]).join(rows.groupBy("category").agg(F.count(F.lit(1)).alias("queries")), "category"))
+    return ef.direction(ef.bootstrap_ratio(blocks, ["category"], draws=1000).join(rows.groupBy("category").agg(F.count(F.lit(1)).alias("queries")), "category"))
 
 
 def _stability_sql() -> str:
     parts = [FILTERED]
     for i, f in enumerate(("n_official", "n_forum")):
         own = [CONCORD.format(f=f).replace("concord as", f"concord{i} as", 1), f"blocks{i} as (select category, query_id, concordant - discordant as a, compared as b from concord{i} where compared > 0)"]
-        for x in bootstrap_sql(f"blocks{i}", "category"):
+        for x in bootstrap_sql(f"blocks{i}", "category", 1000):
             for name in ("numbered", "slots", "sums", "boot"):
                 x = x.replace(f"{name} as (", f"{name}{i} as (").replace(f"from {name}", f"from {name}{i}").replace(f"join {name} ", f"join {name}{i} ")
             own.append(x)
@@ -501,9 +501,9 @@ def arm_contrast(s, d):
     return ef.arm_contrast(_outcomes(s, d), "1-URGENT")
 
 
-@query(oracle("select * from boot", OUTCOMES, CELLS, "blocks as (select o.arm, concat_ws('|', category, query_id, target) as query_id, round(o.v - r.v, 9) as a, 1.0 as b from cells o join (select * from cells where arm = '1-URGENT') r using (category, query_id, target) where o.arm <> '1-URGENT')", *bootstrap_sql("blocks", "arm", 50)))
+@query(oracle("select * from boot", OUTCOMES, CELLS, "blocks as (select o.arm, concat_ws('|', category, query_id, target) as query_id, round(o.v - r.v, 9) as a, 1.0 as b from cells o join (select * from cells where arm = '1-URGENT') r using (category, query_id, target) where o.arm <> '1-URGENT')", *bootstrap_sql("blocks", "arm", 2000)))
 def arm_contrast_ci(s, d):
-    return ef.bootstrap_ratio(ef.contrast_blocks(_outcomes(s, d), "1-URGENT"), ["arm"], draws=50)
+    return ef.bootstrap_ratio(ef.contrast_blocks(_outcomes(s, d), "1-URGENT"), ["arm"], draws=2000)
 
 
 @query(oracle("select sentence, count(*) as appearances, cast(sum(won) as bigint) as wins, round(cast(sum(won) as double) / count(*), 6) as share from (select cast(l_partkey % 13 as integer) as sentence, case when l_extendedprice = max(l_extendedprice) over (partition by l_orderkey) then 1 else 0 end as won from lineitem) group by 1"))
