@@ -91,6 +91,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read(spark, sf_dir, "documents"), shards=40, overhead=16)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its neighbours one edit apart, its form and its root."""
+    from lexigauge.llm.spelling import spelling_variants
+
+    return spelling_variants(read(spark, sf_dir, "documents"), letters=7, least=2, one_in=31, times=10)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that other documents share with it, by keep bitmaps."""
+    from lexigauge.llm.line_dedup import Shared, line_digests
+
+    return line_digests(read(spark, sf_dir, "documents"), Shared(chars=20, docs=3))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and turned for filling in the middle, and turned back."""
+    from lexigauge.llm.fim import Plan, fim_digests
+
+    return fim_digests(read(spark, sf_dir, "documents"), Plan(seed=7, rate=100, spm=50))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
@@ -161,6 +182,60 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not coalesce(char_distance > 0.30, false) and not coalesce(word_distance > 0.22 + 1.5 / sqrt(n_words), false) as kept from f"""
 
 
+_SPELLING = r"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+runs as (
+  select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{7,}')) as run from documents),
+low as (
+  select coalesce(cast(doc_id as varchar), '') || ':' as head, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from runs),
+bytes as (
+  select w, flatten(list_transform(string_split(head || w, ''), lambda c: case when ord(c) < 128 then [cast(ord(c) as bigint)] else [192 | (ord(c) >> 6), 128 | (ord(c) & 63)] end)) as b from low),
+hashed as (
+  select w, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) as h from bytes, crc),
+words as (
+  select case when h % 31 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word from hashed),
+counts as (select word, count(*) as n from words where length(word) >= 7 group by 1 having count(*) >= 2),
+shorter as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from counts)),
+pairs as (
+  select a.word, b.word as near, b.n as near_n from shorter a join shorter b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select s.word, c.word, c.n from shorter s join counts c on s.rest = c.word
+  union select c.word, s.word, s.n from shorter s join counts c on s.rest = c.word),
+ranked as (
+  select *, count(*) over (partition by word) as n_near, row_number() over (partition by word order by near_n desc, near) as rn from pairs),
+forms as (
+  select c.word, c.n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * c.n then near end as form, case when near_n >= 10 * c.n then near_n end as form_n
+  from counts c left join ranked r on r.word = c.word and rn = 1),
+paths as (
+  select word, word as root, 0 as step from forms
+  union all select p.word, f.form, step + 1 from paths p join forms f on f.word = p.root and f.form is not null),
+roots as (select word, arg_max(root, step) as root from paths group by 1)
+select word, n, n_near, form, cast(form_n as bigint) as form_n, root from forms join roots using (word)"""
+
+_LINES = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from d),
+k as (
+  select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+shared as (select key, max(doc_id) as keeper from k where length(key) >= 20 group by 1 having count(distinct doc_id) >= 3),
+marked as (select k.doc_id, pos, line, keeper is null or keeper = k.doc_id as kept from k left join shared using (key))
+select doc_id, count(*) as n_lines, count(*) filter (not kept) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (kept), '')) as kept_sha256
+from marked group by 1"""
+
+_FIM = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as units, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+drawn as (
+  select *, len(units) as n, cast('0x' || h[1:8] as bigint) % (len(units) + 1) as one, cast('0x' || h[9:16] as bigint) % (len(units) + 1) as two, cast('0x' || h[25:32] as bigint) % 100 as four from d),
+cut as (
+  select *, array_to_string(units[1:least(one, two)], '') as p, array_to_string(units[least(one, two) + 1:greatest(one, two)], '') as m, array_to_string(units[greatest(one, two) + 1:], '') as s,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain' when four < 50 then 'spm' else 'psm' end as form from drawn)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256
+from cut"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL, for the queries that SQL can express."""
-    return {"op2_quality_rules": _RULES, "op3_chat_format": _CHAT, "op7_warc": _WARC, "op9_decontamination": _OVERLAP}
+    return {"op2_quality_rules": _RULES, "op3_chat_format": _CHAT, "op7_warc": _WARC, "op9_decontamination": _OVERLAP, "op11_spelling": _SPELLING, "op12_line_dedup": _LINES, "op13_fim": _FIM}
