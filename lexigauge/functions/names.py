@@ -65,13 +65,16 @@ def blanked(text: Column, registry: Registry) -> Column:
 
 def mentioned(text: Column, registry: Registry) -> Column:
     """Brands that a text mentions, in order of the registry: long forms anywhere in the text without its spaces and
-    marks, short ones as whole capitalised words."""
+    marks, short ones as whole capitalised words.
+
+    The text is brought to its key once: as the variable of a function it cannot be written out again into every test.
+    """
     squashed = F.replace(text_key(text), F.lit(" "), F.lit(""))
     forms: dict[str, list[str]] = {}
     for brand, form in registry:
         forms.setdefault(brand, []).append(plain_key(form))
 
-    def hit(keys: list[str]) -> Column:
+    def hit(squashed: Column, keys: list[str]) -> Column:
         long, short = [k for k in keys if len(k) >= SHORT], [k for k in keys if len(k) < SHORT]
         tests = [F.contains(squashed, F.lit(k)) for k in long] + [F.coalesce(text, F.lit("")).rlike(f"(?<!{_EDGE}){re.escape(k[:1].upper() + k[1:])}(?!{_EDGE})") for k in short]
         out = tests[0]
@@ -79,7 +82,15 @@ def mentioned(text: Column, registry: Registry) -> Column:
             out = out | t
         return out
 
-    return F.array_compact(F.array(*[F.when(hit(keys), F.lit(brand)) for brand, keys in forms.items()]))
+    return F.get(F.transform(F.array(squashed), lambda k: F.array_compact(F.array(*[F.when(hit(k, keys), F.lit(brand)) for brand, keys in forms.items()]))), F.lit(0))
+
+
+def form_conflicts(forms: DataFrame) -> DataFrame:
+    """key, brands, forms: spellings that several brands of a registry (brand, form) claim under one key; keys without a
+    letter or digit are nobody's. Brands and forms are those of the registry, so their lists are as small as it is."""
+    keyed = forms.select("brand", "form", comparison_key(F.col("form")).alias("key")).where("key <> ''")
+    sets = keyed.groupBy("key").agg(F.array_sort(F.collect_set("brand")).alias("b"), F.array_sort(F.collect_set("form")).alias("f"))
+    return sets.where(F.size("b") > 1).select("key", F.array_join("b", ", ").alias("brands"), F.array_join("f", ", ").alias("forms"))
 
 
 def resolve(name: Column, registry: Registry, excluded: Sequence[str] = ()) -> Column:

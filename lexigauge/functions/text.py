@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,50 +73,6 @@ def verdicts(spark: SparkSession) -> DataFrame:
     return rows.select("type", x.alias("first_share"), y.alias("second_share"), F.when((x >= 0.3) & (y >= 0.3), "strong").when((x >= 0.3) | (y >= 0.3), "mixed").otherwise("weak").alias("verdict"))
 
 
-def page_text(pages: DataFrame) -> DataFrame:
-    """page_id, title, headings, n_links, words: an HTML page read without its scripts and styles."""
-    from html.parser import HTMLParser
-
-    class Reader(HTMLParser):
-        def __init__(self) -> None:
-            super().__init__()
-            self.skip, self.inside, self.title, self.headings, self.links, self.body = 0, "", "", [], 0, []
-
-        def handle_starttag(self, tag, attrs):  # noqa: ANN001
-            self.skip += tag in ("script", "style")
-            self.links += tag == "a" and any(k == "href" and v for k, v in attrs)
-            if tag in ("title", "h1", "h2", "h3"):
-                self.inside = tag
-                if tag != "title":
-                    self.headings.append("")
-
-        def handle_endtag(self, tag):  # noqa: ANN001
-            self.skip -= tag in ("script", "style") and self.skip > 0
-            self.inside = "" if tag == self.inside else self.inside
-
-        def handle_data(self, data):  # noqa: ANN001
-            if self.skip:
-                return
-            if self.inside == "title":
-                self.title += data
-                return
-            if self.inside:
-                self.headings[-1] += data
-            self.body.append(data)
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for page, html in zip(f["page_id"], f["html"], strict=True):
-                r = Reader()
-                r.feed(html or "")
-                r.close()
-                rows.append((page, " ".join(r.title.split()), [" ".join(h.split()) for h in r.headings], r.links, len(" ".join(r.body).split())))
-            yield pd.DataFrame(rows, columns=["page_id", "title", "headings", "n_links", "words"])
-
-    return pages.select("page_id", "html").mapInPandas(of, "page_id long, title string, headings array<string>, n_links long, words long")
-
-
 def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``pairs`` with ratio: Ratcliff-Obershelp similarity of two strings."""
     import difflib

@@ -66,7 +66,7 @@ def suffixes(name: Column) -> Column:
 
 def kind_by_precedence(hosts: DataFrame, rules: DataFrame, order: list[str]) -> DataFrame:
     """Kind of each host (column host): of all rules that fit the host or a parent the first kind of ``order``, or unknown."""
-    fits = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("domain")).join(F.broadcast(rules), "domain")
+    fits = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("domain")).join(rules, "domain")
     place = F.array_position(F.array(*[F.lit(k) for k in order]), F.col("kind"))
     best = fits.groupBy("host").agg(F.min_by("kind", place).alias("kind"))
     return hosts.join(best, "host", "left").select("host", F.coalesce("kind", F.lit("unknown")).alias("kind"))
@@ -74,6 +74,46 @@ def kind_by_precedence(hosts: DataFrame, rules: DataFrame, order: list[str]) ->
 
 def kind_by_longest(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """Kind of each host: that of the longest rule that fits the host or a parent, or unknown."""
-    fits = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("domain")).join(F.broadcast(rules), "domain")
+    fits = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("domain")).join(rules, "domain")
     best = fits.groupBy("host").agg(F.max_by("kind", F.length("domain")).alias("kind"))
     return hosts.join(best, "host", "left").select("host", F.coalesce("kind", F.lit("unknown")).alias("kind"))
+
+
+LISTED = ("retailer", "forum", "affiliate", "editorial")
+
+
+def kinds_for_brands(sources: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, brand, kind of every distinct row of ``sources`` (host, brand; a null brand asks for nobody's).
+
+    ``rules``: domain, kind, brand; kind is one of ``LISTED`` (brand null) or official (brand named). A brand's own site is
+    official; else the longest rule that fits the host or a parent decides, where official sites of others are
+    vendor_other, or vendor when nobody asks. Without a rule, and without a host, the kind is unknown. Of a domain with
+    several kinds the first in the order official, then of ``LISTED``, counts.
+    """
+    rows = sources.select("host", "brand").distinct()
+    fits = rows.select("host", "brand", F.explode(suffixes(F.col("host"))).alias("domain")).join(rules.select("domain", "kind", F.col("brand").alias("owner")), "domain")
+    official = F.col("kind") == "official"
+    own = official & (F.col("owner") == F.col("brand"))
+    kind = F.when(own, "official").when(official, F.when(F.col("brand").isNull(), "vendor").otherwise("vendor_other")).otherwise(F.col("kind"))
+    place = -F.array_position(F.array(*[F.lit(k) for k in ("official", "vendor", "vendor_other", *LISTED)]), kind)
+    best = fits.groupBy("host", "brand").agg(F.max_by(kind, F.struct(F.coalesce(own, F.lit(False)), F.length("domain"), place)).alias("kind"))
+    same = F.col("s.host").eqNullSafe(F.col("b.host")) & F.col("s.brand").eqNullSafe(F.col("b.brand"))
+    return rows.alias("s").join(best.alias("b"), same, "left").select("s.host", "s.brand", F.coalesce("b.kind", F.lit("unknown")).alias("kind"))
+
+
+def rule_conflicts(rules: DataFrame, brands: DataFrame) -> DataFrame:
+    """domain, fault, detail: what is wrong with a set of rules (domain, kind, brand), one row a fault; none is right.
+
+    not_bare: no bare lower-case host. unknown_brand: an official site of a brand outside ``brands`` (column brand).
+    two_kinds: listed under several kinds. below: another kind's domain that lies below it, which is allowed (the longer
+    one decides) but worth knowing; parents are met by equi-join, domain by domain.
+    """
+    rows = rules.select("domain", "kind", "brand").distinct()
+    bare = (F.col("domain") == F.lower(F.trim("domain"))) & ~F.contains("domain", F.lit("/")) & ~F.startswith("domain", F.lit("www."))
+    off = rows.where(~F.coalesce(bare, F.lit(False))).select("domain", F.lit("not_bare").alias("fault"), F.col("kind").alias("detail"))
+    unknown = rows.where("kind = 'official'").join(brands.select("brand").distinct(), "brand", "left_anti").select("domain", F.lit("unknown_brand").alias("fault"), F.col("brand").alias("detail"))
+    kinds = rows.where("kind <> 'official'").groupBy("domain").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    two = kinds.where(F.size("kinds") > 1).select("domain", F.lit("two_kinds").alias("fault"), F.array_join("kinds", ",").alias("detail"))
+    parents = rows.select(F.col("domain").alias("inner"), F.col("kind").alias("own"), F.explode(F.slice(suffixes(F.col("domain")), 2, 100)).alias("domain"))
+    below = parents.join(rows.select("domain", "kind"), "domain").where("own <> kind").select("domain", F.lit("below").alias("fault"), F.concat_ws(" ", "inner", "own", "kind").alias("detail"))
+    return off.unionByName(unknown).unionByName(two).unionByName(below).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,28 +12,75 @@ from lexigauge.functions.names import Registry
 from lexigauge.operators.rates import ratio
 
 
-def outcomes(answers: DataFrame, registry: Registry, recommends: str, alternative: str, target: str | None = None) -> DataFrame:
+def outcomes(answers: DataFrame, registry: Registry, recommends: str, alternative: str, target: str | None = None, read: str = "text") -> DataFrame:
     """``answers`` (any keys, text) with named, n_named, first_named, first_brand, pick_method.
 
     Lines with a pipe (tables) are not read for the pick. The first sentence that recommends, names no alternative and
     exactly one brand decides (``sentence``), else the first bold part with exactly one (``bold``), else the first brand
     named (``first_mention``), else none. With ``target`` also first, mentioned (0 or 1) and rank (null if not named).
+    The pick is read from the column ``read`` (see ``spelt``), what is named from text.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    prose = F.array_join(F.filter(F.split(text, "\r?\n"), lambda line: ~line.contains("|")), "\n")
+    text, whole = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col(read), F.lit(""))
+    prose = F.array_join(F.filter(F.split(whole, "\r?\n"), lambda line: ~line.contains("|")), "\n")
     one = lambda parts: F.filter(F.transform(parts, lambda s: F.array_distinct(nm.names_in(s, registry))), lambda b: F.size(b) == 1)
     said = F.filter(F.regexp_extract_all("prose", F.lit(r"[^.!?\n]+"), F.lit(0)), lambda s: s.rlike(recommends) & ~s.rlike(alternative))
     bold = F.regexp_extract_all("prose", F.lit(r"(?s)\*\*(.+?)\*\*"), F.lit(1))
     rows = answers.withColumns({"prose": prose, "named": F.array_distinct(nm.names_in(text, registry))})
     rows = rows.withColumns({"by_sentence": F.get(F.get(one(said), F.lit(0)), F.lit(0)), "by_bold": F.get(F.get(one(bold), F.lit(0)), F.lit(0)), "first_named": F.get("named", F.lit(0))})
-    method = F.when(F.col("by_sentence").isNotNull(), "sentence").when(F.col("by_bold").isNotNull(), "bold").when(F.col("first_named").isNotNull(), "first_mention").otherwise("none")
-    rows = rows.withColumns({"n_named": F.size("named").cast("long"), "first_brand": F.coalesce("by_sentence", "by_bold", "first_named"), "pick_method": method}).drop("prose", "by_sentence", "by_bold")
+    if read != "text":
+        rows = rows.withColumn("by_mention", F.get(nm.names_in(whole, registry), F.lit(0)))
+    mention = F.col("first_named" if read == "text" else "by_mention")
+    method = F.when(F.col("by_sentence").isNotNull(), "sentence").when(F.col("by_bold").isNotNull(), "bold").when(mention.isNotNull(), "first_mention").otherwise("none")
+    rows = rows.withColumns({"n_named": F.size("named").cast("long"), "first_brand": F.coalesce(F.col("by_sentence"), F.col("by_bold"), mention), "pick_method": method}).drop("prose", "by_sentence", "by_bold", "by_mention")
     if target is None:
         return rows
     place = F.array_position("named", F.lit(target))
     return rows.withColumns({"first": F.coalesce((F.col("first_brand") == target).cast("long"), F.lit(0).cast("long")), "mentioned": (place > 0).cast("long"), "rank": F.when(place > 0, place)})
 
 
+def misspelt(words: DataFrame, registry: Registry) -> DataFrame:
+    """word, place: the rows of ``words`` (word, lower case, distinct) one letter off a word of the form at that place of the
+    registry.
+
+    One letter is missing, too many, another one, or two neighbours are swapped; both words have five letters or more (six
+    where they are of one length) and begin alike. Every form's words are indexed by what is left of them without each of
+    their letters; a word meets the index by equi-join on the same, so no pair of words is made that shares none.
+    """
+    index = []
+    for place, (_, form) in enumerate(registry):
+        for w in {x.lower() for x in re.findall(r"\w+", form) if len(x) >= 5}:
+            index += [(w, -1, "", w, place), *((w[:i] + w[i + 1 :], i, w[i], w, place) for i in range(len(w)))]
+    schema = "rest string, at int, gone string, known string, place int"
+    known = words.sparkSession.createDataFrame(index, schema)  # a bounded dimension, as the registry
+    lengths = [len(k[3]) for k in index] or [0]
+    apt = words.where(F.length("word").between(max(5, min(lengths) - 1), max(lengths) + 1)).where(F.substring("word", 1, 1).isin(sorted({k[3][0] for k in index})))
+    cut = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.struct(F.concat(F.substring(F.col("word"), F.lit(1), i), F.substring(F.col("word"), i + 2, F.length("word"))).alias("rest"), i.alias("own"), F.substring(F.col("word"), i + 1, F.lit(1)).alias("left")))
+    rests = apt.select("word", F.inline(F.concat(F.array(F.struct(F.col("word").alias("rest"), F.lit(-1).alias("own"), F.lit("").alias("left"))), cut)))
+    swapped = (F.abs(F.col("own") - F.col("at")) == 1) & (F.col("left") == F.col("gone"))
+    both = (F.col("own") >= 0) & (F.col("at") >= 0) & ((F.col("own") == F.col("at")) | swapped) & (F.length("word") >= 6)
+    one = (F.col("own") >= 0) != (F.col("at") >= 0)
+    near = rests.join(known, "rest").where((F.col("word") != F.col("known")) & (F.substring("word", 1, 1) == F.substring("known", 1, 1)) & (both | one))
+    return near.select("word", "place").distinct()
+
+
+def spelt(answers: DataFrame, registry: Registry, key: str = "record_id") -> DataFrame:
+    """``answers`` with spelt: the text in which a misspelt name of a brand that the text nowhere spells right is followed
+    by that brand's form. ``key`` tells answers apart; null texts are empty."""
+    word = r"[\p{L}\p{N}_]+"
+    text = F.coalesce(F.col("text"), F.lit(""))
+    said = answers.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.lower))).alias("word"))
+    close = said.join(misspelt(said.select("word").distinct(), registry), "word")
+    brands, forms = (F.array(*[F.lit(r[k]) for r in registry]) for k in (0, 1))
+    found = close.groupBy(key).agg(F.collect_set(F.struct("word", "place")).alias("_close"))
+    rows = answers.join(found, key, "left").withColumn("_named", F.array_distinct(nm.names_in(text, registry)))
+    absent = F.array_sort(F.filter("_close", lambda c: ~F.array_contains(F.col("_named"), F.get(brands, c["place"]))))
+    added = lambda piece: F.transform(F.filter("_absent", lambda c: c["word"] == F.lower(piece)), lambda c: F.get(forms, c["place"]))
+    pieces = F.regexp_extract_all(text, F.lit(f"{word}|[^\\p{{L}}\\p{{N}}_]+"), F.lit(0))
+    fixed = F.array_join(F.transform(pieces, lambda p: F.concat_ws(" ", p, added(p))), "")
+    rows = rows.withColumn("_absent", absent)
+    return rows.withColumn("spelt", F.when(F.size("_absent") > 0, fixed).otherwise(text)).drop("_close", "_named", "_absent")
+
+
 def result_mentions(results: DataFrame, registry: Registry) -> DataFrame:
     """Result x brand rows (keys of ``results``, brand) of the brands that a result's text mentions.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigauge.operators.ordering import numbered
+
 
 def canonical(*columns: str) -> Column:
-    """A row as text: its values by name order, parted by a unit separator; null as an empty mark."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(columns)])
+    """A row as text: its values by name order, each behind its length, so that no two rows are alike; a null has none."""
+    one = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("~"))
+    return F.concat_ws("|", *[one(F.col(c).cast("string")) for c in sorted(columns)])
 
 
 def content_hash(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -58,14 +61,15 @@ def judgement_currency(judgements: DataFrame, contents: DataFrame) -> DataFrame:
 def breaker(calls: DataFrame, run: int = 5) -> DataFrame:
     """Longest run of consecutive failures per group, and whether it reaches ``run``. calls: key, failed, at, id.
 
-    Runs are islands: the difference of two row numbers is constant within one.
+    Runs are islands: a failure's number among all calls of its key, less that among its failures, is constant within one.
+    Both numbers come from global orders, so the calls of one key are spread over tasks; islands are counted map-side.
     """
-    by = Window.partitionBy("key").orderBy("at", "id")
-    both = Window.partitionBy("key", "failed").orderBy("at", "id")
-    rows = calls.select("key", "failed", (F.row_number().over(by) - F.row_number().over(both)).alias("island"))
-    runs = rows.groupBy("key", "failed", "island").agg(F.count(F.lit(1)).alias("n"))
-    longest = F.coalesce(F.max(F.when(F.col("failed") == 1, F.col("n"))), F.lit(0))
-    return runs.groupBy("key").agg(longest.alias("longest")).withColumn("open", F.col("longest") >= run)
+    rows = numbered(calls.select("key", "failed", "at", "id"), ["key"], ["at", "id"], "all")
+    failures = numbered(rows.where("failed = 1"), ["key"], ["all"], "own")
+    runs = failures.groupBy("key", (F.col("all") - F.col("own")).alias("island")).agg(F.count(F.lit(1)).alias("n"))
+    longest = runs.groupBy("key").agg(F.max("n").alias("longest"))
+    every = calls.select("key").distinct().join(longest, "key", "left")
+    return every.select("key", F.coalesce("longest", F.lit(0).cast("long")).alias("longest")).withColumn("open", F.col("longest") >= run)
 
 
 def json_fields(rows: DataFrame, column: str, fields: list[str]) -> DataFrame:

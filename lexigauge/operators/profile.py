@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigauge.operators.ordering import numbered
 from lexigauge.operators.rates import ratio
 
 
@@ -53,13 +54,16 @@ def brand_sources(evidence: DataFrame, k: int = 12) -> DataFrame:
 
 
 def outreach(evidence: DataFrame, rivals: int = 2) -> DataFrame:
-    """Per category and brand: independent hosts that name ``rivals`` other brands or more, but never this one."""
-    open_ = evidence.where("kind in ('editorial', 'forum', 'affiliate')").select("category", "host", "brand").distinct()
-    named = open_.groupBy("category", "host").agg(F.count(F.lit(1)).alias("named"))
-    brands = evidence.select("category", "brand").distinct()
-    every = named.where(F.col("named") >= rivals).join(brands, "category")
-    known = evidence.select("category", "host", "brand").distinct()
-    return every.join(known, ["category", "host", "brand"], "left_anti").select("category", "brand", "host", "named")
+    """Per category and brand: independent hosts that name ``rivals`` other brands or more, but never this one.
+
+    A host's brands are a set within the category's, so those it lacks are a difference of two small arrays; a result row
+    is a gap itself, and no pair of host and brand is made to be thrown away.
+    """
+    free = F.col("kind").isin("editorial", "forum", "affiliate")
+    hosts = evidence.groupBy("category", "host").agg(F.collect_set(F.when(free, F.col("brand"))).alias("named"), F.collect_set("brand").alias("known"))
+    brands = evidence.groupBy("category").agg(F.collect_set("brand").alias("brands"))
+    apt = hosts.where(F.size("named") >= rivals).join(brands, "category")
+    return apt.select("category", F.explode(F.array_except("brands", "known")).alias("brand"), "host", F.size("named").cast("long").alias("named"))
 
 
 def targets(panel: DataFrame, low: float = 0.05, high: float = 0.40, k: int = 2) -> DataFrame:
@@ -70,11 +74,19 @@ def targets(panel: DataFrame, low: float = 0.05, high: float = 0.40, k: int = 2)
 
 
 def contexts(responses: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Per query the answer of lower-median number of results (ties by record_id)."""
-    rows = responses.where("condition = 'search_on'").join(volumes, "record_id")
+    """Per query the answer of lower-median number of results (ties by record_id).
+
+    Answers are counted per number of results, which says where the median lies; only the answers of that number are put
+    in order, over many tasks.
+    """
+    rows = responses.where("condition = 'search_on'").join(volumes, "record_id").select("query_id", "record_id", "n_results")
     by = Window.partitionBy("query_id")
-    rows = rows.select("query_id", "record_id", "n_results", F.row_number().over(by.orderBy("n_results", "record_id")).alias("rn"), F.count(F.lit(1)).over(by).alias("n"))
-    return rows.where(F.col("rn") == F.expr("(n - 1) div 2 + 1")).select("query_id", "record_id", "n_results")
+    sizes = rows.groupBy("query_id", "n_results").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(by.orderBy("n_results"))
+    at = sizes.select("query_id", "n_results", (upto - F.col("n")).alias("before"), upto.alias("upto"), F.expr("(sum(n) over (partition by query_id) - 1) div 2").alias("middle"))
+    at = at.where("before <= middle and middle < upto").select("query_id", "n_results", (F.col("middle") - F.col("before")).alias("place"))
+    near = numbered(rows.join(at.drop("place"), ["query_id", "n_results"]), ["query_id"], ["record_id"])
+    return near.join(at, ["query_id", "n_results", "place"]).select("query_id", "record_id", "n_results")
 
 
 def observation_rates(panel: DataFrame) -> DataFrame:

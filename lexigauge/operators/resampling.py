@@ -7,10 +7,14 @@ draws multiply blocks, never rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigauge.operators import metrics as mt
 from lexigauge.operators.effects import draw
+from lexigauge.operators.ordering import reused
 
 
 def weights(blocks: DataFrame, by: list[str], block: str, draws: int, seed: int = 42) -> DataFrame:
@@ -28,18 +32,118 @@ def ends(values: DataFrame, by: list[str], value: str = "v") -> DataFrame:
     return values.groupBy(*by).agg(F.round(F.percentile(value, 0.025), 6).alias("low"), F.round(F.percentile(value, 0.975), 6).alias("high"))
 
 
-def average_precision_draws(scored: DataFrame, by: str, block: str, draws: int, label: str = "y_top", seed: int = 42) -> DataFrame:
+def draw_vectors(blocks: DataFrame, by: list[str], block: str, draws: int, seed: int = 42) -> DataFrame:
+    """``by``, block, picks array<struct<draw, times>>: how often each draw picks a block, as one sparse vector."""
+    return weights(blocks, by, block, draws, seed).groupBy(*by, block).agg(F.collect_list(F.struct("draw", "times")).alias("picks"))
+
+
+#: Rows of which a worker holds the draw counts at once (each is a vector of as many numbers as there are draws).
+CHUNK = 2048
+
+
+def _vectors(table: pa.Table, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice in falling order of its scores: last row of each score, hits, n, block of each row, and draw counts by block."""
+    score = table.column("score").to_numpy()
+    order = np.argsort(-score, kind="stable")
+    score = score[order]
+    ends = np.append(score[1:] != score[:-1], True)
+    blocks = table.column("_block").combine_chunks().dictionary_encode()
+    code = blocks.indices.to_numpy()
+    times = np.zeros((len(blocks.dictionary), draws))
+    _, where = np.unique(code, return_index=True)
+    picks = table.column("picks").take(where).combine_chunks()
+    at = np.repeat(code[where], np.diff(picks.offsets.to_numpy()))
+    flat = picks.flatten()
+    times[at, flat.field("draw").to_numpy()] = flat.field("times").to_numpy()
+    return ends, table.column("hits").to_numpy()[order], table.column("n").to_numpy()[order], code[order], times
+
+
+def average_precision_draws(scored: DataFrame, by: str | list[str], block: str, draws: int, label: str = "y_top", seed: int = 42) -> DataFrame:
     """by, draw, v: average precision of every draw of blocks; null where a draw has one label only.
 
-    Rows are counted per (block, score) before they meet the draws.
+    Rows are counted per (block, score) and carry their block's vector of draw counts; no row is multiplied by draws. The
+    counts are range-partitioned by falling score. A first pass adds up the vectors of every slice, whose sums before a
+    slice are its offsets; a second pass runs through the slice with vectors of hits and rows seen, one step per score.
+    """
+    by = [by] if isinstance(by, str) else by
+    steps = scored.groupBy(*by, block, "score").agg(F.sum(label).cast("long").alias("hits"), F.count(F.lit(1)).alias("n"))
+    rows = steps.join(draw_vectors(scored, by, block, draws, seed), [*by, block]).select(*by, F.col(block).cast("string").alias("_block"), F.col("score").cast("double").alias("score"), "hits", "n", "picks")
+    rows = reused(rows.repartitionByRange(*by, F.desc("score")).withColumn("_slice", F.spark_partition_id()))
+    keys = [*by, "_slice"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    named = [f.name for f in rows.schema if f.name in keys]
+
+    def totals(table: pa.Table) -> pa.Table:
+        _, hits, n, code, times = _vectors(table, draws)
+        sums = [np.zeros(len(times)), np.zeros(len(times))]
+        np.add.at(sums[0], code, hits)
+        np.add.at(sums[1], code, n)
+        own = table.select(named).slice(0, 1).take(pa.array(np.zeros(draws, np.int64)))
+        return pa.table([*own.columns, pa.array(np.arange(draws)), *[pa.array(s @ times) for s in sums]], names=[*named, "draw", "h", "m"])
+
+    sums = rows.groupBy(*keys).applyInArrow(totals, f"{kinds}, draw long, h double, m double")
+    before = Window.partitionBy(*by, "draw").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "draw", F.coalesce(F.sum("h").over(before), F.lit(0.0)).alias("h"), F.coalesce(F.sum("m").over(before), F.lit(0.0)).alias("m"))
+
+    def walk(table: pa.Table, offset: pa.Table) -> pa.Table:
+        ends, hits, n, code, times = _vectors(table, draws)
+        tp, seen, s = np.zeros(draws), np.zeros(draws), np.zeros(draws)
+        at = offset.column("draw").to_numpy()
+        tp[at], seen[at] = offset.column("h").to_numpy(), offset.column("m").to_numpy()
+        done = tp.copy()  # hits up to the last whole step
+        first = tp.copy()
+        for i in range(0, len(code), CHUNK):
+            picked = times[code[i : i + CHUNK]]
+            up = tp + np.cumsum(picked * hits[i : i + CHUNK, None], 0)
+            so_far = seen + np.cumsum(picked * n[i : i + CHUNK, None], 0)
+            last = ends[i : i + CHUNK]
+            steps = np.diff(up[last], axis=0, prepend=done[None])
+            s += np.divide(steps * up[last], so_far[last], out=np.zeros_like(steps), where=so_far[last] > 0).sum(0)
+            tp, seen = up[-1], so_far[-1]
+            done = up[last][-1] if last.any() else done
+        own = table.select(named).slice(0, 1).take(pa.array(np.zeros(draws, np.int64)))
+        return pa.table([*own.columns, pa.array(np.arange(draws)), pa.array(s), pa.array(tp - first), pa.array(seen)], names=[*named, "draw", "s", "p", "n"])
+
+    parts = rows.groupBy(*keys).cogroup(offsets.groupBy(*keys)).applyInArrow(walk, f"{kinds}, draw long, s double, p double, n double")
+    out = parts.groupBy(*by, "draw").agg(F.sum("s").alias("s"), F.sum("p").alias("p"), F.max("n").alias("n"))
+    return out.where("n > 0").select(*by, "draw", F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.round(F.col("s") / F.col("p"), 9)).alias("v"))
+
+
+def joint_deltas(rows: DataFrame, a: str, b: str, by: str = "category", block: str = "query_id", label: str = "y_top", draws: int = 400, seed: int = 42) -> DataFrame:
+    """Per group: blocks, and delta, low, high of average precision, top-1 and NDCG at 3 of score ``a`` minus score ``b``.
+
+    All three come from the same draws of blocks for both scores, so the intervals are those of the differences. Top-1 and
+    NDCG are ratios of sums over blocks; rows with columns record_id, brand. A group of one block has no intervals; a
+    measure that a draw cannot have is left out of its ends. An empty table gives an empty result.
     """
-    steps = scored.groupBy(by, block, "score").agg(F.sum(label).alias("hits"), F.count(F.lit(1)).alias("n"))
-    many = steps.join(weights(scored, [by], block, draws, seed), [by, block])
-    sums = many.groupBy(by, "draw", "score").agg(F.sum(F.col("hits") * F.col("times")).alias("hits"), F.sum(F.col("n") * F.col("times")).alias("n"))
-    order = Window.partitionBy(by, "draw").orderBy(F.desc("score"))
-    rows = sums.select(by, "draw", "hits", F.sum("hits").over(order).alias("tp"), F.sum("n").over(order).alias("seen"))
-    out = rows.groupBy(by, "draw").agg(F.sum(F.col("hits") * F.col("tp") / F.col("seen").cast("double")).alias("s"), F.sum("hits").alias("p"), F.max("seen").alias("n"))
-    return out.select(by, "draw", F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.round(F.col("s") / F.col("p"), 9)).alias("v"))
+    sides = [rows.select(by, block, "record_id", "brand", F.col(label).alias("y_top"), F.col(x).cast("double").alias("score"), F.lit(k).alias("side")) for k, x in enumerate((a, b))]
+    one = F.col("positives") == 1
+    sums = []
+    for k, side in enumerate(sides):
+        lists = mt.ranked(side).groupBy(by, block, "record_id").agg(F.max("positives").alias("positives"), F.sum(F.when(F.col("place") == 1, F.col("y_top"))).alias("right"), F.sum(F.when(F.col("place") <= 3, F.col("y_top") / F.log2(F.col("place") + F.lit(1.0)))).alias("gain"))
+        ideal = sum((F.when(F.col("positives") >= i, 1 / F.log2(F.lit(i + 1.0))).otherwise(F.lit(0.0)) for i in (1, 2, 3)), F.lit(0.0))
+        sums.append(lists.groupBy(by, block).agg(F.count_if(one & (F.col("right") == 1)).alias(f"hits{k}"), F.count_if(one).alias(f"usable{k}"), F.round(F.sum(F.when(F.col("positives") > 0, F.col("gain") / ideal)), 9).alias(f"gain{k}"), F.count_if(F.col("positives") > 0).alias(f"lists{k}")))
+    blocks = reused(sums[0].join(sums[1], [by, block]).na.fill(0.0))
+    drawn = blocks.join(weights(blocks, [by], block, draws, seed), [by, block])
+
+    def measures(frame: DataFrame, keys: list[str], times: Column) -> DataFrame:
+        total = lambda c: F.sum(F.col(c) * times)
+        top = F.try_divide(total("hits0") - total("hits1"), total("usable0"))
+        ndcg = F.try_divide(total("gain0"), total("lists0")) - F.try_divide(total("gain1"), total("lists1"))
+        return frame.groupBy(*keys).agg(F.round(top.cast("double"), 9).alias("top1"), F.round(ndcg, 9).alias("ndcg"))
+
+    both = sides[0].unionByName(sides[1])
+    precise = average_precision_draws(both, [by, "side"], block, draws, seed=seed).groupBy(by, "draw")
+    precise = precise.agg(F.round(F.max(F.when(F.col("side") == 0, F.col("v"))) - F.max(F.when(F.col("side") == 1, F.col("v"))), 9).alias("precision"))
+    values = measures(drawn, [by, "draw"], F.col("times")).join(precise, [by, "draw"], "left")
+    names = ("precision", "top1", "ndcg")
+    end = lambda n, q, tag: F.round(F.percentile(n, q), 6).alias(f"{n}_{tag}")
+    ends_ = values.groupBy(by).agg(*[end(n, q, tag) for n in names for q, tag in ((0.025, "low"), (0.975, "high"))])
+    whole = [mt.average_precision(side, by=by).withColumnRenamed("average_precision", f"p{k}") for k, side in enumerate(sides)]
+    point = measures(blocks, [by], F.lit(1)).join(blocks.groupBy(by).agg(F.count(F.lit(1)).alias("blocks")), by).join(whole[0], by, "left").join(whole[1], by, "left")
+    point = point.select(by, "blocks", F.round(F.col("p0") - F.col("p1"), 6).alias("precision_delta"), F.round("top1", 6).alias("top1_delta"), F.round("ndcg", 6).alias("ndcg_delta"))
+    several = lambda n, tag: F.when(F.col("blocks") > 1, F.col(f"{n}_{tag}")).alias(f"{n}_{tag}")
+    return point.join(ends_, by, "left").select(by, "blocks", *[c for n in names for c in (F.col(f"{n}_delta"), several(n, "low"), several(n, "high"))])
 
 
 def concentration_draws(events: DataFrame, by: list[str], block: str, draws: int, seed: int = 42) -> DataFrame:

@@ -105,6 +105,38 @@ def answer_outcomes(s, d):
     return _outcomes(s, d).drop("text").withColumn("named", F.array_join("named", ","))
 
 
+def _added_sql() -> str:
+    """The forms of brands that a text nowhere spells right and of which the word x is one letter off, in order."""
+    tests = [
+        f"case when not list_contains(list_distinct(names), '{b}') and length(x) >= 5 and substr(lower(x), 1, 1) = '{f[0].lower()}' and damerau_levenshtein(lower(x), '{f.lower()}') = 1"
+        f" and (length(x) <> {len(f)} or {len(f)} >= 6) then '{f}' end" for b, f in REGISTRY if len(f) >= 5
+    ]
+    return ", ".join(tests)
+
+
+_SPELT = f"""spelt as (
+  select record_id, arm, names, {distinct_sql('names')} as named,
+    array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '{t.PIECE}'), lambda x: concat_ws(' ', x, {_added_sql()})), '') as spelt
+  from (select *, {names_sql('text')} as names from answer_texts)),
+pieces as (
+  select *, array_to_string(list_filter(regexp_split_to_array(spelt, '\\r?\\n'), lambda l: not contains(l, '|')), chr(10)) as prose, {names_sql('spelt')} as mentions_ from spelt),
+picks as (
+  select *, list_filter(list_transform(list_filter(regexp_extract_all(prose, '[^.!?\\n]+'), lambda x: regexp_matches(x, '{RECOMMENDS}') and not regexp_matches(x, '{ALTERNATIVE}')), lambda x: {names_sql('x')}), lambda l: len(list_distinct(l)) = 1) as one,
+    list_filter(list_transform(regexp_extract_all(prose, '(?s)\\*\\*(.+?)\\*\\*', 1), lambda x: {names_sql('x')}), lambda l: len(list_distinct(l)) = 1) as bold from pieces)"""
+
+
+@query(texts_oracle(
+    """select record_id, arm, array_to_string(named, ',') as named, named[1] as first_named, coalesce(one[1][1], bold[1][1], mentions_[1]) as first_brand, length(spelt) as chars,
+      case when one[1][1] is not null then 'sentence' when bold[1][1] is not null then 'bold' when mentions_[1] is not null then 'first_mention' else 'none' end as pick_method from picks""",
+    _SPELT,
+))
+def misspelt_outcomes(s, d):
+    """What answers recommend when names one letter off count for brands that an answer nowhere spells right."""
+    rows = an.spelt(t.answer_texts(s, d), REGISTRY)
+    found = an.outcomes(rows, REGISTRY, RECOMMENDS, ALTERNATIVE, read="spelt")
+    return found.select("record_id", "arm", F.array_join("named", ",").alias("named"), "first_named", "first_brand", F.length("spelt").cast("long").alias("chars"), "pick_method")
+
+
 _NAMED = """shares as (select arm, brand, any_value(answers) as answers, cast(sum(m) as bigint) as mentions, cast(sum(p) as bigint) as picks from (
    select arm, unnest(named) as brand, 1 as m, 0 as p from outcome union all select arm, first_brand, 0, 1 from outcome where first_brand is not null) join (select arm, count(*) as answers from outcome group by 1) using (arm) group by 1, 2)"""
 

@@ -69,11 +69,14 @@ def incomplete_cells(s, d):
 
 
 @query(oracle("""select query_id, model_id, condition, 'missing' as side from (
-  select q.query_id, m.model_id, k.condition from (select distinct query_id from responses) q cross join (select distinct model_id from responses) m cross join (select distinct condition from responses) k
-  except select query_id, model_id, condition from responses where confidence = 'low')"""))
+  select q.query_id, m.model_id, k.condition
+  from (select distinct query_id from monthly) q cross join (select distinct model_id from monthly) m cross join (select distinct condition from monthly) k
+  except select query_id, model_id, condition from monthly)""",
+    "monthly as (select model_id, condition, concat(query_id, '_', strftime(cast(asked as date), '%Y-%m')) as query_id from responses)"))
 def contract_expected_vs_actual(s, d):
-    all_ = c.responses(s, d)
-    return ra.contract(all_.where("confidence = 'low'"), ra.expected_cells(all_))
+    """Every query of every month, asked of every model under every condition: the cells that the answers lack."""
+    monthly = c.responses(s, d).withColumn("query_id", F.concat_ws("_", "query_id", F.date_format("asked", "yyyy-MM")))
+    return ra.contract(monthly, ra.expected_cells(monthly))
 
 
 @query(oracle("""select case when grouping(category) = 0 then 'category' when grouping(query_id) = 0 then 'query_id' when grouping(model_id) = 0 then 'model_id' when grouping(condition) = 0 then 'condition' when grouping(confidence) = 0 then 'confidence' else 'all' end as dimension,
@@ -610,18 +613,13 @@ def taxonomy_shift(s, d):
     return wide.crossJoin(F.broadcast(total)).select("kind", ra.ratio(F.col("v1"), F.col("t1")).alias("v1"), ra.ratio(F.col("v2"), F.col("t2")).alias("v2"))
 
 
-@query()
-def html_page_text(s, d):
-    return tx.page_text(c.table(s, d, "pages"))
-
-
 @query()
 def alias_candidates(s, d):
     return tx.alias_pairs(c.table(s, d, "part").select(F.lower("p_name").alias("name")).distinct(), 0.82)
 
 
 # ---- integrity ------------------------------------------------------------------------------------------------------
-_CANON = "concat_ws('|', coalesce(cast(o_custkey as varchar), '~'), coalesce(cast(o_orderkey as varchar), '~'), coalesce(o_orderpriority, '~'), coalesce(o_orderstatus, '~'))"
+_CANON = "concat_ws('|', " + ", ".join(f"coalesce(concat(length(cast({x} as varchar)), ':', cast({x} as varchar)), '~')" for x in ("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")) + ")"
 
 
 @query(f"select o_orderkey, sha256({_CANON}) as content_hash from orders")
@@ -680,4 +678,4 @@ def export_distribution(s, d):
     return c.table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts").cast("timestamp")).alias("first_us"), F.unix_micros(F.max("ts").cast("timestamp")).alias("last_us"))
 
 
-from lexigauge.plans import answers_catalogue, checks_catalogue, lab_catalogue, live_catalogue  # noqa: E402, F401  they register their queries
+from lexigauge.plans import answers_catalogue, checks_catalogue, explain_catalogue, lab_catalogue, live_catalogue, site_catalogue  # noqa: E402, F401  they register their queries

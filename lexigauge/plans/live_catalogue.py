@@ -145,10 +145,10 @@ def normalised_judgements(s, d):
     return out.select("record_id", "judgement.top", F.array_join(F.array_sort("judgement.mentioned"), ",").alias("mentioned"))
 
 
-@query(oracle("select category, condition, model_id, count(*) as n from scored where (category, condition) in (select category, condition from responses where confidence = 'low') group by 1, 2, 3"))
+@query(oracle("select category, condition, model_id, count(*) as n from scored where (record_id, brand) in (select record_id, brand from mentions) group by 1, 2, 3"))
 def compared_tracks(s, d):
-    """Rows of one track whose (category, condition) the other has too."""
-    rows = lv.seen_by(c.scored(c.pairs(s, d)), c.responses(s, d).where("confidence = 'low'"), ["category", "condition"])
+    """Rows of the panel that another track, the brands that answers name, has too."""
+    rows = lv.seen_by(c.scored(c.pairs(s, d)), c.mentions(c.results(s, d)), ["record_id", "brand"])
     return rows.groupBy("category", "condition", "model_id").agg(F.count(F.lit(1)).alias("n"))
 
 
