@@ -24,8 +24,9 @@ from lexigauge.llm.common import light
 
 #: Marks of the template: before the role, between role and text, after the text.
 OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
-_SPECIAL, _ESCAPED = re.compile(r"\\|###|</turn>"), re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*) </turn>\n", re.S)
+_SPECIAL = re.compile(r"\\|###|</turn>")
+#: Characters of a text that are in hand at once when it is read back.
+PIECE = 1 << 20
 
 
 def escape(text: str) -> str:
@@ -33,9 +34,23 @@ def escape(text: str) -> str:
     return _SPECIAL.sub(lambda m: "\\" + m[0], text)
 
 
+def pieces(text: str, start: int = 0, end: int | None = None) -> Iterator[str]:
+    """Undo ``escape`` between two places, in pieces of at most PIECE characters: a text of any length costs no more."""
+    end = len(text) if end is None else end
+    while start < end:
+        cut = text.find("\\", start, min(end, start + PIECE))
+        stop = cut if cut >= 0 else min(end, start + PIECE)
+        if stop > start:
+            yield text[start:stop]
+        start = stop
+        if cut >= 0:  # what follows the backslash stands for itself
+            yield text[cut + 1 : cut + 2]
+            start = cut + 2
+
+
 def unescape(text: str) -> str:
     """Undo ``escape``."""
-    return _ESCAPED.sub(r"\1", text)
+    return "".join(pieces(text)) if "\\" in text else text
 
 
 def event_log(conversations: DataFrame) -> DataFrame:
@@ -108,23 +123,46 @@ def render(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "seq", F.concat(head, body, F.lit(CLOSE)).alias("formatted"), loss.alias("loss"))
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """Roles and texts of rendered turns."""
-    out, at = [], 0
+def _unescaped(text: str, mark: str, start: int) -> int:
+    """Where ``mark`` stands next behind an even number of backslashes; -1 if nowhere."""
+    at = text.find(mark, start)
+    while at >= 0:
+        before = at
+        while before > start and text[before - 1] == "\\":
+            before -= 1
+        if (at - before) % 2 == 0:
+            return at
+        at = text.find(mark, at + 1)
+    return -1
+
+
+def spans(formatted: str) -> Iterator[tuple[str, int, int]]:
+    """Role, and start and end of the escaped text, of every rendered turn, without a copy of it.
+
+    Within an escaped role every ``:`` has a backslash, within an escaped text every ``</turn>``, so the first marks
+    without one end them. What is no turn raises a ValueError.
+    """
+    at = 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        middle = _unescaped(formatted, MIDDLE, at + len(OPEN)) if formatted.startswith(OPEN, at) else -1
+        end = _unescaped(formatted, CLOSE, middle + len(MIDDLE)) if middle >= 0 else -1
+        if end < 0:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
-    return out
+        yield unescape(formatted[at + len(OPEN) : middle]), middle + len(MIDDLE), end
+        at = end + len(CLOSE)
+
+
+def parse(formatted: str) -> list[tuple[str, str]]:
+    """Roles and texts of rendered turns."""
+    return [(role, unescape(formatted[start:end])) for role, start, end in spans(formatted)]
 
 
 def digests(rendered: DataFrame) -> DataFrame:
     """Read conversations back from their rendered turns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    The turns of a conversation stream in order through one task, with constant memory: a digest over a whole
-    conversation has to see it in order. Ids may be of any type; rows with a null id are one conversation. An empty table
+    The turns of a conversation stream in order through one task: a digest over a whole conversation has to see it in
+    order. A turn is read in pieces of PIECE characters, so besides the batch that holds it a turn of any length costs a few
+    MB. Ids may be of any type; rows with a null id are one conversation. An empty table
     gives an empty result.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -134,18 +172,22 @@ def digests(rendered: DataFrame) -> DataFrame:
         now, turns, loss, n, chars, total, started = None, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, False
         for batch in batches:
             out = []
-            for conv, formatted, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*batch.columns, strict=True):  # one row's text at a time
+                conv, formatted, start, length = (x.as_py() for x in row)
                 if started and conv != now:
                     out.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), total))
                 if not started or conv != now:
                     now, turns, loss, n, chars, total, started = conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True
-                for role, text in parse(formatted):
-                    turns.update(f"{role}\n{text}\n".encode())
+                for role, begin, end in spans(formatted):
+                    turns.update(f"{role}\n".encode())
+                    for piece in pieces(formatted, begin, end):
+                        turns.update(piece.encode())
+                    turns.update(b"\n")
                     n += 1
                 if start is not None:
-                    own = unescape(formatted[start : start + length])
-                    loss.update(own.encode())
-                    chars += len(own)
+                    for piece in pieces(formatted, start, start + length):
+                        loss.update(piece.encode())
+                        chars += len(piece)
                 total += len(formatted)
             yield table(out, batch.schema.field(0).type)
         if started:

@@ -18,8 +18,8 @@ from lexigauge.llm.common import sized, staged
 
 #: What is stripped from both ends of a line.
 BLANK = " \t\n\x0b\f\r"
-#: Keys to drop (24 bytes each) and bitmaps (some 60 bytes each) that a join may broadcast.
-BROADCAST_KEYS, BROADCAST_BITMAPS = 1_000_000, 500_000
+#: Keys to drop (24 bytes each), bitmaps (some 60 bytes each) and runs in them (8 bytes each) that a join may broadcast.
+BROADCAST_KEYS, BROADCAST_BITMAPS, BROADCAST_RUNS = 1_000_000, 500_000, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -82,11 +82,15 @@ def dedup_lines(docs: DataFrame, shared: Shared | None = None) -> DataFrame:
     Lines are cut at line feeds; those that ``keep_bitmaps`` drops are missing from kept, the others are joined again. A
     null text is empty and has one empty line. Other columns are neither read nor returned.
     """
-    bits = sized(keep_bitmaps(docs, shared).select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), "keep"), BROADCAST_BITMAPS, "bitmaps")
+    bits = staged(keep_bitmaps(docs, shared).select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), "keep"), "bitmaps")
+    extent = bits.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("keep")), F.lit(0)).alias("runs")).first()
+    bits = F.broadcast(bits) if extent.rows <= BROADCAST_BITMAPS and extent.runs <= BROADCAST_RUNS else bits
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), body_mark(F.col("text")).alias("mark"))
     rows = rows.join(bits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")), "left")
-    lines, n = lines_of(F.col("text")), F.size(lines_of(F.col("text")))
-    kept = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice(lines, r["first"] + 1, r["n"]))), "\n")
+    n = F.size(lines_of(F.col("text")))
+    # the lines are a variable, so that a text is cut once and not for each of its runs
+    runs = F.transform(F.array(lines_of(F.col("text"))), lambda lines: F.flatten(F.transform("keep", lambda r: F.slice(lines, r["first"] + 1, r["n"]))))
+    kept = F.array_join(F.get(runs, F.lit(0)), "\n")
     stay = F.aggregate("keep", F.lit(0), lambda a, r: a + r["n"])
     return rows.select(
         "doc_id", n.cast("long").alias("n_lines"), F.when(F.col("keep").isNull(), F.lit(0)).otherwise(n - stay).cast("long").alias("n_dropped"), F.when(F.col("keep").isNull(), F.col("text")).otherwise(kept).alias("kept")

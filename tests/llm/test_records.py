@@ -168,3 +168,37 @@ def test_interleaved_log_is_one_walk(spark):
         assert got[conv].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
     assert digests(render(fold(log.where("false")))).count() == 0
+
+
+def test_a_long_turn_is_read_in_pieces():
+    """64 million characters cost a few MB besides the turn itself, whatever they are."""
+    import tracemalloc
+
+    from lexigauge.llm import chat
+
+    for unit in ("plain words ", "\\\\ x", "\\### </turn"):
+        formatted = chat.OPEN + "assistant" + chat.MIDDLE + unit * (64_000_000 // len(unit) if unit[0] == "p" else 200_000) + chat.CLOSE
+        tracemalloc.start()
+        n = 0
+        for role, start, end in chat.spans(formatted):
+            digest = hashlib.sha256()
+            for piece in chat.pieces(formatted, start, end):
+                digest.update(piece.encode())
+                n += len(piece)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert role == "assistant" and n == len(chat.unescape(formatted[start:end])) and peak < 16_000_000
+
+
+def test_turns_read_back_as_written():
+    from lexigauge.llm import chat
+
+    rnd = random.Random(6)
+    for _ in range(3000):
+        turns = [("".join(rnd.choices(BITS, k=rnd.randrange(4))), "".join(rnd.choices([*BITS, ": "], k=rnd.randrange(9)))) for _ in range(rnd.randrange(1, 4))]
+        text = "".join(chat.OPEN + chat.escape(r).replace(":", "\\:") + chat.MIDDLE + chat.escape(t) + chat.CLOSE for r, t in turns)
+        assert chat.parse(text) == turns
+        assert "".join(chat.pieces(chat.escape(turns[0][1]))) == turns[0][1]
+    for bad in ("x", chat.OPEN + "user", chat.OPEN + "user: open", chat.OPEN + "user: a\\ </turn>\n"):
+        with pytest.raises(ValueError):
+            chat.parse(bad)
