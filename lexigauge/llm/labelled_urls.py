@@ -1,6 +1,10 @@
-"""A small labelled table of urls, written for this package; all names are invented. One url a line."""
+"""A small labelled table of urls, written for this package; all names are invented. One url a line.
 
-#: Pages to read: news, reference works, documentation, schools, public bodies, blogs.
+Both halves end with urls of the same forms (subdomains, languages, numbers, parameters, fragments), so that these forms
+tell nothing and only the names do.
+"""
+
+#: Pages to read: news, reference works, documentation, schools, public bodies, blogs; then sites with plain names.
 ALLOWED = """
 https://www.morning-herald.com/en/politics/2021/05/12/council-votes-on-budget
 https://news.city-gazette.org/fr/monde/article-48213.html
@@ -52,9 +56,37 @@ https://www.film-journal.com/fr/critiques/4777
 https://news.harbour-times.net/en/21470
 https://manual.photo-editor.org/en/layers
 https://www.farmers-weekly.org/en/soil/rotation
+http://www.tionmer.example.com/en/31
+https://m.therwald.example.net/de/207.html
+http://blog.ththorn.example.org/fr/88?page=2&ref=x
+https://www.thersole.example.com/es/540#top
+http://thermill.example.net/en/61/
+https://m.ontharn.example.org/de/19?utm_source=feed
+http://www.retharin.example.com/en/733?page=2&ref=x
+https://blog.tionard.example.net/fr/12.html
+http://m.enthering.example.org/es/405/
+https://thalerne.example.com/en/266#top
+http://blog.ouandere.example.net/de/91
+https://www.sternthe.example.org/fr/350?utm_source=feed
+http://m.ndringer.example.com/en/128.html
+https://bleration.example.net/es/77?page=2&ref=x
+http://www.hathened.example.org/de/614/
+https://m.lyonthre.example.com/fr/48#top
+http://blog.whather.example.net/en/802
+https://www.tiestion.example.org/es/93.html
+http://ththarm.example.com/fr/271?page=2&ref=x
+https://m.shoundth.example.net/de/36?utm_source=feed
+http://www.river-walk.example.org/en/455
+https://blog.old-town.example.com/de/18.html
+http://m.garden-club.example.net/fr/620?page=2&ref=x
+https://www.north-school.example.org/es/81#top
+http://book-shelf.example.com/en/509/
+https://m.day-report.example.net/de/244?utm_source=feed
+http://www.bird-watch.example.org/fr/67
+https://blog.stone-bridge.example.com/es/332.html
 """.strip()
 
-#: Pages to leave out: gambling, adult pages, pills, cracks, link farms, trackers, prizes.
+#: Pages to leave out: gambling, adult pages, pills, cracks, link farms, trackers, prizes; then sites with such names.
 BLOCKED = """
 http://best-casino-777.com/bonus?ref=aff123
 http://free-slots-jackpot.net/register/free-spins
@@ -106,4 +138,32 @@ http://work-from-home-cash.xyz/join-now
 http://miracle-weight-loss.biz/order?aff=2
 http://free-download-cracked-games.top/keygen.exe
 http://online-casino-bet-bonus.info/play?ref=7
+http://www.cheap-meds.example.com/en/42
+https://m.pills-online.example.net/de/218.html
+http://blog.buy-pills.example.org/fr/79?page=2&ref=x
+https://www.cheapest-pill.example.com/es/551#top
+http://adult-cams.example.net/en/64/
+https://m.x-adult.example.org/de/23?utm_source=feed
+http://www.adult-xxx.example.com/en/741?page=2&ref=x
+https://blog.hot-adult.example.net/fr/15.html
+http://m.win-casino.example.org/es/412/
+https://casino-bonus.example.com/en/259#top
+http://blog.royal-casino.example.net/de/97
+https://www.winners-casino.example.org/fr/343?utm_source=feed
+http://m.bets-online.example.com/en/131.html
+https://free-betting.example.net/es/72?page=2&ref=x
+http://www.sure-bets.example.org/de/608/
+https://m.free-slots.example.com/fr/53#top
+http://blog.link-farm.example.net/en/811
+https://www.spam-links.example.org/es/99.html
+http://farm-links.example.com/fr/276?page=2&ref=x
+https://m.spammy-farm.example.net/de/31?utm_source=feed
+http://www.ads-click.example.org/en/467
+https://blog.track-clicks.example.com/de/21.html
+http://m.ad-tracker.example.net/fr/633?page=2&ref=x
+https://www.track-ads.example.org/es/86#top
+http://pop-ads.example.com/en/517/
+https://m.prize-free.example.net/de/252?utm_source=feed
+http://www.cracked-keys.example.org/fr/60
+https://blog.free-crack.example.com/es/329.html
 """.strip()

@@ -202,3 +202,55 @@ def test_turns_read_back_as_written():
     for bad in ("x", chat.OPEN + "user", chat.OPEN + "user: open", chat.OPEN + "user: a\\ </turn>\n"):
         with pytest.raises(ValueError):
             chat.parse(bad)
+
+
+def test_url_model_as_a_plain_loop():
+    """The fit against the same steps written out one url, one n-gram and one weight at a time."""
+    import numpy as np
+
+    from lexigauge.llm.url_filter import Training, grams, train
+
+    t = Training(buckets=97, sizes=(3, 4), steps=25)
+    pairs = [("news.example.com", "/en/1"), ("casino.example.com", "/en/2"), ("a", ""), ("", ""), ("spin-casino.top", "/play"), ("news.example.com", "/en/1")]
+    allowed = [True, False, True, True, False, True]
+    w, m, v = [[0.0] * (t.buckets + 1) for _ in range(3)]
+    for step in range(1, t.steps + 1):
+        grad = [t.decay * x for x in w[:-1]] + [0.0]
+        for (host, path), good in zip(pairs, allowed, strict=True):
+            own = grams(host, path, t).tolist()
+            z = sum(w[i] for i in own) / math.sqrt(max(len(own), 1)) + w[-1]
+            off = (1 / (1 + math.exp(-z)) - good) * 0.5 / sum(x == good for x in allowed)
+            for i in own:
+                grad[i] += off / math.sqrt(len(own))
+            grad[-1] += off
+        for i, g in enumerate(grad):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+            w[i] -= t.rate * (m[i] / (1 - 0.9**step)) / (math.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+    assert np.allclose(train(pairs, np.array(allowed), t), w, atol=1e-6)
+
+
+#: What stands in the hosts of the given pages that are to be left out.
+UNWANTED = ("cheap-pills", "adult-x", "free-bets", "spam-farm", "casino-win", "ads-track")
+
+
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    """No host of the given pages is labelled; of those the model has to judge nearly all are judged right."""
+    from lexigauge.llm.labelled_urls import ALLOWED, BLOCKED
+    from lexigauge.llm.url_filter import labelled_urls, url_verdicts
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [r for r in url_verdicts(pages, [], labelled_urls(spark)).collect() if r.host]
+    labelled = {u.split("://")[1].split("/")[0] for u in (ALLOWED + "\n" + BLOCKED).split()}
+    assert not labelled & {r.host for r in rows}
+    wanted = [r.verdict for r in rows if not any(x in r.host for x in UNWANTED)]
+    unwanted = [r.verdict for r in rows if any(x in r.host for x in UNWANTED)]
+    assert len(unwanted) > 10 and unwanted.count("block") >= 0.9 * len(unwanted) and wanted.count("allow") >= 0.99 * len(wanted)
+
+
+def test_urls_of_any_length(spark):
+    from lexigauge.llm.url_filter import Rule, labelled_urls, url_verdicts
+
+    long = ["http://casino.net/" + "a/" * 100_000, "http://" + "x" * 100_000 + ".org/y", "x" * 200_000, "http://b.org?" + "q=1&" * 50_000]
+    got = {r.page_id: r for r in url_verdicts(spark.createDataFrame(list(enumerate(long)), "page_id long, url string"), [Rule("allow", "org", "/")], labelled_urls(spark)).collect()}
+    assert got[0].path == long[0][len("http://casino.net") :] and got[1].rule == "org/" and (got[2].host, got[2].path) == ("", "") and (got[3].host, got[3].path) == ("b.org", "")
+    assert all(r.verdict in ("allow", "block") for r in got.values())
