@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import re
@@ -49,14 +50,40 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Folders that the innermost ``temporary`` block will remove, if one is open.
+_OPEN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("open", default=None)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Remove at its end what ``staged`` writes inside, but for tables that are to be kept.
+
+    Results that are still to be read afterwards must have been staged with ``keep``.
+    """
+    paths: list[str] = []
+    token = _OPEN.set(paths)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
-    It cuts lineage and computes ``df`` once; the files outlive any executor, so a lost one costs a re-read only.
+    It cuts lineage and computes ``df`` once; the files outlive any executor, so a lost one costs a re-read only. Inside a
+    ``temporary`` block they go with it, unless they are to be kept.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    paths = _OPEN.get()
+    if paths is not None and not keep:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -82,6 +82,60 @@ def test_similar(docs, texts):
     assert drop_near_duplicates(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [0, 3, 10])
+def test_similar_whatever_the_counters_say(docs, texts, bits, monkeypatch):
+    """The order of shingles decides how much is compared, never what is found: also with counts at random and no counts."""
+    import numpy as np
+
+    from lexigauge.llm import simhash_similar as ss
+
+    want = sorted(r.doc_id for r in ss.drop_near_duplicates(docs).collect())
+    monkeypatch.setattr(ss, "shingle_counts", lambda rows: np.random.default_rng(bits).integers(0, 9 if bits else 1, 1 << bits).astype(np.uint16))
+    assert sorted(r.doc_id for r in ss.drop_near_duplicates(docs).collect()) == want
+
+
+def test_shared_lines_do_not_crowd(spark):
+    """Unrelated texts with one line in common: what they share comes last in the order, so nearly none of it is a key."""
+    from lexigauge.llm import simhash_similar as ss
+    from lexigauge.llm.simhash import shingle_hashes
+
+    rnd, words = random.Random(9), [f"u{i}" for i in range(5000)]
+    line = " ".join(f"shared{k}" for k in range(14))
+    texts = [" ".join(rnd.choices(words, k=60)) + " " + line for _ in range(600)]
+    rows = spark.createDataFrame([(i, bytearray(str(i).encode()), t) for i, t in enumerate(texts)], "doc_id long, mark binary, text string")
+    counts = ss.shingle_counts(rows)
+    common = set(shingle_hashes(line, 5).tolist())
+    assert all(counts[ss.counters(ss.shingle_set(line))] >= 10)
+    keys = [set(ss.prefix(ss.shingle_set(t), 0.8, counts).tolist()) for t in texts]
+    assert sum(len(k & common) for k in keys) == 0 and min(map(len, keys)) > 10
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:3])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ss.drop_near_duplicates(docs).collect()) == list(range(600))
+
+
+def test_temporary_tables_go(spark, docs):
+    from pathlib import Path
+
+    from lexigauge.llm.common import scratch
+    from lexigauge.llm.simhash_similar import drop_near_duplicates
+
+    folder = Path(scratch(spark, "x").removeprefix("file:")).parent
+    names = lambda: {p.name.rsplit("-", 1)[0] for p in folder.iterdir()} if folder.exists() else set()
+    for p in list(folder.iterdir()) if folder.exists() else []:
+        p.rename(folder.parent / f"old-{p.name}")
+    once = docs.dropDuplicates(["doc_id"])
+    assert drop_near_duplicates(once).count() > 0 and names() == {"gone", "without"}
+
+
+def test_every_text_of_a_repeated_id(spark):
+    """Two texts of one id are two documents: a copy of one does not take the other with it, and the smallest id stays."""
+    from lexigauge.llm.simhash_similar import drop_near_duplicates
+
+    one, two, three = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, one, "r"), (5, two, "q"), (5, two, "p"), (2, one + " tail", "s"), (9, three, None), (9, None, "t"), (7, "", "u"), (None, one, "v")]
+    got = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, more string"))
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(2, one + " tail", "s"), (5, two, "p"), (9, three, None), (7, "", "u"), (None, one, "v")]))
+
+
 def test_decontamination(spark):
     from lexigauge.llm.decontamination import benchmark_hits, drop_contaminated
 
