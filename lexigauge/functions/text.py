@@ -61,6 +61,32 @@ def structure(text: Column) -> list[Column]:
     ]
 
 
+#: Terms of search queries that ask to compare, that name brands, that ask for what is current (fixed values).
+COMPARISON = ("karşılaştır", "versus", " vs ", "hangisi", "en iyi", "compare", "best")
+BRAND_TERMS = ("vpn", "nordvpn", "expressvpn", "proton", "mullvad", "surfshark", "marka", "brand", "kozmetik")
+CURRENT = ("güncel", "şu anda", "bugün", "son", "current", "latest", "now")
+
+
+def search_trace(calls: Column, found: Column, comparison: tuple[str, ...] = COMPARISON, brands: tuple[str, ...] = BRAND_TERMS, current: tuple[str, ...] = CURRENT) -> list[Column]:
+    """What an answer has searched for: numbers of searches, rounds and results, and what its queries contain.
+
+    ``calls``: array of struct(round, query), empty and null queries count as searches but ask nothing; ``found``: array
+    of the numbers of results that the searches have returned. Null arrays are empty.
+    """
+    each = F.transform(calls, lambda x: F.struct(x["round"].cast("int").alias("round"), x["query"].alias("query")))
+    each = F.coalesce(each, F.array().cast("array<struct<round:int,query:string>>"))
+    asked = F.filter(F.transform(each, lambda x: x["query"]), lambda q: q.isNotNull() & (q != ""))
+    padded = F.transform(asked, lambda q: F.concat(F.lit(" "), F.lower(q), F.lit(" ")))
+    has = lambda terms: F.exists(padded, lambda q: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(q, t)))
+    return [
+        F.size(each).cast("long").alias("num_searches"),
+        F.size(F.array_distinct(F.transform(each, lambda x: F.coalesce(x["round"], F.lit(0))))).cast("long").alias("num_search_rounds"),
+        F.aggregate(F.coalesce(found, F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, n: a + F.coalesce(n, F.lit(0))).alias("num_search_results_returned"),
+        F.exists(asked, lambda q: q.rlike(r"\b(19|20)[0-9]{2}\b")).alias("query_contains_year"),
+        has(comparison).alias("query_contains_comparison_terms"), has(brands).alias("query_contains_brand_names"), has(current).alias("query_contains_currentness_terms"),
+    ]
+
+
 def sentences(text: Column) -> Column:
     """Parts after . ! ? ; and white space, and lines; trimmed, empty ones dropped."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?;])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
@@ -99,9 +125,9 @@ def alias_pairs(names: DataFrame, least: float) -> DataFrame:
     """a, b, ratio: pairs of distinct names (column name, a < b) whose similarity is ``least`` or more, under 1.
 
     No pair is missed: the ratio is at most twice the letters in common over all letters. So lengths lie within a band, and
-    of the letters of a, rarest first and repeats numbered, one of the first n - ceil(c) + 1 is among those of b, where c
-    is what a must share with the shortest name of its band. Only pairs that meet on such a letter and pass the bound on
-    their common letters are compared.
+    of the letters of a, rarest first and repeats numbered, two of the first n - ceil(c) + 2 are among those of b, where c
+    is what a must share with the shortest name of its band (2 at least, for names of several letters). Names meet on pairs
+    of such letters; only those that pass the bound on their common letters are compared.
     """
     share = least / 2
     each = names.select("name", F.length("name").alias("n"), F.posexplode(F.filter(F.split("name", ""), lambda ch: ch != "")).alias("i", "ch"))
@@ -113,7 +139,9 @@ def alias_pairs(names: DataFrame, least: float) -> DataFrame:
     sets = each.join(often, "letter").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("often", "letter"))).alias("s")).select("name", "n", F.transform("s", lambda x: x["letter"]).alias("letters"))
     # a shares c of its n letters at least with a name of any length in its band: the shortest has n * share / (1 - share)
     c = F.ceil(F.lit(share) * (F.col("n") + F.col("n") * share / (1 - share)) - 1e-9)
-    short = sets.select("name", "n", "letters", F.explode(F.slice("letters", 1, (F.col("n") - c + 1).cast("int"))).alias("letter"))
+    first = sets.where("n > 1").select("name", "n", "letters", F.slice("letters", 1, (F.col("n") - c + 2).cast("int")).alias("p"))
+    two = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice(F.col("p"), i + 2, F.size("p")), lambda b: F.concat_ws(" ", a, b))))
+    short = first.select("name", "n", "letters", F.explode(two).alias("letter"))
     x, y = short.alias("x"), short.alias("y")
     band = (F.col("x.n") * share <= F.col("y.n") * (1 - share) + 1e-9) & (F.col("y.n") * share <= F.col("x.n") * (1 - share) + 1e-9)
     both = x.join(y, (F.col("x.letter") == F.col("y.letter")) & (F.col("x.name") < F.col("y.name")) & band)
@@ -122,7 +150,22 @@ def alias_pairs(names: DataFrame, least: float) -> DataFrame:
     return similarity(near, "a", "b").where((F.col("ratio") >= least) & (F.col("ratio") < 1))
 
 
-def register(spark: SparkSession) -> None:
-    """Make the string functions callable from SQL as temporary SQL functions of the session."""
-    spark.sql("create or replace temporary function turkish_casefold(t string) returns string return lower(translate(t, 'Iİ', 'ıi'))")
-    spark.sql("create or replace temporary function comparison_key(t string) returns string return regexp_replace(lower(translate(translate(t, '™®©', ''), 'İIı', 'iii')), '[^\\\\p{L}\\\\p{N}]', '')")
+#: SQL functions of one text: name and body; t is the text.
+SQL = {
+    "turkish_casefold": "lower(translate(t, 'Iİ', 'ıi'))",
+    "comparison_key": r"regexp_replace(lower(translate(translate(t, '™®©', ''), 'İIı', 'iii')), '[^\\p{L}\\p{N}]', '')",
+    "text_key": "concat(' ', trim(regexp_replace(lower(translate(coalesce(t, ''), 'İIı', 'iii')), '[^0-9a-zçğöşü]+', ' ')), ' ')",
+    "ascii_key": "regexp_replace(translate(lower(translate(t, 'Iİ', 'ii')), 'çğıöşüâîûàáäãåéèêëíìïóòôõúùñß', 'cgiosuaiuaaaaaeeeeiiioooouuns'), '[^a-z0-9]', '')",
+    "collapsed": r"regexp_replace(lower(translate(t, 'İ', 'i')), '\\s+', ' ')",
+    "slug": "regexp_replace(regexp_replace(lower(translate(t, 'İIı', 'iii')), '[^a-z0-9]+', '-'), '^-|-$', '')",
+    "brand_key": r"trim(regexp_replace(lower(translate(translate(t, '™®©', ''), 'Iİ', 'ıi')), '[^\\p{L}\\p{N}]+', ' '))",
+    "url_host": "nullif(regexp_extract(lower(t), '^https?://(?:[^/?#@]*@)?([^/:?#@]+)', 1), '')",
+    "url_domain": "lower(substring_index(regexp_replace(coalesce(t, ''), '^https?://', ''), '/', 1))",
+}
+
+
+def register(spark: SparkSession) -> list[str]:
+    """Make the text functions callable from SQL as temporary SQL functions of the session; returns their names."""
+    for name, body in SQL.items():
+        spark.sql(f"create or replace temporary function {name}(t string) returns string return {body}")
+    return list(SQL)

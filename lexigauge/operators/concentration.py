@@ -34,6 +34,16 @@ def retrieval_effect(table: DataFrame) -> DataFrame:
     return wide.select("category", "model_id", F.round(F.col("search_on") - F.col("search_off"), 6).alias("change"))
 
 
+def rate_matrix(panel: DataFrame, label: str = "y_mention") -> DataFrame:
+    """category, condition, query_id, brand, answers, rate: the whole grid of a category's queries and brands; cells without
+    an answer have none and a null rate. Brands and queries of a category are bounded sets; the grid is their product."""
+    cells = panel.groupBy("category", "condition", "query_id", "brand").agg(F.count(F.lit(1)).alias("answers"), F.avg(F.col(label).cast("double")).alias("rate"))
+    brands = panel.groupBy("category").agg(F.collect_set("brand").alias("b"))
+    grid = panel.select("category", "condition", "query_id").distinct().join(brands, "category").select("category", "condition", "query_id", F.explode("b").alias("brand"))
+    rows = grid.join(cells, ["category", "condition", "query_id", "brand"], "left")
+    return rows.select("category", "condition", "query_id", "brand", F.coalesce("answers", F.lit(0).cast("long")).alias("answers"), F.round("rate", 6).alias("rate"))
+
+
 def query_gains(panel: DataFrame) -> DataFrame:
     """Per category, brand and query: mean mention with search minus without; a missing condition counts as 0."""
     on = F.col("condition") == "search_on"

@@ -72,6 +72,28 @@ def breaker(calls: DataFrame, run: int = 5) -> DataFrame:
     return every.select("key", F.coalesce("longest", F.lit(0).cast("long")).alias("longest")).withColumn("open", F.col("longest") >= run)
 
 
+#: Answers of a service after which a model is not asked again (fixed values).
+DISABLING = (401, 402, 403, 404, 410, 429)
+
+
+def disabling(code: Column, transport: Column, quota: Column) -> Column:
+    """Whether a failure takes its model out: no connection, no quota left, or a code that a further call would get too."""
+    no = F.lit(False)
+    return F.coalesce(transport, no) | F.coalesce(quota, no) | F.coalesce(code.isin(*DISABLING), no)
+
+
+def disabled(calls: DataFrame) -> DataFrame:
+    """model, trigger (id), at, failures, skipped: models that a failure has taken out, and the calls that came after.
+
+    ``calls``: model, id, at, failed, disables (whether its failure takes the model out). Ties of time go by id. The first
+    such failure is found by a map-side minimum; what comes after is counted against it.
+    """
+    first = calls.where("failed and disables").groupBy("model").agg(F.min(F.struct("at", "id")).alias("first"))
+    both = calls.join(first, "model")
+    after = F.struct("at", "id") > F.col("first")
+    return both.groupBy("model", "first").agg(F.count_if(F.col("failed") & ~after).alias("failures"), F.count_if(after).alias("skipped")).select("model", F.col("first.id").alias("trigger"), F.col("first.at").alias("at"), "failures", "skipped")
+
+
 def json_fields(rows: DataFrame, column: str, fields: list[str]) -> DataFrame:
     """JSON text flattened to one column per field, named column__field; text that was encoded twice is decoded twice."""
     plain = F.when(F.substring(column, 1, 1) == '"', F.get_json_object(F.concat(F.lit('{"x":'), column, F.lit("}")), "$.x")).otherwise(F.col(column))

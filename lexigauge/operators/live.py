@@ -34,6 +34,22 @@ def encoder_inputs(panel: DataFrame, snippets: DataFrame) -> DataFrame:
     return matched(panel, snippets, ["record_id", "brand"])
 
 
+MASK = "[BRAND]"
+
+
+def encoder_texts(panel: DataFrame, queries: DataFrame, snippets: DataFrame, registry: nm.Registry) -> DataFrame:
+    """``panel`` with text_a (the query) and text_b (brand and snippets), and text_b_masked, the same without any name.
+
+    ``queries``: record_id, query_text; ``snippets``: record_id, brand, snippet (null: empty). Both variants share rows,
+    labels and folds. A row that has not exactly one snippet row is an error, and so is one without its query.
+    """
+    rows = encoder_inputs(panel, snippets.select("record_id", "brand", F.coalesce("snippet", F.lit("")).alias("snippet")))
+    rows = rows.join(queries.select("record_id", F.col("query_text").alias("text_a")), "record_id", "left")
+    rows = rows.withColumn("text_a", F.coalesce("text_a", F.raise_error(F.lit("a row has no query")).cast("string")))
+    masked = F.concat(F.lit(f"{MASK} : "), nm.blanked(F.col("snippet"), registry))
+    return rows.withColumns({"text_b": F.concat(F.col("brand"), F.lit(" : "), F.col("snippet")), "text_b_masked": masked}).drop("snippet")
+
+
 def with_priors(panel: DataFrame, priors: DataFrame, on: list[str]) -> DataFrame:
     """Panel with the prior of its key (many rows to one); a key without a prior is an error."""
     joined = panel.join(priors.withColumn("_known", F.lit(True)), on, "left")

@@ -35,6 +35,23 @@ def priors(panel: DataFrame, by: list[str], label: str, only: str = "true") -> D
     return own.join(base, by).select(*by, "brand", F.round(smoothed(F.col("hits"), F.col("n"), F.col("base")), 6).alias("prior"))
 
 
+def add_priors(panel: DataFrame, train: Column) -> DataFrame:
+    """``panel`` with prior_top_off, prior_mention_off, prior_top_all and prior_mention_all, fitted on the rows ``train``.
+
+    off: answers without search only; top: decided answers only. A brand without training rows has its category's base
+    rate, a category without any has 0, and so has every row where nothing was trained on. The training rows are
+    aggregated once by category and brand; base rates are sums of the same sums.
+    """
+    off, decided, zero = F.col("condition") == "search_off", F.col("response_decided") == 1, F.lit(0.0)
+    cases = {"prior_top_off": ("y_top", off & decided), "prior_mention_off": ("y_mention", off), "prior_top_all": ("y_top", decided), "prior_mention_all": ("y_mention", F.lit(True))}
+    sums = [x for name, (label, only) in cases.items() for x in (F.sum(F.when(only, F.col(label))).alias(f"{name}_h"), F.count_if(only).alias(f"{name}_n"))]
+    own = panel.where(train).groupBy("category", "brand").agg(*sums)
+    base = own.groupBy("category").agg(*[F.try_divide(F.sum(f"{name}_h").cast("double"), F.sum(f"{name}_n").cast("double")).alias(f"{name}_b") for name in cases])
+    rows = panel.join(own, ["category", "brand"], "left").join(base, "category", "left")
+    value = lambda name: F.round(F.coalesce(smoothed(F.coalesce(f"{name}_h", F.lit(0)).cast("double"), F.col(f"{name}_n").cast("double"), F.col(f"{name}_b")), zero), 6)
+    return rows.select(*[F.col(c) for c in panel.columns], *[value(name).alias(name) for name in cases])
+
+
 def folds(panel: DataFrame, n: int = 5) -> DataFrame:
     """query_id -> fold: queries of a category in order, dealt round robin."""
     order = Window.partitionBy("category").orderBy(F.md5("query_id"), "query_id")

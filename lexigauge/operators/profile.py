@@ -38,7 +38,7 @@ def retrieval_profile(panel: DataFrame) -> DataFrame:
 
 def gaps(profile: DataFrame, board: DataFrame, first: DataFrame) -> DataFrame:
     """Every brand against the mean of its category's leaders (itself left out), metric by metric."""
-    metrics = ["presence", "results_per_answer", "rank1_share", "mention_on", "top_on"]
+    metrics = ["presence", "results_per_answer", "rank1_share", "share_editorial", "share_affiliate", "share_forum", "mention_on", "top_on"]
     rows = profile.join(board.select("category", "brand", "mention_on", "top_on"), ["category", "brand"])
     long = rows.unpivot(["category", "brand"], metrics, "metric", "value")
     lead = long.join(first.select("category", F.col("brand")), ["category", "brand"]).select("category", F.col("brand").alias("leader"), "metric", F.col("value").alias("theirs"))
@@ -47,9 +47,14 @@ def gaps(profile: DataFrame, board: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def brand_sources(evidence: DataFrame, k: int = 12) -> DataFrame:
-    """The ``k`` hosts per category and brand that speak of it in the most answers."""
+    """The ``k`` hosts per category and brand that speak of it in the most answers.
+
+    Where the evidence has title and link, also those of a host's first page: by position, then answer, then link.
+    """
     order = Window.partitionBy("category", "brand").orderBy(F.desc("answers"), "host", "kind")
-    rows = evidence.groupBy("category", "brand", "host", "kind").agg(F.countDistinct("record_id").alias("answers"), F.min("position").alias("best"))
+    page = F.struct("position", "record_id", "link", "title")
+    first = [F.min(page)[c].alias(c) for c in ("title", "link")] if {"title", "link"} <= set(evidence.columns) else []
+    rows = evidence.groupBy("category", "brand", "host", "kind").agg(F.countDistinct("record_id").alias("answers"), F.min("position").alias("best"), *first)
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -115,3 +115,14 @@ def matched_intents(answers: DataFrame, queries: list[str]) -> DataFrame:
     won = F.col("top").isNotNull().cast("int")
     rows = answers.where(F.col("query_id").isin(queries)).groupBy("query_id").agg(F.count_if(on).alias("en"), F.count_if(~on).alias("tr"), F.avg(F.when(on, won)).alias("a"), F.avg(F.when(~on, won)).alias("b"))
     return rows.where("en > 0 and tr > 0").select("query_id", "en", "tr", F.round(100 * (F.col("a") - F.col("b")), 4).alias("points"))
+
+
+def market_summary(answers: DataFrame) -> DataFrame:
+    """Per category: answers, their conditions as text, share with a single winner, mean number of words.
+
+    ``answers``: category, condition, single (boolean, null counts as no), words (null counts as 0).
+    """
+    per = answers.groupBy("category", "condition").agg(F.count(F.lit(1)).alias("n"), F.count_if("single").alias("s"), F.sum(F.coalesce("words", F.lit(0))).alias("w"))
+    conditions = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("condition", "n"))), lambda x: F.concat(x["condition"], F.lit("="), x["n"].cast("string"))), ",")
+    rows = per.groupBy("category").agg(F.sum("n").alias("answers"), conditions.alias("conditions"), F.sum("s").alias("s"), F.sum("w").alias("w"))
+    return rows.select("category", "answers", "conditions", F.round(F.col("s") / F.col("answers"), 4).alias("single_winner_rate"), F.round(F.col("w") / F.col("answers"), 2).alias("mean_words"))

@@ -157,6 +157,42 @@ def concentration_draws(events: DataFrame, by: list[str], block: str, draws: int
     return out.select(*by, "draw", F.round(F.try_divide(F.col("total") * F.col("total"), F.col("squares")), 9).alias("v"))
 
 
+def concentration_intervals(panel: DataFrame, draws: int, k: int = 3, label: str = "y_mention", seed: int = 42) -> DataFrame:
+    """Per category, condition and model (ALL: all models): brands, events, never_named, queries (with an event), and
+    effective_brands, top_share and normalised_hhi, each with low and high.
+
+    The queries of a category and condition are drawn, with and without events, and all three measures come from the same
+    draws. Answers are counted by query and brand first, so draws meet blocks. A scope with events in one query only has
+    no intervals; a scope without events has no measures. For y_top hand in decided answers only.
+    """
+    scope = ["category", "condition", "model_id"]
+    sets = [[F.col(c) for c in (*scope, "query_id", "brand")], [F.col(c) for c in ("category", "condition", "query_id", "brand")]]
+    events = panel.groupingSets(sets, *[F.col(c) for c in (*scope, "query_id", "brand")]).agg(F.sum(label).cast("long").alias("n"))
+    events = reused(events.withColumn("model_id", F.coalesce("model_id", F.lit("ALL"))))
+    registered = panel.groupBy("category").agg(F.countDistinct("brand").alias("brands"))
+
+    def measures(counts: DataFrame, keys: list[str]) -> DataFrame:
+        """counts: keys, category, brand, n."""
+        order = Window.partitionBy(*keys).orderBy(F.desc("n"), "brand")
+        rows = counts.where("n > 0").withColumn("_place", F.row_number().over(order)).groupBy(*keys).agg(F.sum("n").cast("double").alias("t"), F.sum(F.col("n").cast("double") * F.col("n")).alias("q"), F.sum(F.when(F.col("_place") <= k, F.col("n"))).alias("top"))
+        rows = rows.join(registered, "category")
+        hhi, floor = F.col("q") / (F.col("t") * F.col("t")), 1.0 / F.col("brands")
+        return rows.select(*keys, F.round(1.0 / hhi, 9).alias("effective_brands"), F.round(F.col("top") / F.col("t"), 9).alias("top_share"), F.when(F.col("brands") > 1, F.round((hhi - floor) / (1.0 - floor), 9)).alias("normalised_hhi"))
+
+    totals = reused(events.groupBy(*scope, "brand").agg(F.sum("n").alias("n")))
+    sizes = totals.groupBy(*scope).agg(F.sum("n").alias("events"), F.count_if(F.col("n") > 0).alias("named")).join(registered, "category")
+    usable = events.where("n > 0").groupBy(*scope).agg(F.countDistinct("query_id").alias("queries"))
+    point = sizes.join(usable, scope, "left").join(measures(totals, scope), scope, "left")
+    drawn = events.where("n > 0").join(weights(panel, ["category", "condition"], "query_id", draws, seed), ["category", "condition", "query_id"])
+    sums = drawn.groupBy(*scope, "draw", "brand").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    names = ("effective_brands", "top_share", "normalised_hhi")
+    ends_ = measures(sums, [*scope, "draw"]).groupBy(*scope).agg(*[F.percentile(n, q).alias(f"{n}_{tag}") for n in names for q, tag in ((0.025, "low"), (0.975, "high"))])
+    found = point.join(ends_, scope, "left")
+    several = lambda c: F.when(F.col("queries") > 1, F.round(c, 6)).alias(c)
+    zero = F.coalesce("queries", F.lit(0).cast("long"))
+    return found.select(*scope, "brands", "events", (F.col("brands") - F.col("named")).alias("never_named"), zero.alias("queries"), *[c for n in names for c in (F.round(n, 6).alias(n), several(f"{n}_low"), several(f"{n}_high"))])
+
+
 def ratio_draws(sums: DataFrame, by: list[str], block: str, draws: int, a: str = "a", b: str = "b", seed: int = 42) -> DataFrame:
     """by, draw, v: sum(a) / sum(b) over the drawn blocks."""
     many = sums.join(weights(sums, by, block, draws, seed), [*by, block])

@@ -230,7 +230,7 @@ def retrieval_profile(s, d):
     return pr.retrieval_profile(c.pairs(s, d))
 
 
-_LONG = " union all ".join(f"select category, brand, '{m}' as metric, {m} as value from both_" for m in ("presence", "results_per_answer", "rank1_share", "mention_on", "top_on"))
+_LONG = " union all ".join(f"select category, brand, '{m}' as metric, {m} as value from both_" for m in ("presence", "results_per_answer", "rank1_share", "share_editorial", "share_affiliate", "share_forum", "mention_on", "top_on"))
 
 
 @query(oracle("""select l.category, l.brand, l.metric, any_value(l.value) as mine, round(avg(t.value), 6) as winners, round(any_value(l.value) - round(avg(t.value), 6), 6) as gap
@@ -678,4 +678,4 @@ def export_distribution(s, d):
     return c.table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts").cast("timestamp")).alias("first_us"), F.unix_micros(F.max("ts").cast("timestamp")).alias("last_us"))
 
 
-from lexigauge.plans import answers_catalogue, checks_catalogue, explain_catalogue, lab_catalogue, live_catalogue, site_catalogue  # noqa: E402, F401  they register their queries
+from lexigauge.plans import answers_catalogue, checks_catalogue, explain_catalogue, lab_catalogue, live_catalogue, panel_catalogue, site_catalogue  # noqa: E402, F401  they register their queries

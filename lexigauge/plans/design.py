@@ -72,3 +72,62 @@ def comparison_page(found: DataFrame, rank: int) -> DataFrame:
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "brand"))), lambda x: x["brand"]), ", ")
     page = before.groupBy("record_id").agg(F.concat(F.lit("Comparison of "), names, F.lit(".")).alias("text"))
     return before.select("record_id", "position", line.alias("text")).unionByName(page.select("record_id", F.lit(rank).alias("position"), "text"))
+
+
+#: Arms of an intervention: the ranks at which a page is put into the list of results, one after another (fixed values).
+ARMS = {"control": (), "neutral_p1": (1,), "superlative_p5": (5,), "neutral_p5": (5,), "neutral_p5_p8": (5, 8)}
+
+
+def arm_lists(found: DataFrame, arms: dict[str, tuple[int, ...]] | None = None) -> DataFrame:
+    """record_id, arm, position, host: the results of every answer as each arm shows them, numbered anew.
+
+    A page goes to its rank, or behind a shorter list; results at and below it move down. A list is bounded by what one
+    answer retrieves.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("record_id").orderBy("position")
+    base = found.select("record_id", F.row_number().over(order).alias("position"), "host")
+    parts = []
+    for arm, ranks in (arms or ARMS).items():
+        rows = base
+        for rank in ranks:
+            rows = insert_page(rows, rank)
+        parts.append(rows.withColumn("arm", F.lit(arm)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("record_id", "arm", "position", "host")
+
+
+IDENTITIES = ("incumbent", "small", "fictional")
+
+
+def lab_cells(categories: DataFrame, variants: list[str]) -> DataFrame:
+    """category, block, identity, variant: every identity with the control text, then the fictional one with each variant."""
+    one = lambda values, name: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    own = categories.select("category", F.lit("identity").alias("block"), one(IDENTITIES, "identity")).withColumn("variant", F.lit("control"))
+    text = categories.select("category", F.lit("content").alias("block"), F.lit("fictional").alias("identity"), one(variants, "variant"))
+    return own.unionByName(text)
+
+
+def lab_cards(cells_: DataFrame, competitors: DataFrame, repetitions: int, per: int = 4) -> DataFrame:
+    """job_id, category, identity, variant, rep, position, brand (null: the target): the cards of every call in order.
+
+    ``competitors``: category, brand; the first ``per`` of a category by name are shown. They are shuffled by a hash of call
+    and brand; the target's card stands at every position once in ``per`` + 1 repetitions, from an offset by cell.
+    """
+    from pyspark.sql import Window
+
+    name = F.concat_ws("__", "category", "identity", "variant")
+    offset = F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long")
+    calls = cells_.select("category", "identity", "variant", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep"))
+    calls = calls.select("*", F.concat(name, F.lit("__r"), F.col("rep").cast("string")).alias("job_id"), ((F.col("rep") + offset) % (per + 1) + 1).cast("int").alias("target_at"))
+    first = Window.partitionBy("category").orderBy("brand")
+    shown = competitors.select("category", "brand").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per).drop("_n")
+    order = Window.partitionBy("job_id").orderBy(F.md5(F.concat_ws("|", "job_id", "brand")), "brand")
+    others = calls.join(shown, "category").withColumn("place", F.row_number().over(order))
+    others = others.withColumn("position", F.col("place") + F.when(F.col("place") >= F.col("target_at"), 1).otherwise(0))
+    target = calls.select("*", F.lit(None).cast("string").alias("brand"), F.col("target_at").alias("position"))
+    keys = ["job_id", "category", "identity", "variant", "rep", "position", "brand"]
+    return others.select(*keys).unionByName(target.select(*keys))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigauge.functions.urls import bare_host
@@ -80,6 +80,44 @@ def judged_rows(raw: DataFrame, judged: DataFrame, on: list[str]) -> DataFrame:
     return raw.join(judged, on)
 
 
+#: Columns of an exported answer, in order; ? marks those that may be null (fixed values).
+COLUMNS = (
+    "record_id string, experiment_id string, model_id string, provider string, condition string, category string, language string, query_id string, query_text string, run_index bigint, temperature double,"
+    " final_response string, tool_calls string, search_results string, core string, domain string, search_aware string?, deterministic string, judge_model string, judge_prompt_version string"
+)
+
+
+def export_rows(raw: DataFrame, judged: DataFrame, planned: DataFrame, key: str = "record_id") -> DataFrame:
+    """Answers with their judgements in the fixed schema of an export, in order of their key.
+
+    Only planned answers whose judgement is of their present content are exported: ``judged`` has content_hash as judged,
+    ``raw`` as it is. A column that is missing in both, and a null where the schema allows none, is an error.
+    """
+    fields = [f.strip().rsplit(" ", 1) for f in COLUMNS.split(",")]
+    judged = judged.withColumnRenamed("content_hash", "_judged")
+    rows = raw.join(planned.select(key).distinct(), key, "left_semi").join(judged, key).where(F.col("content_hash").eqNullSafe(F.col("_judged")))
+    absent = [name for name, _ in fields if name not in rows.columns]
+    if absent:
+        raise ValueError("an export lacks " + ", ".join(absent))
+    fault = lambda name: F.raise_error(F.lit(f"an exported answer has no {name}"))
+    one = lambda name, kind: F.col(name).cast(kind[:-1]) if kind.endswith("?") else F.coalesce(F.col(name).cast(kind), fault(name).cast(kind))
+    return rows.select(*[one(name, kind).alias(name) for name, kind in fields]).orderBy(key)
+
+
+def tool_calls(calls: Column) -> Column:
+    """Calls (array of struct with round, function, arguments.query) as exported JSON; a null array is an empty one."""
+    kept = F.transform(calls, lambda x: F.struct(x["round"].alias("round"), x["function"].alias("function"), x["arguments"]["query"].alias("query")))
+    return F.coalesce(F.to_json(kept, {"ignoreNullFields": "false"}), F.lit("[]"))
+
+
+def sealed(spark: SparkSession, path: str, sha256: str | None, schema: str) -> DataFrame:
+    """The rows of a small JSON file that must be the one that was sealed: another SHA-256 is an error."""
+    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    if sha256 is not None and found != sha256:
+        raise ValueError(f"{path} has changed since it was sealed: sha256 {found}")
+    return spark.read.schema(schema).json(path)
+
+
 def search_results(found: DataFrame) -> DataFrame:
     """Results as they are exported: record_id, position, link, domain, title."""
     return found.select("record_id", "position", "link", bare_host(F.col("link")).alias("domain"), F.trim(F.coalesce("title", F.lit(""))).alias("title"))

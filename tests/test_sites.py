@@ -170,3 +170,83 @@ def test_live_requests(spark, tmp_path):
         lv.ranking_stream(stream, registry, str(tmp_path / "model"), str(tmp_path / "out"), str(tmp_path / name)).awaitTermination()
         assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).drop("batch").collect())) == want
     assert {r.brand: r.rank for r in spark.read.parquet(str(tmp_path / "out")).where("record_id = 'r1'").collect()}["A"] == 1
+
+
+def test_priors_of_unseen_brands(spark):
+    """A brand without training rows has its category's base, a category without any has 0."""
+    from lexigauge.operators.panel import add_priors
+
+    rows = [
+        ("a", "x", "search_off", 1, 1, 1, True), ("a", "x", "search_off", 0, 0, 1, True), ("a", "y", "search_on", 0, 1, 1, True), ("a", "z", "search_on", 1, 1, 0, False), ("b", "x", "search_off", 1, 1, 1, False), ("c", "w", "search_on", 0, 1, 0, True),
+    ]
+    table = spark.createDataFrame(rows, "category string, brand string, condition string, y_top int, y_mention int, response_decided int, train boolean")
+    got = {(r.category, r.brand): (r.prior_top_off, r.prior_mention_off, r.prior_top_all, r.prior_mention_all) for r in add_priors(table, F.col("train")).collect()}
+    third = round(1 / 3, 6)
+    assert got["a", "x"] == (0.5, 0.5, round((1 + 10 / 3) / 12, 6), round((1 + 10 * 2 / 3) / 12, 6))
+    assert got["a", "z"] == (0.5, 0.5, third, round(2 / 3, 6)) and got["a", "y"][:2] == (0.5, 0.5) and got["b", "x"] == (0.0,) * 4
+    assert got["c", "w"] == (0.0, 0.0, 0.0, 1.0) and add_priors(table.where("false"), F.col("train")).count() == 0
+
+
+def test_search_trace(spark):
+    from lexigauge.functions.text import search_trace
+
+    rows = [("1", [(1, "Best VPN 2024"), (1, None), (2, "nordvpn now")], [3, None, 4]), ("2", None, None), ("3", [], []), ("4", [(None, "x12024y"), (0, "")], [0])]
+    table = spark.createDataFrame(rows, "k string, calls array<struct<round:int,query:string>>, found array<bigint>")
+    got = {r[0]: tuple(r[1:]) for r in table.select("k", *search_trace(F.col("calls"), F.col("found"))).collect()}
+    assert got == {"1": (3, 2, 7, True, True, True, True), "2": (0, 0, 0, False, False, False, False), "3": (0, 0, 0, False, False, False, False), "4": (2, 1, 0, False, False, False, False)}
+
+
+def test_encoder_texts(spark):
+    from lexigauge.operators.live import encoder_texts
+
+    panel = spark.createDataFrame([("r", "Alpha"), ("r", "Beta")], "record_id string, brand string")
+    asked = spark.createDataFrame([("r", "which?")], "record_id string, query_text string")
+    snippets = spark.createDataFrame([("r", "Alpha", "ALPHA beats Betamax."), ("r", "Beta", None)], "record_id string, brand string, snippet string")
+    registry = (("Alpha", "Alpha"), ("Beta", "Betamax"))
+    got = {r.brand: (r.text_a, r.text_b, r.text_b_masked) for r in encoder_texts(panel, asked, snippets, registry).collect()}
+    assert got == {"Alpha": ("which?", "Alpha : ALPHA beats Betamax.", "[BRAND] : [BRAND] beats [BRAND]."), "Beta": ("which?", "Beta : ", "[BRAND] : ")}
+    with pytest.raises(Exception, match="query"):
+        encoder_texts(panel, asked.where("false"), snippets, registry).collect()
+
+
+def test_export_rows(spark):
+    from lexigauge.sources import export as ex
+
+    names = [f.strip().rsplit(" ", 1)[0] for f in ex.COLUMNS.split(",")]
+    own = ("final_response", "core", "judge_model", "judge_prompt_version")
+    raw = spark.createDataFrame([(k, "h", *[None if n == "search_aware" else "1" for n in names if n not in ("record_id", *own)]) for k in "cab"], "record_id string, content_hash string, " + ", ".join(f"{n} string" for n in names if n not in ("record_id", *own)))
+    judged = spark.createDataFrame([("a", "h", "x", "y", "m", "1"), ("b", "old", "x", "y", "m", "1"), ("c", "h", "x", "y", "m", "1")], "record_id string, content_hash string, final_response string, core string, judge_model string, judge_prompt_version string")
+    plan = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "record_id string")
+    out = ex.export_rows(raw, judged, plan)
+    assert out.columns == names and [r.record_id for r in out.collect()] == ["a", "c"] and dict(out.dtypes)["temperature"] == "double"
+    assert ex.export_rows(raw, judged, plan.where("record_id = 'c'")).count() == 1
+    with pytest.raises(ValueError, match="core"):
+        ex.export_rows(raw, judged.drop("core"), plan)
+    with pytest.raises(Exception, match="no core"):
+        ex.export_rows(raw, judged.withColumn("core", F.lit(None).cast("string")), plan).collect()
+    calls = spark.createDataFrame([(1, [(1, "search", ("q",)), (2, None, None)]), (2, None)], "k int, c array<struct<round:int,function:string,arguments:struct<query:string>>>")
+    assert [r.j for r in calls.orderBy("k").select(ex.tool_calls(F.col("c")).alias("j")).collect()] == ['[{"round":1,"function":"search","query":"q"},{"round":2,"function":null,"query":null}]', "[]"]
+
+
+def test_sealed_labels(spark, tmp_path):
+    import hashlib
+
+    from lexigauge.sources import export as ex
+
+    text = json.dumps({"brand": "A", "origin": "tr"}) + "\n"
+    (tmp_path / "o.json").write_text(text)
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    assert ex.sealed(spark, str(tmp_path / "o.json"), digest, "brand string, origin string").first().origin == "tr"
+    with pytest.raises(ValueError, match="sealed"):
+        ex.sealed(spark, str(tmp_path / "o.json"), "0" * 64, "brand string, origin string")
+
+
+def test_compatible_forms_of_all_code_points(spark):
+    import unicodedata
+
+    from lexigauge.functions.unicode import compatible
+
+    points = [chr(p) for p in range(1, 0x110000) if unicodedata.category(chr(p)) not in ("Cn", "Cs", "Co")]
+    rows = [("".join(points[i : i + 50]),) for i in range(0, len(points), 50)] + [("plain",), ("",), (None,), ("é ﬁ Ａ",)]
+    for r in spark.createDataFrame(rows, "t string").select("t", compatible(F.col("t")).alias("c")).collect():
+        assert r.c == (None if r.t is None else unicodedata.normalize("NFKC", r.t))
