@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigauge.operators.ordering import reused
 from lexigauge.operators.rates import ratio
 
 
@@ -18,8 +19,10 @@ def bootstrap_ratio(blocks: DataFrame, by: list[str], draws: int = 400, seed: in
     """Percentile interval of sum(a) / sum(b) when whole blocks are drawn with replacement.
 
     blocks: ``by``, an id column ``query_id``, sums a and b per block. The corpus is aggregated to blocks first; draws
-    then multiply the number of blocks only. Blocks are numbered per group; a draw takes as many as there are.
+    then multiply the number of blocks only. Blocks are numbered per group; a draw takes as many as there are. They are
+    read several times, so they are computed once.
     """
+    blocks = reused(blocks)
     group = Window.partitionBy(*by)
     numbered = blocks.select(*by, "a", "b", (F.row_number().over(group.orderBy("query_id")) - 1).cast("long").alias("k"), F.count(F.lit(1)).over(group).alias("n"))
     spark = blocks.sparkSession

@@ -9,8 +9,10 @@ ON, OFF = "search_on", "search_off"
 
 
 def small(dimension: DataFrame, most: int = 100_000) -> DataFrame:
-    """A dimension marked for broadcast if it has at most ``most`` rows, which is counted first; else as it is."""
-    return F.broadcast(dimension) if dimension.limit(most + 1).count() <= most else dimension
+    """A dimension of a cross join, marked for broadcast; it is counted first, and one of over ``most`` rows is an error."""
+    if dimension.limit(most + 1).count() > most:
+        raise ValueError(f"a dimension of over {most} rows cannot be crossed with other rows")
+    return F.broadcast(dimension)
 
 
 def ratio(a: Column, b: Column, digits: int = 6) -> Column:

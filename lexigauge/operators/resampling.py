@@ -66,8 +66,8 @@ def average_precision_draws(scored: DataFrame, by: str | list[str], block: str,
     slice are its offsets; a second pass runs through the slice with vectors of hits and rows seen, one step per score.
     """
     by = [by] if isinstance(by, str) else by
-    steps = scored.groupBy(*by, block, "score").agg(F.sum(label).cast("long").alias("hits"), F.count(F.lit(1)).alias("n"))
-    rows = steps.join(draw_vectors(scored, by, block, draws, seed), [*by, block]).select(*by, F.col(block).cast("string").alias("_block"), F.col("score").cast("double").alias("score"), "hits", "n", "picks")
+    steps = reused(scored.groupBy(*by, block, "score").agg(F.sum(label).cast("long").alias("hits"), F.count(F.lit(1)).alias("n")))
+    rows = steps.join(draw_vectors(steps, by, block, draws, seed), [*by, block]).select(*by, F.col(block).cast("string").alias("_block"), F.col("score").cast("double").alias("score"), "hits", "n", "picks")
     rows = reused(rows.repartitionByRange(*by, F.desc("score")).withColumn("_slice", F.spark_partition_id()))
     keys = [*by, "_slice"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
@@ -116,6 +116,7 @@ def joint_deltas(rows: DataFrame, a: str, b: str, by: str = "category", block: s
     NDCG are ratios of sums over blocks; rows with columns record_id, brand. A group of one block has no intervals; a
     measure that a draw cannot have is left out of its ends. An empty table gives an empty result.
     """
+    rows = reused(rows.select(*dict.fromkeys([by, block, "record_id", "brand", label, a, b])))
     sides = [rows.select(by, block, "record_id", "brand", F.col(label).alias("y_top"), F.col(x).cast("double").alias("score"), F.lit(k).alias("side")) for k, x in enumerate((a, b))]
     one = F.col("positives") == 1
     sums = []
@@ -151,6 +152,7 @@ def concentration_draws(events: DataFrame, by: list[str], block: str, draws: int
 
     events: by, block, brand, n.
     """
+    events = reused(events)
     many = events.join(weights(events, by, block, draws, seed), [*by, block])
     per_brand = many.groupBy(*by, "draw", "brand").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
     out = per_brand.groupBy(*by, "draw").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.sum("n").cast("double").alias("total"))
@@ -195,6 +197,7 @@ def concentration_intervals(panel: DataFrame, draws: int, k: int = 3, label: str
 
 def ratio_draws(sums: DataFrame, by: list[str], block: str, draws: int, a: str = "a", b: str = "b", seed: int = 42) -> DataFrame:
     """by, draw, v: sum(a) / sum(b) over the drawn blocks."""
+    sums = reused(sums)
     many = sums.join(weights(sums, by, block, draws, seed), [*by, block])
     return many.groupBy(*by, "draw").agg(F.round(F.try_divide(F.sum(F.col(a) * F.col("times")), F.sum(F.col(b) * F.col("times"))), 9).alias("v"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexigauge.functions import audit as au
 from lexigauge.functions import names as nm
+from lexigauge.functions import replies as rp
 from lexigauge.functions import text as tx
 from lexigauge.functions import urls as ur
 from lexigauge.operators import answers as an
@@ -267,6 +268,23 @@ def audit_advice(s, d):
     return au.advice(au.with_rivals(found, "record_id", "arm"), tx.verdicts(s), rows, "record_id")
 
 
+_ORDER = "case action " + " ".join(f"when '{a}' then {v[0]}" for a, v in au.ACTIONS.items()) + " end"
+_TEXT = "case action " + " ".join(f"when '{a}' then '" + v[1].replace("'", "''") + "'" for a, v in au.ACTIONS.items()) + " end"
+
+
+@query(texts_oracle(
+    f"""select record_id, type, action, cast(row_number() over (partition by record_id order by {_ORDER}, coalesce(list_position([{', '.join(repr(k) for k, _ in au.TYPES)}], type), 0), type) as integer) as place,
+      replace({_TEXT}, '{{}}', replace(coalesce(type, ''), '_', ' ')) as text from actions""",
+    _SENTENCES, _VERDICT, """actions as (
+  select record_id, type, case when n_rivals is not null and verdict = 'weak' then 'replace' when n_rivals is not null and verdict = 'mixed' then 'mixed' when n_rivals = 0 then 'differentiate' when n_rivals is not null then 'keep' else 'add' end as action
+  from (select distinct record_id from answer_texts) cross join verdict left join (select *, count(*) over (partition by arm, type) - 1 as n_rivals from found) using (record_id, type) where n_rivals is not null or verdict = 'strong'
+  union all select record_id, type, 'risk' from found where type = 'fabricated_claim' union all select record_id, null, 'empty' from (select distinct record_id from answer_texts) where record_id not in (select record_id from found))""",
+))
+def ordered_advice(s, d):
+    """The advice on every answer as text, in the order in which it is given."""
+    return au.advice_texts(audit_advice(s, d), "record_id")
+
+
 _CLAIMED = "claimed as (select record_id, sentence, case when spot % 2 = 0 then 'price' else 'made_up' end as type from sentences)"
 
 
@@ -293,3 +311,22 @@ def type_verdicts(s, d):
     """Win shares and verdict of every sentence type that the answers use."""
     used = au.audit(t.answer_texts(s, d), "record_id", "text", RULES, CLAIMS).groupBy("type").agg(F.sum("n").alias("sentences"))
     return tx.verdicts(s).join(used, "type")
+
+
+# ---- what models reply ----------------------------------------------------------------------------------------------
+@query(texts_oracle(
+    """select record_id, case when brand <> '' and sector <> '' then brand end as brand, case when brand <> '' and sector <> '' then sector end as sector,
+      case when brand <> '' and sector <> '' then case when lower(w[3]) <> lower(brand) and w[3] <> '' then w[3] else '' end end as alias, case when brand <> '' and sector <> '' then s end as sentence,
+      case when brand = '' or sector = '' then 'no brand or sector' end as fault
+    from (select record_id, w, coalesce(w[1], '') as brand, coalesce(w[2], '') as sector, trim(substr(text, 1, 20)) as s from (select record_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\\p{L}]+') as w from answer_texts))""",
+))
+def reply_profiles(s, d):
+    """Profiles out of replies that are made of an answer's own words, with an invented alias and sentence in each."""
+    rows = t.answer_texts(s, d).select("record_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("w", F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0)))
+    word = lambda i: F.get("w", F.lit(i))
+    product = F.struct(F.lit("p").alias("name"), F.lit("c").alias("category"), F.array(F.lit("made up of nothing"), F.substring("text", 1, 20)).alias("sentences"))
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(word(0).alias("brand"), word(1).alias("sector"), F.array(F.lit("zzz zzz"), word(2)).alias("aliases"), F.array(product).alias("products"))), F.lit("\n```"))
+    found = rp.parse_profile(rows.select("record_id", "text", reply.alias("reply")), "reply", "text")
+    alias = F.when(F.col("aliases").isNotNull(), F.coalesce(F.get("aliases", F.lit(0)), F.lit("")))
+    return found.select("record_id", "brand", "sector", alias.alias("alias"), F.get(F.get("products", F.lit(0))["sentences"], F.lit(0)).alias("sentence"), "fault")

@@ -14,6 +14,7 @@ from lexigauge.operators import metrics as me
 from lexigauge.operators import panel as pa
 from lexigauge.operators import profile as pr
 from lexigauge.operators import rates as ra
+from lexigauge.operators.ordering import reused
 from lexigauge.plans import design as de
 from lexigauge.plans.registry import ORACLES, QUERIES, query
 from lexigauge.sources import corpus as c
@@ -237,8 +238,8 @@ _LONG = " union all ".join(f"select category, brand, '{m}' as metric, {m} as val
   from long l join (select long.* from long join leaders using (category, brand)) t on l.category = t.category and l.metric = t.metric and l.brand <> t.brand group by 1, 2, 3""", BOARD, PROFILE, LEADERS, "both_ as (select p.*, mention_on, top_on from profile p join board using (category, brand))", f"long as ({_LONG})"))
 def gaps(s, d):
     panel = c.pairs(s, d)
-    board = pr.leaderboard(panel)
-    return pr.gaps(pr.retrieval_profile(panel), board, pr.leaders(board))
+    board = reused(pr.leaderboard(panel))
+    return pr.gaps(reused(pr.retrieval_profile(panel)), board, pr.leaders(board))
 
 
 @query(oracle("select * from (select category, brand, host, kind, count(distinct record_id) as answers, min(position) as best, cast(row_number() over (partition by category, brand order by count(distinct record_id) desc, host, kind) as integer) as rank from evidence group by 1, 2, 3, 4) where rank <= 12", EVIDENCE))
@@ -430,7 +431,7 @@ def ndcg_ci(s, d):
 
 @query(oracle('select * from boot', GAINS, BGAINS, TERC, 'blocks as (select "group", query_id, round(avg(on_ - off_), 9) as a, 1.0 as b from gains join terc using (category, brand) group by 1, 2)', *bootstrap_sql("blocks", '"group"', 2000)))
 def group_gain_ci(s, d):
-    gains = co.query_gains(c.pairs(s, d))
+    gains = reused(co.query_gains(c.pairs(s, d)))
     blocks = gains.join(co.terciles(co.brand_gains(gains)), ["category", "brand"]).groupBy("group", "query_id").agg(F.round(F.avg("gain"), 9).alias("a"), F.lit(1.0).alias("b"))
     return ef.bootstrap_ratio(blocks, ["group"], draws=2000)
 
@@ -460,7 +461,7 @@ def signal_direction(s, d):
 
 
 def _direction(s: SparkSession, d: str, feature: str) -> DataFrame:
-    rows = ef.concordance(_kept(s, d), feature).where("compared > 0")
+    rows = reused(ef.concordance(_kept(s, d), feature).where("compared > 0"))
     blocks = rows.select("category", "query_id", (F.col("concordant") - F.col("discordant")).cast("double").alias("a"), F.col("compared").cast("double").alias("b"))
     return ef.direction(ef.bootstrap_ratio(blocks, ["category"], draws=1000).join(rows.groupBy("category").agg(F.count(F.lit(1)).alias("queries")), "category"))
 

@@ -181,3 +181,46 @@ def test_models(spark):
     assert left.count() == frame.count() and all(r.roc_auc > 0.9 for r in me.roc_auc(left).collect())
     drops = {(r.category, r.feature): r["drop"] for r in mo.permutation_drop(frame, ["volume_share", "share_forum"]).collect()}
     assert all(drops[k, "volume_share"] > drops[k, "share_forum"] - 0.01 for k in "xyz")
+
+
+SAID = {
+    "technical": ("AES encryption of every packet.", "Her paket şifrelenir."), "price": ("Now at a discount.", "Şimdi %20 indirimli."), "statistics": ("It saved 12 % of power.", "Ortalama süre kısaldı."),
+    "cited_test": ("An independent lab checked it.", "Bağımsız laboratuvar inceledi."), "social_proof": ("Over 3000 customers chose it.", "3000 müşteri seçti."), "certificate": ("Certified in the EU.", "Sertifikalı ürün."),
+    "authority": ("Designed by engineers.", "Mühendislerimiz tarafından tasarlandı."), "expert_quote": ("Doctors recommend it.", "Doktorlar öneriyor."), "superlative": ("The best there is.", "Piyasanın EN İYİ ürünü."), "emotional": ("Feel the calm.", "Huzuru yaşayın."),
+}
+BROKEN = {
+    "fabricated_reviews": ("Post fake reviews.", "Sahte yorum yayınlayın."), "paid_placement_as_editorial": ("Pay for a ranking.", "Listeye girmek için para ödeyin, gizli sponsor olun."), "fabricated_authority": ("Invent a study.", "Bir araştırma uydurun."),
+    "guaranteed_ranking": ("We guarantee the first place.", "Birinciliği garanti ediyoruz."), "mass_spam": ("Send mass messages.", "Toplu mesaj gönderin."), "tampering_with_others": ("Edit the competitor page.", "Rakip sayfasını değiştirin."),
+    "impersonation": ("Pose as a customer.", "Müşteri gibi davranın."),
+}
+FINE = ["Answer reviews of your customers.", "Publish the results of an independent audit.", "Kullanıcı yorumlarını yanıtlayın.", "Bağımsız test sonuçlarınızı yayınlayın.", "Ürün sayfanızda fiyatı güncel tutun.", "A plain line.", "Sıradan bir cümle."]
+
+
+def test_rules_of_both_languages(spark):
+    from pyspark.sql import functions as F
+
+    from lexigauge.functions import audit as au
+
+    rows = [(k, x) for k, pair in SAID.items() for x in pair]
+    for r in spark.createDataFrame(rows, "k string, t string").select("k", "t", au.sentence_types(F.col("t")).alias("got")).collect():
+        assert r.k in r.got, (r.t, r.got)
+    screens = [(k, x) for k, pair in BROKEN.items() for x in pair] + [(None, x) for x in FINE]
+    for r in spark.createDataFrame(screens, "k string, t string").select("k", "t", au.broken_rules(F.col("t")).alias("got")).collect():
+        assert r.got == ([r.k] if r.k else []) or (r.k and r.k in r.got), (r.t, r.got)
+    claims = ["A university study proves it.", "It is clinically proven to cure 100 %.", "Üniversite araştırması kanıtladı.", "Klinik olarak %100 etkili.", "%99,9 çalışma süresi, bağımsız ölçüm.", "Our study group meets."]
+    got = [r.f for r in spark.createDataFrame(list(enumerate(claims)), "i int, t string").orderBy("i").select(au.fabricated(au.folded(F.col("t"))).alias("f")).collect()]
+    assert got == [True, True, True, True, False, False]
+    assert {k for k, _ in au.TYPES} == set(SAID) and {k for k, _ in au.SCREEN} == set(BROKEN)
+
+
+def test_advice_in_order(spark):
+    from lexigauge.functions import audit as au
+
+    rows = [("a", "superlative", "replace"), ("a", "price", "add"), ("a", "technical", "add"), ("a", "fabricated_claim", "risk"), ("a", "statistics", "mixed"), ("b", None, "empty"), ("b", "price", "other")]
+    got = [(r.k, r.place, r.type, r.action) for r in au.advice_texts(spark.createDataFrame(rows, "k string, type string, action string"), "k").orderBy("k", "place").collect()]
+    assert got == [("a", 1, "fabricated_claim", "risk"), ("a", 2, "technical", "add"), ("a", 3, "price", "add"), ("a", 4, "statistics", "mixed"), ("a", 5, "superlative", "replace"), ("b", 1, None, "empty")]
+    # what is advised passes the screen
+    from pyspark.sql import functions as F
+
+    texts = au.advice_texts(spark.createDataFrame([("c", t, a) for a in au.ACTIONS for t, _ in au.TYPES], "k string, type string, action string"), "k")
+    assert texts.where(F.size(au.broken_rules(F.col("text"))) > 0).count() == 0

@@ -250,3 +250,26 @@ def test_compatible_forms_of_all_code_points(spark):
     rows = [("".join(points[i : i + 50]),) for i in range(0, len(points), 50)] + [("plain",), ("",), (None,), ("é ﬁ Ａ",)]
     for r in spark.createDataFrame(rows, "t string").select("t", compatible(F.col("t")).alias("c")).collect():
         assert r.c == (None if r.t is None else unicodedata.normalize("NFKC", r.t))
+
+
+def test_profiles(spark):
+    from lexigauge.functions.replies import parse_profile
+
+    text = "Welcome to Garanti  BBVA. GarantiBBVA offers\na card. The card is free! Bonus card."
+    good = {"brand": " Garanti BBVA ", "aliases": ["garantibbva", "GARANTI BBVA", "Garanti BBVA card", "Garanti's", "other", "garantibbva", None], "sector": "banks", "language": "EN ", "products": [{"name": "Bonus", "category": "card", "sentences": ["the card IS free!", "made up", "Welcome to Garanti BBVA.", "Bonus card."]}, {"name": "", "category": "x"}, {"name": "y"}]}
+    rows = [("good", json.dumps(good)), ("fence", "```json\n" + json.dumps({"brand": "A", "sector": "b", "language": "xx"}) + "\n```"), ("list", "[1]"), ("broken", "{"), ("none", None), ("empty", json.dumps({"brand": "", "sector": "b"}))]
+    got = {r.k: r for r in parse_profile(spark.createDataFrame([(k, r, text) for k, r in rows], "k string, reply string, t string"), "reply", "t").collect()}
+    g = got["good"]
+    assert (g.brand, g.aliases, g.sector, g.language, g.fault) == ("Garanti BBVA", ["garantibbva"], "banks", "en", None)
+    assert [tuple(p) for p in g.products] == [("Bonus", "card", ["the card IS free!", "Welcome to Garanti BBVA."])]
+    assert (got["fence"].brand, got["fence"].language, got["fence"].products, got["fence"].aliases) == ("A", "tr", [], [])
+    assert {k: got[k].fault for k in ("list", "broken", "none", "empty")} == {"list": "not JSON", "broken": "not JSON", "none": "not JSON", "empty": "no brand or sector"} and got["empty"].brand is None
+
+
+def test_questions(spark):
+    from lexigauge.functions.replies import parse_questions
+
+    good = {"discovery": ["Which bank is best?", "Which is better than GarantiBBVA?", "Tell me a story", " Which bank is best? ", "Hangi kart?", "Is Bonus best?", "", None], "named": ["Is garanti bbva good?", "Is another good?", "What is Bonus?", "Bonus again"]}
+    rows = [("a", json.dumps(good), ["Garanti BBVA"], ["Bonus"]), ("b", json.dumps({"discovery": ["plain"]}), ["x"], None), ("c", "no", [], [])]
+    got = {r.k: (r.discovery, r.named, r.fault) for r in parse_questions(spark.createDataFrame(rows, "k string, reply string, names array<string>, products array<string>"), "reply", "names", "products").collect()}
+    assert got == {"a": (["Which bank is best?", "Hangi kart?"], ["Is garanti bbva good?", "What is Bonus?"], None), "b": (None, None, "no discovery question"), "c": (None, None, "not JSON")}

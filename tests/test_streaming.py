@@ -48,3 +48,27 @@ def test_breaker_does_not_depend_on_frames(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert [(r.failures, r.open) for r in spark.table("frames").collect()] == [(5, True)]
+
+
+def test_status_counts(spark, tmp_path):
+    """Records by status and ten minutes of event time, in whatever files they come."""
+    from lexigauge.streaming.records import record_stream, status_counts
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    _write(folder, "a.json", [_rec("a1", "ok", 1), _rec("a2", "error", 2), _rec("a3", "ok", 12)])
+    _write(folder, "b.json", [_rec("b1", "ok", 9), _rec("b2", "ok", 19), {"model": "a"}])
+    q = status_counts(record_stream(spark, str(folder), 1), "10 minutes", "1 hour").writeStream.format("memory").outputMode("complete").queryName("counts").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.start.minute, r.status, r.n) for r in spark.table("counts").collect()) == [(0, "error", 1), (0, "ok", 2), (10, "ok", 2)]
+
+
+def test_no_large_dimension_is_crossed(spark):
+    import pytest
+
+    from lexigauge.operators.rates import small
+
+    assert small(spark.range(10), 10).count() == 10
+    with pytest.raises(ValueError, match="crossed"):
+        small(spark.range(11), 10)
