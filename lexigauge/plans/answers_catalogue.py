@@ -107,9 +107,12 @@ def answer_outcomes(s, d):
 
 
 def _added_sql() -> str:
-    """The forms of brands that a text nowhere spells right and of which the word x is one letter off, in order."""
+    """The forms of brands that a text nowhere spells right and of which the word x is one letter off, in order.
+
+    DuckDB counts edits of bytes, so letters beyond ASCII, which the forms do not have, are one byte here.
+    """
     tests = [
-        f"case when not list_contains(list_distinct(names), '{b}') and length(x) >= 5 and substr(lower(x), 1, 1) = '{f[0].lower()}' and damerau_levenshtein(lower(x), '{f.lower()}') = 1"
+        f"case when not list_contains(list_distinct(names), '{b}') and length(x) >= 5 and substr(lower(x), 1, 1) = '{f[0].lower()}' and damerau_levenshtein(regexp_replace(lower(x), '[^\\x00-\\x7F]', '*', 'g'), '{f.lower()}') = 1"
         f" and (length(x) <> {len(f)} or {len(f)} >= 6) then '{f}' end" for b, f in REGISTRY if len(f) >= 5
     ]
     return ", ".join(tests)
