@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,15 +65,15 @@ def probability_faults(scores: DataFrame, group: str, p: str, slack: float = 1e-
 
 def softmax(scores: DataFrame, group: str, x: str) -> DataFrame:
     """``scores`` with p: the softmax of x within a group."""
-    peak = scores.groupBy(group).agg(F.max(x).alias("_peak"))
-    total = scores.join(peak, group).groupBy(group).agg(F.max("_peak").alias("_peak"), F.sum(F.exp(F.col(x) - F.col("_peak"))).alias("_total"))
-    return scores.join(total, group).withColumn("p", F.exp(F.col(x) - F.col("_peak")) / F.col("_total")).drop("_peak", "_total")
+    every = Window.partitionBy(group)
+    rows = scores.withColumn("_peak", F.max(x).over(every))
+    rows = rows.withColumn("_total", F.sum(F.exp(F.col(x) - F.col("_peak"))).over(every))
+    return rows.withColumn("p", F.exp(F.col(x) - F.col("_peak")) / F.col("_total")).drop("_peak", "_total")
 
 
 def softmax_loss(scores: DataFrame, group: str, x: str, label: str) -> DataFrame:
     """group, loss: the negative log of the winner's softmax; groups without exactly one winner are absent."""
-    peak = scores.groupBy(group).agg(F.max(x).alias("m"))
-    sums = scores.join(peak, group).groupBy(group).agg(F.max("m").alias("m"), F.sum(F.exp(F.col(x) - F.col("m"))).alias("t"), F.sum(F.when(F.col(label) == 1, F.col(x))).alias("w"), F.sum(label).alias("n"))
+    sums = scores.withColumn("m", F.max(x).over(Window.partitionBy(group))).groupBy(group).agg(F.max("m").alias("m"), F.sum(F.exp(F.col(x) - F.col("m"))).alias("t"), F.sum(F.when(F.col(label) == 1, F.col(x))).alias("w"), F.sum(label).alias("n"))
     return sums.where("n = 1").select(group, F.round(F.ln("t") + F.col("m") - F.col("w"), 6).alias("loss"))
 
 
@@ -141,7 +141,8 @@ def matched(left: DataFrame, right: DataFrame, on: Sequence[str], faults: bool =
     if faults:
         found = left.join(times, [*on], "left").where("_n is null or _n > 1")
         return found.select(*on, F.when(F.col("_n").isNull(), "unmatched").otherwise("several").alias("fault"))
-    once = right.join(times.where("_n = 1").select(*on), [*on], "left_semi")
+    others = [c for c in right.columns if c not in on]
+    once = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(c) for c in others]).where("_n = 1").drop("_n")
     joined = left.join(once.withColumn("_there", F.lit(True)), [*on], "left")
     return joined.where(F.when(F.col("_there").isNull(), F.raise_error(F.lit("a row has no match, or several"))).otherwise(F.lit(True))).drop("_there")
 

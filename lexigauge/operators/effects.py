@@ -42,9 +42,9 @@ def concordance(panel: DataFrame, feature: str, stratum: str | None = None) -> D
     """
     over = ["record_id", *([stratum] if stratum else [])]
     loser = 1 - F.col("y_top")
-    by = Window.partitionBy(*over)
-    upto = F.sum(loser).over(by.orderBy(feature).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    equal, total = F.sum(loser).over(Window.partitionBy(*over, feature)), F.sum(loser).over(by)
+    by = Window.partitionBy(*over).orderBy(feature)
+    upto = F.sum(loser).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal, total = F.sum(loser).over(by.rangeBetween(Window.currentRow, Window.currentRow)), F.sum(loser).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = panel.select("category", "query_id", "y_top", upto.alias("upto"), equal.alias("equal"), total.alias("total")).where("y_top = 1")
     return rows.groupBy("category", "query_id").agg(F.sum(F.col("upto") - F.col("equal")).alias("concordant"), F.sum(F.col("total") - F.col("upto")).alias("discordant"), F.sum("total").alias("compared"))
 

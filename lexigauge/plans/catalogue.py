@@ -199,7 +199,7 @@ _KIND_SHARES = ", ".join(f"round(n_{k} / cast(greatest(n_results_mentioning, 1)
   round(case when in_search_results = 1 then (rank() over (partition by record_id, in_search_results order by -best_position) + (count(*) over (partition by record_id, in_search_results, best_position) - 1) / 2.0e0) / count(*) over (partition by record_id, in_search_results) else 0 end, 6) as position_rank_pct,
   {_KIND_SHARES} from kept left join (select record_id, count(*) as n_results from results group by 1) using (record_id)""", FILTERED))
 def relative_features(s, d):
-    return pa.relative(pa.panel_filter(c.pairs(s, d)), c.results(s, d).groupBy("record_id").agg(F.count(F.lit(1)).alias("n_results")))
+    return pa.relative(pa.panel_filter(c.pairs(s, d, sizes=True)))
 
 
 @query(oracle("select record_id, brand, y_top from (select *, row_number() over (partition by record_id, y_top order by md5(concat_ws('|', cast(record_id as varchar), brand)), brand) as rn from kept) where y_top = 1 or rn <= 7", FILTERED))

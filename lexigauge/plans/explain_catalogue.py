@@ -29,9 +29,7 @@ DESIGN = """design as (
 
 def design(s: SparkSession, d: str) -> DataFrame:
     """The rows that models see: relative features, keys and label of every candidate that counts."""
-    panel = pa.panel_filter(c.pairs(s, d))
-    features = pa.relative(panel, c.results(s, d).groupBy("record_id").agg(F.count(F.lit(1)).alias("n_results")))
-    return features.join(panel.select("record_id", "brand", "category", "query_id", "model_id"), ["record_id", "brand"])
+    return pa.relative(pa.panel_filter(c.pairs(s, d, sizes=True)), keep=("category", "query_id", "model_id"))
 
 
 # ---- contributions --------------------------------------------------------------------------------------------------
