@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -133,11 +133,52 @@ def contributions(rows: DataFrame, vector: str, keys: list[str], trees: list[Tre
     return kept.mapInArrow(run, f"{schema}, expected double, parts array<double>")
 
 
-def model_contributions(model: PipelineModel, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    """``contributions`` of a fitted pipeline of boosted trees in log odds, and the names of its inputs."""
+def counted_covers(trees: list[Tree], rows: DataFrame, vector: str, times: str) -> list[Tree]:
+    """``trees`` with the covers of rows that stand for several: each leaf's are counted, the others are their sums."""
+    leaves = [[n for n, _ in t.leaves()] for t in trees]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [dict.fromkeys(own, 0) for own in leaves]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = batch.column(0).to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for t, own in zip(trees, sums, strict=True):
+                for leaf, path in t.leaves():
+                    inside = np.ones(len(x), bool)
+                    for node, left in path:
+                        inside &= t.goes_left(node, x[:, t.feature[node]]) == left
+                    own[leaf] += int(m[inside].sum())
+        flat = [(k, leaf, n) for k, own in enumerate(sums) for leaf, n in own.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], pa.int64()) for i in range(3)], names=["tree", "leaf", "n"])
+
+    found = rows.select(F.col(times).cast("long"), vector).mapInArrow(run, "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
+    covers = {(r.tree, r.leaf): float(r.n) for r in found.collect()}  # bounded by trees and depth
+    out = []
+    for k, t in enumerate(trees):
+        cover = [covers.get((k, node), 0.0) if t.feature[node] < 0 else 0.0 for node in range(len(t.feature))]
+        for leaf, path in t.leaves():
+            for node, _ in path:
+                cover[node] += cover[leaf]
+        out.append(replace(t, cover=cover))
+    return out
+
+
+def model_contributions(model: PipelineModel, rows: DataFrame, keys: list[str], trained: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """``contributions`` of a fitted pipeline of boosted trees in log odds, and the names of its inputs.
+
+    ``trained``: where the model was fitted on cells, these with the number m of rows that each stands for.
+    """
     trees, weights, names = fitted_trees(model)
-    ready = model.transform(rows.withColumn("y", F.lit(0.0)).withColumn("w", F.lit(1.0))) if "y" not in rows.columns else model.transform(rows)
-    return contributions(ready.withColumn("_v", vector_to_array(F.col(model.stages[-1].getFeaturesCol()))), "_v", keys, trees, weights), names
+    vector = vector_to_array(F.col(model.stages[-1].getFeaturesCol()))
+
+    def ready(table: DataFrame) -> DataFrame:
+        return model.transform(table if "y" in table.columns else table.withColumns({"y": F.lit(0.0), "w": F.lit(1.0)})).withColumn("_v", vector)
+
+    if trained is not None:
+        trees = counted_covers(trees, ready(trained), "_v", "m")
+    return contributions(ready(rows), "_v", keys, trees, weights), names
 
 
 def by_feature(parts: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
@@ -146,23 +187,29 @@ def by_feature(parts: DataFrame, names: list[str], keys: list[str]) -> DataFrame
     return parts.select(*keys, F.inline(F.array(*pairs, F.struct(F.lit("expected_value").alias("feature"), F.col("expected").alias("contribution")))))
 
 
-def shares(long: DataFrame, by: list[str]) -> DataFrame:
-    """by, feature, share: a feature's part of the mean absolute contribution; 0 where there is none at all."""
-    mean = long.where("feature <> 'expected_value'").groupBy(*by, "feature").agg(F.avg(F.abs("contribution")).alias("a"))
+def shares(long: DataFrame, by: list[str], times: str | None = None) -> DataFrame:
+    """by, feature, share: a feature's part of the mean absolute contribution; 0 where there is none at all.
+
+    ``times``: a column that says how many rows a row stands for.
+    """
+    size = F.abs("contribution")
+    mean = long.where("feature <> 'expected_value'").groupBy(*by, "feature").agg((F.sum(size * F.col(times)) / F.sum(times) if times else F.avg(size)).alias("a"))
     total = mean.groupBy(*by).agg(F.sum("a").alias("t"))
     return mean.join(total, by).select(*by, "feature", F.round(F.coalesce(F.try_divide("a", "t"), F.lit(0.0)), 6).alias("share"))
 
 
-def directions(long: DataFrame, values: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+def directions(long: DataFrame, values: DataFrame | None, keys: list[str], by: list[str], times: str | None = None) -> DataFrame:
     """by, feature, direction: rank correlation of a feature's values with its contributions over the comparable rows.
 
-    ``values``: keys, by, feature, value of the rows that are comparable for a feature. Null for a constant one.
+    ``values``: keys, by, feature, value of the rows that are comparable for a feature; without it ``long`` has value, null
+    for others. Null for a constant one. ``times`` as in ``shares``.
     """
-    both = values.join(long, [*keys, "feature"]).select(*by, "feature", F.round("value", 9).alias("value"), F.round("contribution", 9).alias("contribution"))
-    return rank_correlation(both, [*by, "feature"], "value", "contribution").select(*by, "feature", F.col("correlation").alias("direction"))
+    both = long if values is None else values.join(long, [*keys, "feature"])
+    both = both.select(*by, "feature", F.round("value", 9).alias("value"), F.round("contribution", 9).alias("contribution"), *([times] if times else []))
+    return rank_correlation(both, [*by, "feature"], "value", "contribution", times).select(*by, "feature", F.col("correlation").alias("direction"))
 
 
-def grown(rows: DataFrame, features: list[str], splits: list[tuple[str, float] | None], label: str) -> Tree:
+def grown(rows: DataFrame, features: list[str], splits: list[tuple[str, float] | None], label: str, times: str | None = None) -> Tree:
     """A tree of given splits, fitted in one aggregation: covers are counted, a leaf's value is the mean label.
 
     ``splits`` in heap order (the children of i are 2 i + 1 and 2 i + 2); None is a leaf. A leaf without rows has value 0.
@@ -174,7 +221,9 @@ def grown(rows: DataFrame, features: list[str], splits: list[tuple[str, float] |
             if split:
                 step = F.when(at == i, F.when(F.col(split[0]) <= split[1], 2 * i + 1).otherwise(2 * i + 2)).otherwise(step)
         at = step
-    found = {r.leaf: r for r in rows.groupBy(at.alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("v")).collect()}  # a row for each leaf
+    y = F.col(label).cast("double")
+    n, v = (F.sum(times), F.sum(y * F.col(times)) / F.sum(times)) if times else (F.count(F.lit(1)), F.avg(y))
+    found = {r.leaf: r for r in rows.groupBy(at.alias("leaf")).agg(n.alias("n"), v.alias("v")).collect()}  # a row for each leaf
     cover, value = [0.0] * len(splits), [0.0] * len(splits)
     for i in reversed(range(len(splits))):
         if splits[i]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigauge.operators.ordering import numbered
+from lexigauge.operators.ordering import numbered, reused
 from lexigauge.operators.rates import ratio
 
 
@@ -97,15 +97,17 @@ def contexts(responses: DataFrame, volumes: DataFrame) -> DataFrame:
 def observation_rates(panel: DataFrame) -> DataFrame:
     """Per category and brand: mention rates, first rate, presence, upper median of the place among retrieved, queries."""
     on = F.col("condition") == "search_on"
-    rows = panel.groupBy("category", "brand").agg(
-        F.round(F.avg(F.when(~on, F.col("y_mention").cast("double"))), 6).alias("mention_off"),
-        F.round(F.avg(F.when(on, F.col("y_mention").cast("double"))), 6).alias("mention_on"),
-        F.round(F.avg(F.when(on, F.col("y_top").cast("double"))), 6).alias("first_on"),
-        F.round(F.avg(F.when(on, F.col("in_search_results").cast("double"))), 6).alias("presence"),
+    labels = ("y_mention", "y_top", "in_search_results")
+    # one pass over the candidates: all that follows are sums over counts per query and place
+    counts = reused(panel.groupBy("category", "brand", "query_id", on.alias("on"), "best_position").agg(F.count(F.lit(1)).alias("n"), *[x(c).alias(f"{t}_{c}") for c in labels for t, x in (("s", F.sum), ("n", F.count))]))
+    rate = lambda c, when: F.round(F.try_divide(F.sum(F.when(when, F.col(f"s_{c}"))).cast("double"), F.sum(F.when(when, F.col(f"n_{c}"))).cast("double")), 6)
+    on = F.col("on")
+    rows = counts.groupBy("category", "brand").agg(
+        rate("y_mention", ~on).alias("mention_off"), rate("y_mention", on).alias("mention_on"), rate("y_top", on).alias("first_on"), rate("in_search_results", on).alias("presence"),
         F.countDistinct("query_id").alias("queries"),
-    )
+    )
     # the upper median from counts per place: a list of all places would grow with the corpus
-    per = panel.where("condition = 'search_on' and best_position > 0").groupBy("category", "brand", "best_position").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.where("on and best_position > 0").groupBy("category", "brand", "best_position").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("category", "brand")
     upto = F.sum("n").over(by.orderBy("best_position"))
     at = per.select("category", "brand", "best_position", upto.alias("upto"), F.sum("n").over(by).alias("total"))

@@ -116,7 +116,7 @@ def joint_deltas(rows: DataFrame, a: str, b: str, by: str = "category", block: s
     NDCG are ratios of sums over blocks; rows with columns record_id, brand. A group of one block has no intervals; a
     measure that a draw cannot have is left out of its ends. An empty table gives an empty result.
     """
-    rows = reused(rows.select(*dict.fromkeys([by, block, "record_id", "brand", label, a, b])))
+    rows = rows.select(*dict.fromkeys([by, block, "record_id", "brand", label, a, b]))
     sides = [rows.select(by, block, "record_id", "brand", F.col(label).alias("y_top"), F.col(x).cast("double").alias("score"), F.lit(k).alias("side")) for k, x in enumerate((a, b))]
     one = F.col("positives") == 1
     sums = []
@@ -124,7 +124,9 @@ def joint_deltas(rows: DataFrame, a: str, b: str, by: str = "category", block: s
         lists = mt.ranked(side).groupBy(by, block, "record_id").agg(F.max("positives").alias("positives"), F.sum(F.when(F.col("place") == 1, F.col("y_top"))).alias("right"), F.sum(F.when(F.col("place") <= 3, F.col("y_top") / F.log2(F.col("place") + F.lit(1.0)))).alias("gain"))
         ideal = sum((F.when(F.col("positives") >= i, 1 / F.log2(F.lit(i + 1.0))).otherwise(F.lit(0.0)) for i in (1, 2, 3)), F.lit(0.0))
         sums.append(lists.groupBy(by, block).agg(F.count_if(one & (F.col("right") == 1)).alias(f"hits{k}"), F.count_if(one).alias(f"usable{k}"), F.round(F.sum(F.when(F.col("positives") > 0, F.col("gain") / ideal)), 9).alias(f"gain{k}"), F.count_if(F.col("positives") > 0).alias(f"lists{k}")))
-    blocks = reused(sums[0].join(sums[1], [by, block]).na.fill(0.0))
+    blocks = reused(sums[0].join(sums[1], [by, block]).na.fill(0.0))  # from the rows as they lie, by answer
+    rows = reused(rows.select(*dict.fromkeys([by, block, label, a, b])))
+    sides = [rows.select(by, block, F.col(label).alias("y_top"), F.col(x).cast("double").alias("score"), F.lit(k).alias("side")) for k, x in enumerate((a, b))]
     drawn = blocks.join(weights(blocks, [by], block, draws, seed), [by, block])
 
     def measures(frame: DataFrame, keys: list[str], times: Column) -> DataFrame:
@@ -169,7 +171,8 @@ def concentration_intervals(panel: DataFrame, draws: int, k: int = 3, label: str
     """
     scope = ["category", "condition", "model_id"]
     sets = [[F.col(c) for c in (*scope, "query_id", "brand")], [F.col(c) for c in ("category", "condition", "query_id", "brand")]]
-    events = panel.groupingSets(sets, *[F.col(c) for c in (*scope, "query_id", "brand")]).agg(F.sum(label).cast("long").alias("n"))
+    panel = reused(panel.groupBy(*scope, "query_id", "brand").agg(F.sum(label).cast("long").alias("n")))  # the only pass over the rows
+    events = panel.groupingSets(sets, *[F.col(c) for c in (*scope, "query_id", "brand")]).agg(F.sum("n").alias("n"))
     events = reused(events.withColumn("model_id", F.coalesce("model_id", F.lit("ALL"))))
     registered = panel.groupBy("category").agg(F.countDistinct("brand").alias("brands"))
 

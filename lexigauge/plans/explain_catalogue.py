@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigauge.operators import contributions as co
@@ -68,12 +68,17 @@ spearman as (
 ))
 def given_tree_shares(s, d):
     """What two features contribute to a tree of given splits: shares, and whether larger values add or take away."""
-    rows = od.reused(design(s, d))
-    names, keys = ["volume_share", "position_rank_pct"], ["record_id", "brand", "category"]
-    tree = co.grown(rows, names, SPLITS, "y_top")
+    names = ["volume_share", "position_rank_pct"]
+    rows, keys = mo.cells(design(s, d), names, ["category", "y_top"]), ["category", *names, "m"]
+    tree = co.grown(rows, names, SPLITS, "y_top", "m")
     found = co.by_feature(co.contributions(rows.withColumn("x", F.array(*names)), "x", keys, [tree], [1.0]), names, keys)
-    values = rows.unpivot(keys, names, "feature", "value")
-    return co.shares(found, ["category"]).join(co.directions(found, values, keys, ["category"]), ["category", "feature"])
+    found = od.reused(found.withColumn("value", _value(names)))
+    return co.shares(found, ["category"], "m").join(co.directions(found, None, keys, ["category"], "m"), ["category", "feature"])
+
+
+def _value(names: list[str]) -> Column:
+    """The value of the feature that a row of contributions speaks of."""
+    return F.coalesce(*[F.when(F.col("feature") == n, F.col(n)) for n in names])
 
 
 @query()
@@ -82,11 +87,9 @@ def boosted_shares(s, d):
 
     Features of content are compared among retrieved candidates only.
     """
-    rows = design(s, d)
-    found = od.reused(mo.explained_out_of_fold(rows, pa.folds(c.responses(s, d), 3), 3, ("model_id",)))
-    keys = ["record_id", "brand", "category"]
-    values = rows.where("volume_share > 0").unpivot(keys, mo.FEATURES, "feature", "value")
-    return co.shares(found, ["category"]).join(co.directions(found, values, keys, ["category"]), ["category", "feature"], "left")
+    found = mo.explained_out_of_fold(design(s, d), pa.folds(c.responses(s, d), 3), 3, ["category"], ("model_id",))
+    found = od.reused(found.withColumn("value", F.when(F.col("volume_share") > 0, _value(mo.FEATURES))))
+    return co.shares(found, ["category"], "m").join(co.directions(found, None, [], ["category"], "m"), ["category", "feature"], "left")
 
 
 @query(oracle("select category, n, correlation from spearman", KEPT, DESIGN, _SPEARMAN.format(of="design", by="category", a="volume_share", b="position_rank_pct")))
