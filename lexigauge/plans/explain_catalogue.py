@@ -32,6 +32,11 @@ def design(s: SparkSession, d: str) -> DataFrame:
     return pa.relative(pa.panel_filter(c.pairs(s, d, sizes=True)), keep=("category", "query_id", "model_id"))
 
 
+def folded_design(s: SparkSession, d: str) -> DataFrame:
+    """``design`` with an answer's unseen candidates as one row: brand null for these, and m, how many a row stands for."""
+    return pa.relative(pa.panel_filter(c.folded(s, d, sizes=True)).where("m > 0"), keep=("category", "query_id", "model_id", "m"), times="m")
+
+
 # ---- contributions --------------------------------------------------------------------------------------------------
 #: A tree of given splits, in heap order: volume_share is asked twice on the right.
 SPLITS = [("volume_share", 0.2), ("position_rank_pct", 0.5), ("volume_share", 0.34), None, None, None, None]
