@@ -74,7 +74,7 @@ spearman as (
 def given_tree_shares(s, d):
     """What two features contribute to a tree of given splits: shares, and whether larger values add or take away."""
     names = ["volume_share", "position_rank_pct"]
-    rows, keys = mo.cells(design(s, d), names, ["category", "y_top"]), ["category", *names, "m"]
+    rows, keys = mo.cells(folded_design(s, d), names, ["category", "y_top"], "m"), ["category", *names, "m"]
     tree = co.grown(rows, names, SPLITS, "y_top", "m")
     found = co.by_feature(co.contributions(rows.withColumn("x", F.array(*names)), "x", keys, [tree], [1.0]), names, keys)
     found = od.reused(found.withColumn("value", _value(names)))
