@@ -36,16 +36,33 @@ def priors(panel: DataFrame, by: list[str], label: str, only: str = "true") -> D
     return own.join(base, by).select(*by, "brand", F.round(smoothed(F.col("hits"), F.col("n"), F.col("base")), 6).alias("prior"))
 
 
-def add_priors(panel: DataFrame, train: Column) -> DataFrame:
+def tallied(rows: DataFrame, brands: DataFrame, keys: list[str], evidence: list[str]) -> DataFrame:
+    """keys, brand, evidence, m: the panel that ``rows`` (as of ``corpus.folded``) stand for, counted by these columns.
+
+    Every answer has one row of null brand, so it is a candidate of all ``brands``; where it has no row of a brand its
+    evidence is zero. Answers are counted per key and those with a row of the brand taken off, so no candidate without
+    evidence is made.
+    """
+    counted = reused(rows.groupBy(*keys, "brand", *evidence).agg(F.count(F.lit(1)).alias("m")))
+    own = counted.where("brand is not null")
+    answers = counted.where("brand is null").groupBy(*keys).agg(F.sum("m").alias("m")).crossJoin(small(brands.select("brand").distinct()))
+    seen = own.select(*keys, (-F.col("m")).alias("m"), "brand")
+    rest = answers.unionByName(seen).groupBy(*keys, "brand").agg(F.sum("m").alias("m")).where("m > 0")
+    return own.unionByName(rest.select(*keys, "brand", *[F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in evidence], "m"))
+
+
+def add_priors(panel: DataFrame, train: Column, times: str | None = None) -> DataFrame:
     """``panel`` with prior_top_off, prior_mention_off, prior_top_all and prior_mention_all, fitted on the rows ``train``.
 
     off: answers without search only; top: decided answers only. A brand without training rows has its category's base
     rate, a category without any has 0, and so has every row where nothing was trained on. The training rows are
-    aggregated once by category and brand; base rates are sums of the same sums.
+    aggregated once by category and brand; base rates are sums of the same sums. ``times``: a column that says how many
+    candidates a row stands for.
     """
+    n = F.col(times) if times else F.lit(1).cast("long")
     off, decided, zero = F.col("condition") == "search_off", F.col("response_decided") == 1, F.lit(0.0)
     cases = {"prior_top_off": ("y_top", off & decided), "prior_mention_off": ("y_mention", off), "prior_top_all": ("y_top", decided), "prior_mention_all": ("y_mention", F.lit(True))}
-    sums = [x for name, (label, only) in cases.items() for x in (F.sum(F.when(only, F.col(label))).alias(f"{name}_h"), F.count_if(only).alias(f"{name}_n"))]
+    sums = [x for name, (label, only) in cases.items() for x in (F.sum(F.when(only, F.col(label) * n)).alias(f"{name}_h"), F.coalesce(F.sum(F.when(only, n)), F.lit(0).cast("long")).alias(f"{name}_n"))]
     own = panel.where(train).groupBy("category", "brand").agg(*sums)
     own = reused(own)
     base = own.groupBy("category").agg(*[F.try_divide(F.sum(f"{name}_h").cast("double"), F.sum(f"{name}_n").cast("double")).alias(f"{name}_b") for name in cases])
@@ -91,8 +108,13 @@ def average_rank_share(value: Column, over: list[str], times: str | None = None)
     """Mean rank among ties, over the number of rows: pandas' rank(pct=True) within a group.
 
     The mean of the first and the last place of the ties; all parts share one window, so a group is sorted once.
+    ``times``: a column that says how many rows a row stands for; null where a group stands for none.
     """
     order = Window.partitionBy(*over).orderBy(value)
+    if times:
+        last = F.sum(times).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ties = F.sum(times).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+        return F.try_divide((last - ties + 1 + last) / F.lit(2.0), F.sum(times).over(whole(order)).cast("double"))
     last = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return (F.rank().over(order) + last) / F.lit(2.0) / F.count(F.lit(1)).over(whole(order))
 
@@ -107,14 +129,10 @@ def relative(panel: DataFrame, volumes: DataFrame | None = None, keep: tuple[str
 
     volumes: record_id, n_results; without it the panel has n_results. Ranks among retrieved candidates are 0 for those
     that were not retrieved. All windows partition by record_id, so they share one shuffle, and there are two sorts.
+    ``times``: a column that says how many candidates a row stands for.
     """
-    ``times``: a column that says how many rows a row stands for; null where a group stands for none.
     rows = (panel if volumes is None else panel.join(volumes, "record_id", "left")).withColumn("n_results", F.coalesce("n_results", F.lit(0)))
     volume = F.col("n_results_mentioning")
-    if times:
-        last = F.sum(times).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        ties = F.sum(times).over(order.rangeBetween(Window.currentRow, Window.currentRow))
-        return F.try_divide((last - ties + 1 + last) / F.lit(2.0), F.sum(times).over(whole(order)).cast("double"))
     answer = whole(Window.partitionBy("record_id").orderBy(volume))
     seen = F.col("in_search_results") == 1
     rank = lambda c: F.when(seen, average_rank_share(c, ["record_id", "in_search_results"], times)).otherwise(F.lit(0.0))
@@ -129,7 +147,6 @@ def relative(panel: DataFrame, volumes: DataFrame | None = None, keep: tuple[str
         F.round(rank(-F.col("best_position")), 6).alias("position_rank_pct"),
         *[share(F.col(k), F.greatest(volume, F.lit(1))).alias(f"share_{k[2:]}") for k in kinds],
         *keep,
-    ``times``: a column that says how many candidates a row stands for.
     )
 
 

@@ -44,8 +44,9 @@ _JOINS = " ".join(f"left join {n}_ on {n}_.category = k.category and {n}_.brand
 ))
 def four_priors(s, d):
     """All priors of every candidate, fitted without the queries that one fold holds out."""
-    rows = pa.add_priors(c.pairs(s, d), ~F.endswith("query_id", F.lit("_03")))
-    return rows.groupBy("category", "brand").agg(F.count(F.lit(1)).alias("pairs"), *[F.max(n).alias(n) for n in _CASES])
+    panel = pa.tallied(c.folded(s, d), c.registry(s, d), ["category", "query_id", "condition", "response_decided"], ["y_mention", "y_top"])
+    rows = pa.add_priors(panel, ~F.endswith("query_id", F.lit("_03")), "m")
+    return rows.groupBy("category", "brand").agg(F.sum("m").alias("pairs"), *[F.max(n).alias(n) for n in _CASES])
 
 
 # ---- encoder texts --------------------------------------------------------------------------------------------------
