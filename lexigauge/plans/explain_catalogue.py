@@ -100,7 +100,7 @@ def boosted_shares(s, d):
 @query(oracle("select category, n, correlation from spearman", KEPT, DESIGN, _SPEARMAN.format(of="design", by="category", a="volume_share", b="position_rank_pct")))
 def rank_correlations(s, d):
     """Spearman's correlation of volume and place per category, over all candidates."""
-    return od.rank_correlation(design(s, d), ["category"], "volume_share", "position_rank_pct")
+    return od.rank_correlation(folded_design(s, d), ["category"], "volume_share", "position_rank_pct", "m")
 
 
 # ---- models ---------------------------------------------------------------------------------------------------------
