@@ -94,12 +94,16 @@ def contexts(responses: DataFrame, volumes: DataFrame) -> DataFrame:
     return near.join(at, ["query_id", "n_results", "place"]).select("query_id", "record_id", "n_results")
 
 
-def observation_rates(panel: DataFrame) -> DataFrame:
-    """Per category and brand: mention rates, first rate, presence, upper median of the place among retrieved, queries."""
+def observation_rates(panel: DataFrame, times: str | None = None) -> DataFrame:
+    """Per category and brand: mention rates, first rate, presence, upper median of the place among retrieved, queries.
+
+    ``times``: a column that says how many candidates a row stands for.
+    """
+    n = F.col(times) if times else F.lit(1).cast("long")
     on = F.col("condition") == "search_on"
     labels = ("y_mention", "y_top", "in_search_results")
     # one pass over the candidates: all that follows are sums over counts per query and place
-    counts = reused(panel.groupBy("category", "brand", "query_id", on.alias("on"), "best_position").agg(F.count(F.lit(1)).alias("n"), *[x(c).alias(f"{t}_{c}") for c in labels for t, x in (("s", F.sum), ("n", F.count))]))
+    counts = reused(panel.groupBy("category", "brand", "query_id", on.alias("on"), "best_position").agg(F.sum(n).alias("n"), *[F.sum(x).alias(f"{t}_{c}") for c in labels for t, x in (("s", F.col(c) * n), ("n", F.when(F.col(c).isNotNull(), n)))]))
     rate = lambda c, when: F.round(F.try_divide(F.sum(F.when(when, F.col(f"s_{c}"))).cast("double"), F.sum(F.when(when, F.col(f"n_{c}"))).cast("double")), 6)
     on = F.col("on")
     rows = counts.groupBy("category", "brand").agg(

@@ -288,9 +288,11 @@ FAMILIES = """families as (select record_id, category, query_id, condition, subs
 def diagnose(s, d):
     """Families of brands (those that begin alike): large ones lead, small ones are absent."""
     first = F.min(F.when(F.col("best_position") > 0, F.col("best_position")))
-    rows = c.pairs(s, d).groupBy("record_id", "category", "query_id", "condition", F.substring("brand", 1, 7).alias("brand"))
+    rows = c.folded(s, d).groupBy("record_id", "category", "query_id", "condition", F.substring("brand", 1, 7).alias("brand"))
     family = rows.agg(*[F.max(x).alias(x) for x in ("y_mention", "y_top", "in_search_results")], F.coalesce(first, F.lit(0).cast("long")).alias("best_position"))
-    return pr.diagnose(pr.observation_rates(family))
+    families = c.registry(s, d).select(F.substring("brand", 1, 7).alias("brand"))
+    panel = pa.tallied(family, families, ["category", "query_id", "condition"], ["y_mention", "y_top", "in_search_results", "best_position"])
+    return pr.diagnose(pr.observation_rates(panel, "m"))
 
 
 @query(oracle("""select * from (select category, a.brand, b.brand as rival, count(*) as n, cast(row_number() over (partition by category, a.brand order by count(*) desc, b.brand) as integer) as rank
