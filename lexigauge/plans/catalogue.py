@@ -184,6 +184,11 @@ def _kept(s: SparkSession, d: str) -> DataFrame:
     return c.scored(pa.panel_filter(c.pairs(s, d)))
 
 
+def _few(s: SparkSession, d: str) -> DataFrame:
+    """``_kept`` with an answer's unseen candidates as one row of weight m: they tie at 0, below every seen one, and never win."""
+    return c.scored(pa.panel_filter(c.folded(s, d)))
+
+
 @query(oracle("select category, model_id, count(*) as n, count(distinct record_id) as answers from kept group by 1, 2", FILTERED))
 def panel_filter(s, d):
     return pa.panel_filter(c.pairs(s, d)).groupBy("category", "model_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("answers"))
@@ -357,7 +362,7 @@ def tie_break_top1(s, d):
 
 @query(oracle("select category, round(avg(pct), 6) as winner_rank_pct from (select category, y_top, (rank() over (partition by record_id order by score) + (count(*) over (partition by record_id, score) - 1) / 2.0e0) / count(*) over (partition by record_id) as pct from kept) where y_top = 1 group by 1", FILTERED))
 def winner_rank_share(s, d):
-    return me.rank_share(_kept(s, d))
+    return me.rank_share(_few(s, d), "m")
 
 
 @query(oracle("select a.category, round(a.ndcg - b.ndcg, 6) as delta from ndcg a join (select category, round(avg(ndcg), 6) as ndcg from gain2 group by 1) b using (category)", FILTERED, RANKED, GAIN, NDCG,
