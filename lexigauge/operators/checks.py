@@ -71,9 +71,13 @@ def softmax(scores: DataFrame, group: str, x: str) -> DataFrame:
     return rows.withColumn("p", F.exp(F.col(x) - F.col("_peak")) / F.col("_total")).drop("_peak", "_total")
 
 
-def softmax_loss(scores: DataFrame, group: str, x: str, label: str) -> DataFrame:
-    """group, loss: the negative log of the winner's softmax; groups without exactly one winner are absent."""
-    sums = scores.withColumn("m", F.max(x).over(Window.partitionBy(group))).groupBy(group).agg(F.max("m").alias("m"), F.sum(F.exp(F.col(x) - F.col("m"))).alias("t"), F.sum(F.when(F.col(label) == 1, F.col(x))).alias("w"), F.sum(label).alias("n"))
+def softmax_loss(scores: DataFrame, group: str, x: str, label: str, times: str | None = None) -> DataFrame:
+    """group, loss: the negative log of the winner's softmax; groups without exactly one winner are absent.
+
+    ``times``: a column that says how many losers a row stands for.
+    """
+    n = F.col(times) if times else F.lit(1)
+    sums = scores.withColumn("_peak", F.max(x).over(Window.partitionBy(group))).groupBy(group).agg(F.max("_peak").alias("m"), F.sum(F.exp(F.col(x) - F.col("_peak")) * n).alias("t"), F.sum(F.when(F.col(label) == 1, F.col(x))).alias("w"), F.sum(label).alias("n"))
     return sums.where("n = 1").select(group, F.round(F.ln("t") + F.col("m") - F.col("w"), 6).alias("loss"))
 
 
