@@ -34,14 +34,14 @@ def bootstrap_ratio(blocks: DataFrame, by: list[str], draws: int = 400, seed: in
     return point.join(ends, by)
 
 
-def concordance(panel: DataFrame, feature: str, stratum: str | None = None) -> DataFrame:
+def concordance(panel: DataFrame, feature: str, stratum: str | None = None, times: str | None = None) -> DataFrame:
     """Per category and query: concordant, discordant and compared pairs of winner and loser within answers.
 
     Counted by windows over the answer's candidates instead of a self-join: each winner sees how many losers lie at or
-    below its value. With ``stratum`` only pairs of equal stratum are compared.
+    below its value. With ``stratum`` only pairs of equal stratum are compared. ``times``: a column that says how many losers a row stands for.
     """
     over = ["record_id", *([stratum] if stratum else [])]
-    loser = 1 - F.col("y_top")
+    loser = (1 - F.col("y_top")) * (F.col(times) if times else 1)
     by = Window.partitionBy(*over).orderBy(feature)
     upto = F.sum(loser).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     equal, total = F.sum(loser).over(by.rangeBetween(Window.currentRow, Window.currentRow)), F.sum(loser).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -450,7 +450,7 @@ EFFECT = "select category, round({s} * cast(sum(concordant) - sum(discordant) as
 
 @query(oracle(EFFECT.format(s=1), FILTERED, CONCORD.format(f="n_results_mentioning")))
 def concordance_effect(s, d):
-    return ef.effect(ef.concordance(_kept(s, d), "n_results_mentioning"))
+    return ef.effect(ef.concordance(_few(s, d), "n_results_mentioning", times="m"))
 
 
 MATCHED = CONCORD.format(f="n_official").replace("partition by record_id", "partition by record_id, n_results_mentioning")
