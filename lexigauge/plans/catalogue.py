@@ -468,7 +468,7 @@ def signal_direction(s, d):
 
 
 def _direction(s: SparkSession, d: str, feature: str) -> DataFrame:
-    rows = reused(ef.concordance(_kept(s, d), feature).where("compared > 0"))
+    rows = reused(ef.concordance(_few(s, d), feature, times="m").where("compared > 0"))
     blocks = rows.select("category", "query_id", (F.col("concordant") - F.col("discordant")).cast("double").alias("a"), F.col("compared").cast("double").alias("b"))
     return ef.direction(ef.bootstrap_ratio(blocks, ["category"], draws=1000).join(rows.groupBy("category").agg(F.count(F.lit(1)).alias("queries")), "category"))
 
