@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigauge.operators.ordering import numbered, reused
 from lexigauge.operators.rates import ratio
 
 
-def leaderboard(panel: DataFrame) -> DataFrame:
-    """Per category and brand: mention rate without and with search, first place with search, and the rank by it."""
+def _mean(c: Column, n: Column) -> Column:
+    """Mean of a column over rows that each stand for ``n``, nulls left out."""
+    return F.try_divide(F.sum(c * n).cast("double"), F.sum(F.when(c.isNotNull(), n)).cast("double"))
+
+
+def leaderboard(panel: DataFrame, times: str | None = None) -> DataFrame:
+    """Per category and brand: mention rate without and with search, first place with search, and the rank by it.
+
+    ``times``: a column that says how many candidates a row stands for.
+    """
+    n = F.col(times) if times else F.lit(1)
     on, off = F.col("condition") == "search_on", F.col("condition") == "search_off"
-    rate = lambda c, label: F.round(F.avg(F.when(c, F.col(label).cast("double"))), 6)
+    rate = lambda c, label: F.round(_mean(F.when(c, F.col(label)), n), 6)
     rows = panel.groupBy("category", "brand").agg(rate(off, "y_mention").alias("mention_off"), rate(on, "y_mention").alias("mention_on"), rate(on, "y_top").alias("top_on"))
     return rows.withColumn("rank_on", F.rank().over(Window.partitionBy("category").orderBy(F.desc("mention_on"))))
 
@@ -23,16 +32,20 @@ def leaders(board: DataFrame, k: int = 3) -> DataFrame:
     return board.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("category", "brand", "place")
 
 
-def retrieval_profile(panel: DataFrame) -> DataFrame:
-    """Per category and brand over answers that searched: presence, results per answer, first ranks, shares of source kinds."""
+def retrieval_profile(panel: DataFrame, times: str | None = None) -> DataFrame:
+    """Per category and brand over answers that searched: presence, results per answer, first ranks, shares of source kinds.
+
+    ``times``: a column that says how many candidates a row stands for.
+    """
+    n = F.col(times) if times else F.lit(1)
     rows = panel.where("condition = 'search_on'")
     kinds = [c for c in panel.columns if c.startswith("n_") and c != "n_results_mentioning"]
-    volume = F.greatest(F.sum("n_results_mentioning"), F.lit(1))
+    volume = F.greatest(F.sum(F.col("n_results_mentioning") * n), F.lit(1))
     return rows.groupBy("category", "brand").agg(
-        F.round(F.avg(F.col("in_search_results").cast("double")), 6).alias("presence"),
-        F.round(F.avg(F.col("n_results_mentioning").cast("double")), 6).alias("results_per_answer"),
-        F.round(F.avg((F.col("best_position") == 1).cast("double")), 6).alias("rank1_share"),
-        *[ratio(F.sum(k), volume).alias(f"share_{k[2:]}") for k in kinds],
+        F.round(_mean(F.col("in_search_results"), n), 6).alias("presence"),
+        F.round(_mean(F.col("n_results_mentioning"), n), 6).alias("results_per_answer"),
+        F.round(_mean((F.col("best_position") == 1).cast("int"), n), 6).alias("rank1_share"),
+        *[ratio(F.sum(F.col(k) * n), volume).alias(f"share_{k[2:]}") for k in kinds],
     )
 
 

@@ -242,9 +242,10 @@ _LONG = " union all ".join(f"select category, brand, '{m}' as metric, {m} as val
 @query(oracle("""select l.category, l.brand, l.metric, any_value(l.value) as mine, round(avg(t.value), 6) as winners, round(any_value(l.value) - round(avg(t.value), 6), 6) as gap
   from long l join (select long.* from long join leaders using (category, brand)) t on l.category = t.category and l.metric = t.metric and l.brand <> t.brand group by 1, 2, 3""", BOARD, PROFILE, LEADERS, "both_ as (select p.*, mention_on, top_on from profile p join board using (category, brand))", f"long as ({_LONG})"))
 def gaps(s, d):
-    panel = c.pairs(s, d)
-    board = reused(pr.leaderboard(panel))
-    return pr.gaps(reused(pr.retrieval_profile(panel)), board, pr.leaders(board))
+    evidence = ["y_mention", "y_top", "in_search_results", "n_results_mentioning", "best_position", *[f"n_{k}" for k in c.KINDS]]
+    panel = reused(pa.tallied(c.folded(s, d), c.registry(s, d), ["category", "condition"], evidence))
+    board = reused(pr.leaderboard(panel, "m"))
+    return pr.gaps(reused(pr.retrieval_profile(panel, "m")), board, pr.leaders(board))
 
 
 @query(oracle("select * from (select category, brand, host, kind, count(distinct record_id) as answers, min(position) as best, cast(row_number() over (partition by category, brand order by count(distinct record_id) desc, host, kind) as integer) as rank from evidence group by 1, 2, 3, 4) where rank <= 12", EVIDENCE))
