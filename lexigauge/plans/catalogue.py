@@ -428,7 +428,7 @@ def bootstrap_sql(blocks: str, by: str, draws: int = 400, seed: int = 42) -> lis
 
 @query(oracle("select * from boot", FILTERED, RANKED, "blocks as (select category, query_id, count(*) filter (where y_top = 1) as a, count(*) as b from ranked where place = 1 and positives = 1 group by 1, 2)", *bootstrap_sql("blocks", "category", 400)))
 def top1_ci(s, d):
-    return ef.bootstrap_ratio(me.top1_blocks(_kept(s, d)), ["category"], draws=400)
+    return ef.bootstrap_ratio(me.top1_blocks(_few(s, d)), ["category"], draws=400)
 
 
 @query(oracle("select * from boot", FILTERED, RANKED, GAIN, "blocks as (select category, query_id, round(sum(ndcg), 9) as a, count(*) as b from gain group by 1, 2)", *bootstrap_sql("blocks", "category", 400)))
