@@ -369,7 +369,7 @@ def winner_rank_share(s, d):
 @query(oracle("select a.category, round(a.ndcg - b.ndcg, 6) as delta from ndcg a join (select category, round(avg(ndcg), 6) as ndcg from gain2 group by 1) b using (category)", FILTERED, RANKED, GAIN, NDCG,
     "ranked2 as (select *, row_number() over (partition by record_id order by n_results_mentioning desc, brand) as place, sum(y_top) over (partition by record_id) as positives from kept)", GAIN.replace("gain as", "gain2 as").replace("from ranked", "from ranked2")))
 def paired_delta_point(s, d):
-    rows = _kept(s, d)
+    rows = _few(s, d)
     other = rows.withColumn("score", F.col("n_results_mentioning").cast("double"))
     return ef.paired_delta(me.ndcg(rows), me.ndcg(other), "ndcg")
 
