@@ -49,6 +49,20 @@ def concordance(panel: DataFrame, feature: str, stratum: str | None = None, time
     return rows.groupBy("category", "query_id").agg(F.sum(F.col("upto") - F.col("equal")).alias("concordant"), F.sum(F.col("total") - F.col("upto")).alias("discordant"), F.sum("total").alias("compared"))
 
 
+def concordances(panel: DataFrame, features: list[str], times: str | None = None) -> DataFrame:
+    """signal and ``concordance`` of each feature, from one pass over the panel."""
+    loser = (1 - F.col("y_top")) * (F.col(times) if times else 1)
+    answer = Window.partitionBy("record_id")
+    counts = []
+    for f in features:
+        by = answer.orderBy(f)
+        upto, equal = (F.sum(loser).over(by.rangeBetween(a, Window.currentRow)) for a in (Window.unboundedPreceding, Window.currentRow))
+        counts.append(F.struct(F.lit(f).alias("signal"), upto.alias("upto"), equal.alias("equal"), F.sum(loser).over(answer).alias("total")))
+    rows = panel.select("category", "query_id", "y_top", *[c.alias(f"_c{i}") for i, c in enumerate(counts)]).where("y_top = 1")
+    rows = rows.select("category", "query_id", F.inline(F.array(*[F.col(f"_c{i}") for i in range(len(features))])))
+    return rows.groupBy("signal", "category", "query_id").agg(F.sum(F.col("upto") - F.col("equal")).alias("concordant"), F.sum(F.col("total") - F.col("upto")).alias("discordant"), F.sum("total").alias("compared"))
+
+
 def effect(blocks: DataFrame, sign: int = 1) -> DataFrame:
     """Rank-biserial effect per category from its query blocks; blocks without a comparison are dropped."""
     rows = blocks.where("compared > 0").groupBy("category").agg(F.sum("concordant").alias("c"), F.sum("discordant").alias("d"), F.sum("compared").alias("comparisons"), F.count(F.lit(1)).alias("queries"))

@@ -469,7 +469,11 @@ def signal_direction(s, d):
 
 
 def _direction(s: SparkSession, d: str, feature: str) -> DataFrame:
-    rows = reused(ef.concordance(_few(s, d), feature, times="m").where("compared > 0"))
+    return _directions(ef.concordance(_few(s, d), feature, times="m"))
+
+
+def _directions(concordant: DataFrame) -> DataFrame:
+    rows = reused(concordant.where("compared > 0"))
     blocks = rows.select("category", "query_id", (F.col("concordant") - F.col("discordant")).cast("double").alias("a"), F.col("compared").cast("double").alias("b"))
     return ef.direction(ef.bootstrap_ratio(blocks, ["category"], draws=1000).join(rows.groupBy("category").agg(F.count(F.lit(1)).alias("queries")), "category"))
 
@@ -490,9 +494,9 @@ def _stability_sql() -> str:
 
 @query(_stability_sql())
 def stability_class(s, d):
-    rows = None
+    rows, found = None, reused(ef.concordances(_few(s, d), ["n_official", "n_forum"], "m"))
     for f in ("n_official", "n_forum"):
-        part = _direction(s, d, f).select(F.lit(f).alias("signal"), "direction")
+        part = _directions(found.where(F.col("signal") == f)).select(F.lit(f).alias("signal"), "direction")
         rows = part if rows is None else rows.unionByName(part)
     return ef.stability(rows)
 

@@ -51,3 +51,18 @@ def test_no_candidate_without_evidence_is_made(spark, monkeypatch, name):
 
     monkeypatch.setattr(c, "pairs", crossed)
     QUERIES[name](spark, FOLDER)
+
+
+def test_signals_share_one_pass(spark, monkeypatch):
+    """The stability of several signals makes the panel once, and each has the concordance that it has alone."""
+    from lexigauge.operators import effects as ef
+    from lexigauge.plans import catalogue as ca
+
+    kept = ca._few(spark, FOLDER).cache()
+    both = ef.concordances(kept, ["n_official", "n_forum"], "m")
+    for f in ("n_official", "n_forum"):
+        assert {tuple(r) for r in both.where(f"signal = '{f}'").drop("signal").collect()} == {tuple(r) for r in ef.concordance(kept, f, times="m").collect()}
+    made = []
+    monkeypatch.setattr(ca, "_few", lambda *_: made.append(1) or kept)
+    ca.QUERIES["stability_class"](spark, FOLDER)
+    assert len(made) == 1
