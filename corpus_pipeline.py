@@ -31,7 +31,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (0.8 of the five-word shingles) the document of smallest id stays."""
+    """Of each group of near-duplicates (0.8 of the five-word shingles) the document of smallest id stays.
+
+    SimHash fingerprints give the candidates first; an exact join adds what lies beyond their radius.
+    """
     return drop_near_duplicates(docs.select(*COLUMNS), similarity=0.8)
 
 

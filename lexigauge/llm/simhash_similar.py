@@ -1,9 +1,13 @@
-"""Near-duplicates by similarity: an exact join of shingle sets by the prefixes of one common order.
+"""Near-duplicates by similarity: SimHash first, then an exact join of shingle sets by the prefixes of one common order.
+
+Texts whose fingerprints are equal or differ in RADIUS bits at most are candidates, and whole sets verify them: these links
+give the components from which everything else starts. At 0.8 of the shingles fingerprints differ in about ten bits, more
+than balls can reach, so what SimHash leaves apart goes through a join that misses nothing.
 
 All sets are sorted in one order, rarest shingles first. Two sets of n and m shingles whose Jaccard similarity is t or more
 share at least t * n of the one and t * m of the other, so they share a shingle among the first n - ceil(t * n) + 1 of the one
-and the first m - ceil(t * m) + 1 of the other. Texts that share such a shingle are candidates; whole sets verify them. The
-order decides how many candidates there are, never which texts are found.
+and the first m - ceil(t * m) + 1 of the other. Texts that share such a shingle are candidates unless they are in one
+component already; whole sets verify them. The order decides how many candidates there are, never which texts are found.
 """
 
 from __future__ import annotations
@@ -17,10 +21,10 @@ from pyspark.sql import functions as F
 
 from lexigauge.llm.common import light, sized, slices, small_batches, staged, temporary, within, without
 from lexigauge.llm.graph import components
-from lexigauge.llm.simhash import shingle_hashes
+from lexigauge.llm.simhash import fingerprint, links, shingle_hashes
 
-#: Words of a shingle.
-WORDS = 5
+#: Words of a shingle; bits in which fingerprints of candidates may differ.
+WORDS, RADIUS = 5, 2
 #: The order of shingles: one in SAMPLE texts is counted, by 2 ** BITS counters of hashes; counts of LEAST and more are kept.
 SAMPLE, BITS, LEAST = 16, 22, 3
 #: Marks of copied texts (about 40 bytes each) that may be broadcast.
@@ -110,6 +114,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(alike).select("a", "b").distinct()
 
 
+def simhash_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Candidate pairs (a, b) of ``nodes`` (node, fingerprint): the smallest node of a fingerprint and each other one of it,
+    and the smallest nodes of fingerprints that meet in a ball, so that pairs connect what lies within ``radius`` bits."""
+    least = staged(nodes.groupBy("fingerprint").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    same = nodes.join(least.where("n > 1"), "fingerprint").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    met = links(least.select("fingerprint"), radius)
+    for side in ("a", "b"):
+        met = met.join(least.select(F.col("fingerprint").alias(side), F.col("least").alias(f"node_{side}")), side)
+    near = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return same.unionByName(near).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that ``roots`` (node, root) does not put into one component."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return pairs.where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
+
+
 def _possible(x: str, y: str, similarity: float) -> Column:
     """Whether sets may reach the similarity if what they share at ``at`` is the first they share: no pair is lost, as each
     is also met at its first."""
@@ -153,30 +176,37 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, text: str = "te
             for batch in slices(whole, 2):
                 sets = [shingle_set(t.as_py()) for t in batch.column(2)]
                 keys = _lists([prefix(s, similarity, known.value) for s in sets])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int32()), keys], names=["doc_id", "mark", "size", "prefix"])
+                bits = pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], bits, pa.array([len(s) for s in sets], pa.int32()), keys], names=["doc_id", "mark", "fingerprint", "size", "prefix"])
 
-    marks = staged(rows.mapInArrow(light(prefixes), f"doc_id {kind}, mark binary, size int, prefix array<bigint>"), "prefixes")
+    marks = staged(rows.mapInArrow(light(prefixes), f"doc_id {kind}, mark binary, fingerprint bigint, size int, prefix array<bigint>"), "prefixes")
     # an id that repeats with another text is one document: its smallest node
     several = marks.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "node")
     placed = marks.join(sized(several, BROADCAST_MARKS, "copied"), "mark", "left")
     firsts = staged(placed.groupBy("doc_id").agg(F.min(F.coalesce("node", "doc_id")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
 
-    nodes = placed.where("node is null or node = doc_id").select(F.col("doc_id").alias("node"), "size", "prefix")
+    nodes = placed.where("node is null or node = doc_id").select(F.col("doc_id").alias("node"), "fingerprint", "size", "prefix")
+    # first what the fingerprints say
+    alike = staged(simhash_pairs(nodes.select("node", "fingerprint")), "alike")
+    linked = staged(_verified(alike, _sets_of(docs, alike, body), similarity), "simhash-links")
+    known_roots = staged(components(linked), "simhash-roots")
+
     met = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key"))
     order = Window.partitionBy("key").orderBy("node")
     text_of = F.struct("node", "size", "at")
     met = met.select("key", "node", "size", "at", F.lag(text_of).over(order).alias("last"), F.first(text_of).over(order).alias("least"), F.lead("node").over(order).alias("next"))
     met = staged(met.where("last is not null or next is not null").drop("next"), "met")
 
-    # first, in each bucket, every text against the one before and the first: most links of near copies, in linear work
+    # then, in each bucket, every text that these leave apart against the one before and the first: most links of near copies, in linear work
     near = met.where("last is not null").select(F.struct("node", "size", "at").alias("y"), "last", "least")
     pairs = [near.where(_possible(x, "y", similarity)).select(F.col(f"{x}.node").alias("a"), F.col("y.node").alias("b")).where("a <> b").distinct() for x in ("last", "least")]
-    pairs = staged(pairs[0].unionByName(pairs[1]).distinct(), "candidates")
+    pairs = staged(_apart(pairs[0].unionByName(pairs[1]).distinct(), known_roots).join(alike, ["a", "b"], "left_anti"), "candidates")
     sets = _sets_of(docs, pairs, body)
-    links = staged(_verified(pairs, sets, similarity), "links")
-    # then all pairs of a bucket that these links leave apart
-    rest = staged(_rest(met.select("key", "node", "size", "at"), components(links), pairs, similarity), "rest")
-    return firsts, components(links.unionByName(_verified(rest, _sets_of(docs, rest, body), similarity)))
+    linked = staged(linked.unionByName(_verified(pairs, sets, similarity)), "links")
+    # last, all pairs of a bucket that these links leave apart
+    tried = alike.unionByName(pairs)
+    rest = staged(_rest(met.select("key", "node", "size", "at"), components(linked), tried, similarity), "rest")
+    return firsts, components(linked.unionByName(_verified(rest, _sets_of(docs, rest, body), similarity)))
 
 
 def _texts_of_repeated_ids(docs: DataFrame, similarity: float, text: str) -> DataFrame:

@@ -313,3 +313,31 @@ def test_shards_are_even(spark):
         size[r.shard] = size.get(r.shard, 0) + r.size
     mean = sum(size.values()) / 40
     assert len(size) == 40 and all(abs(n - mean) <= 150 for n in size.values())
+
+
+def test_similar_starts_from_fingerprints(spark, monkeypatch):
+    """Near copies whose fingerprints are close are linked by SimHash; the bucket join is left with the pairs beyond."""
+    from lexigauge.llm import simhash_similar as ss
+    from lexigauge.llm.simhash import fingerprint, shingle_hashes
+
+    rnd, words, rows = random.Random(21), [f"s{i}" for i in range(5000)], []
+    for k in range(12):
+        w = rnd.choices(words, k=900)
+        rows.append((10 * k, " ".join(w)))
+        for i, changed in enumerate((1, 2, 15), 1):
+            v = list(w)
+            for x in rnd.sample(range(900), changed):
+                v[x] = "other"
+            rows.append((10 * k + i, " ".join(v)))
+    sets = {i: ss.shingle_set(t) for i, t in rows}
+    marks = {i: fingerprint(s) for i, s in sets.items()}
+    near = {(a, b) for a, b in itertools.combinations(sorted(marks), 2) if (marks[a] ^ marks[b]).bit_count() <= ss.RADIUS}
+    seen, apart, verified = [], ss._apart, ss._verified
+    monkeypatch.setattr(ss, "_apart", lambda pairs, roots: seen.append({(r.node, r.root) for r in roots.collect()}) or apart(pairs, roots))
+    monkeypatch.setattr(ss, "_verified", lambda pairs, *x: seen.append({(r.a, r.b) for r in pairs.collect()}) or verified(pairs, *x))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in ss.drop_near_duplicates(docs).collect()) == [10 * k for k in range(12)]
+    first, roots, later = seen[0], dict(seen[1]), seen[2]
+    want = reach(marks, near)
+    assert len(near) >= 8 and reach(marks, first) == want and {i: roots.get(i, i) for i in marks} == want
+    assert later and not [p for p in later if want[p[0]] == want[p[1]]]
