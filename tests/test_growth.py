@@ -35,6 +35,25 @@ def test_tasks_grow_with_results(spark, monkeypatch):
     assert sorted(map(tuple, many.collect())) == rows
 
 
+@pytest.mark.parametrize("name", ["brand_sources_topk", "brand_source_pages_topk"])
+def test_answers_are_counted_where_their_results_lie(spark, monkeypatch, name):
+    """Results are dealt out by answer once, to tasks of bounded size, and stay there until the answers are told apart."""
+    from lexigauge.plans.catalogue import QUERIES
+    from lexigauge.sources import corpus as c
+
+    monkeypatch.setattr(c, "TASK_RESULTS", 500, raising=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES[name](spark, FOLDER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = re.findall(r"hashpartitioning\((l_orderkey|record_id)#\d+L, (\d+)\)", text)
+    assert sorted(k for k, _ in dealt) == ["l_orderkey", "record_id"]  # the results, and the responses that join them
+    assert len({n for _, n in dealt}) == 1 and int(dealt[0][1]) > 10
+    assert not re.search(r"hashpartitioning\([^)]*brand#[^)]*record_id#", text)
+
+
 def test_relative_keeps_repeated_answers_apart_from_each_other(spark):
     """A candidate row stays one row, also where an answer is there twice (a join with itself would make four)."""
     from lexigauge.operators.panel import relative
