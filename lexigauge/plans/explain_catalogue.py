@@ -124,7 +124,7 @@ def dealt_feature(s, d):
 @query()
 def out_of_domain_drops(s, d):
     """Average precision of a model of the other categories, and what it loses when a feature is dealt anew, three times."""
-    return mo.out_of_domain_drops(design(s, d), ["volume_share", "position_rank_pct", "share_official"], repeats=3)
+    return mo.out_of_domain_drops(folded_design(s, d), ["volume_share", "position_rank_pct", "share_official"], repeats=3, brands=c.registry(s, d), times="m")
 
 
 # ---- joint intervals ------------------------------------------------------------------------------------------------
